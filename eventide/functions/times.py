@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TimeLike = str | date | datetime
 DAY_SECONDS = 86_400
@@ -45,6 +45,15 @@ def in_range(column: Column | str, start: TimeLike | None, end: TimeLike | None)
     return test
 
 
+def clip(df: DataFrame, column: str, start: TimeLike | None, end: TimeLike | None) -> DataFrame:
+    """Rows in the closed range. A table stored by ``day`` is also restricted by that column, since a
+    test on the timestamp alone would not skip any folder."""
+    kept = df.filter(in_range(column, start, end))
+    if "day" in df.columns and column != "day":
+        kept = kept.filter(in_range("day", *whole_days(start, end)))
+    return kept
+
+
 def shift(value: TimeLike | None, delta: timedelta) -> datetime | None:
     return None if value is None else naive_utc(value) + delta
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventide.functions.times import TimeLike, ntz
+from eventide.functions.times import TimeLike, clip, ntz
 
 # The frame is the current row and the 30 before it. The oldest of these needs one more price.
 VOL_PRECEDING = 30
@@ -24,7 +24,9 @@ def with_lead_in(series: DataFrame, value: str, rows: int, start: TimeLike | Non
     With ``start``, everything earlier counts as one chunk that only serves as lead-in, so it is
     cut down to its last rows before the shuffle.
     """
-    day = F.to_date("ts")
+    calendar_day = F.to_date("ts")
+    body = clip(series, "ts", start, None).select("symbol", calendar_day.alias("day"), "ts", value)
+    day = calendar_day
     if start is not None:
         day = F.when(F.col("ts") >= ntz(start), day).otherwise(F.lit(_OLDEST).cast("date"))
     series = series.select("symbol", day.alias("day"), "ts", value)
@@ -51,14 +53,14 @@ def with_lead_in(series: DataFrame, value: str, rows: int, start: TimeLike | Non
         .select("symbol", "day", F.explode(F.slice("_seen", F.greatest(F.size("_seen") - rows, F.lit(0)) + 1, rows)).alias("_e"))
         .select("symbol", "day", "_e.ts", f"_e.{value}", F.lit(False).alias("owned"))
     )
-    body = series if start is None else series.filter(F.col("ts") >= ntz(start))
     return body.withColumn("owned", F.lit(True)).unionByName(lead_in.filter(F.col("day") > F.lit(_OLDEST).cast("date")))
 
 
 def _bars_until(klines: DataFrame, end: TimeLike | None) -> DataFrame:
     # Both measures only look back, so later bars can be cut at the scan.
-    bars = klines if end is None else klines.filter(F.col("open_time") <= ntz(end))
-    return bars.select("symbol", F.col("open_time").alias("ts"), F.col("close_price").alias("close"))
+    bars = clip(klines, "open_time", None, end)
+    stored_day = ["day"] if "day" in klines.columns else []
+    return bars.select("symbol", F.col("open_time").alias("ts"), F.col("close_price").alias("close"), *stored_day)
 
 
 def _log_change(by_day) -> Column:

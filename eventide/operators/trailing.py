@@ -14,7 +14,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from eventide.functions.times import TimeLike, epoch_seconds, in_range, shift
+from eventide.functions.times import TimeLike, clip, epoch_seconds, in_range, shift
 
 TRAILING = timedelta(days=14)
 
@@ -34,8 +34,8 @@ def trailing_percentile(
     ``closed`` also takes in the row exactly ``reach`` ago. With bounds, only rows of that time
     range are returned; earlier ones are read just as far back as the range needs.
     """
+    series = clip(series, "ts", shift(start, -reach), end)
     series = series.select("symbol", "ts", F.col(value).cast("double").alias(value))
-    series = series.filter(in_range("ts", shift(start, -reach), end))
     block = F.floor(epoch_seconds("ts") / int(reach.total_seconds()))
     # Copies go forward only as far as a block that owns rows: one past the end yields nothing.
     spread = series.withColumn("_owner", block).withColumn(

@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from eventide.functions.times import TimeLike, in_range, shift, whole_days
+from eventide.functions.times import TimeLike, clip, in_range, shift, whole_days
 from eventide.operators import event_metrics as metrics, ranking
 from eventide.operators.event_windows import Measure, Reach, window_stats
 from eventide.operators.returns import log_returns, minute_returns
@@ -45,7 +45,7 @@ class LiveViews:
         self.market = market
 
     def funding(self, start: TimeLike | None = None, end: TimeLike | None = None) -> DataFrame:
-        return self.market.funding.filter(in_range("ts", start, end))
+        return clip(self.market.funding, "ts", start, end).select("symbol", "ts", "rate")
 
     def events(self, start=None, end=None, symbol: str | None = None) -> DataFrame:
         funding = self.funding(start, end)

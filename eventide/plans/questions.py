@@ -11,7 +11,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
-from eventide.functions.times import TimeLike, in_range
+from eventide.functions.times import TimeLike, clip, in_range
 from eventide.operators import event_metrics as metrics, ranking
 from eventide.operators.event_windows import Reach, window_pairs
 
@@ -120,7 +120,7 @@ def vol_regime_markouts(views, start: TimeLike, end: TimeLike, scope: str = "all
 
 def symbol_overview(views, start: TimeLike, end: TimeLike) -> DataFrame:
     """Q7 from daily statistics: the volume is a mean of daily means."""
-    daily = views.symbol_daily_stats().filter(in_range("d", start, end))
+    daily = clip(views.symbol_daily_stats(), "d", start, end)
     return (
         daily.groupBy("symbol")
         .agg(
@@ -139,7 +139,7 @@ def symbol_overview_raw(market, start: TimeLike, end: TimeLike) -> DataFrame:
     a plain join would build never exists. Keys are unique, so rows are what distinct times would be.
     """
     bars = (
-        market.klines.filter(in_range("open_time", start, end))
+        clip(market.klines, "open_time", start, end)
         .groupBy("symbol")
         .agg(F.count(F.lit(1)).alias("n_klines"), F.avg("volume").alias("avg_kline_volume"))
     )

@@ -59,3 +59,33 @@ PRIMARY_KEYS = {
     "premium_index": ["symbol", "ts"],
     "event_markers": ["symbol", "event_ts"],
 }
+
+# Derived tables as stored: the column each is dated by, and its layout without the ``day`` folder column.
+_KEYED = (("symbol", T.StringType(), True), ("event_ts", T.TimestampNTZType(), True))
+_TIMED = (("symbol", T.StringType(), True), ("ts", T.TimestampNTZType(), True))
+_DATED = (("symbol", T.StringType(), True), ("d", T.DateType(), True))
+
+
+def _double(*names: str) -> tuple:
+    return tuple((name, T.DoubleType(), True) for name in names)
+
+
+def _long(*names: str) -> tuple:
+    return tuple((name, T.LongType(), True) for name in names)
+
+
+STORED = {
+    "klines": ("open_time", KLINES),
+    "funding": ("ts", FUNDING),
+    "open_interest": ("ts", OPEN_INTEREST),
+    "premium_index": ("ts", PREMIUM_INDEX),
+    "minute_returns": ("ts", _layout(*_TIMED, *_double("r1m", "rv_30m"))),
+    "event_markouts": ("event_ts", _layout(*_KEYED, *_double("rate", "markout_60m"), *_long("n_minutes"))),
+    "event_car": ("event_ts", _layout(*_KEYED, ("ts", T.TimestampNTZType(), True), *_double("car"))),
+    "funding_deciles": ("ts", _layout(*_TIMED, *_double("rate"), *_long("rate_decile"), ("event_date", T.DateType(), True))),
+    "event_vol_levels": ("event_ts", _layout(*_KEYED, *_double("rv_1h", "rv_1d"))),
+    "event_volatility": ("event_ts", _layout(*_KEYED, *_double("rv_1h", "rv_1d"), *_long("vol_regime"))),
+    "rolling_oi": ("ts", _layout(*_TIMED, *_double("oi", "p90_oi_14d"))),
+    "daily_rate_stats": ("d", _layout(*_DATED, *_double("p90_abs_rate", "avg_abs_rate"), *_long("n_events"))),
+    "symbol_daily_stats": ("d", _layout(*_DATED, *_long("n_klines", "n_funding_events"), *_double("avg_volume"))),
+}
