@@ -1,0 +1,98 @@
+import random
+from datetime import timedelta
+
+import pytest
+from conftest import at, minutes, rows
+from pyspark.sql import functions as F
+
+from eventide.functions.times import span
+from eventide.operators.event_windows import Measure, Reach, slot_width, window_pairs, window_stats
+
+REACHES = [
+    Reach(after=timedelta(minutes=60), closed_left=False),
+    Reach(after=timedelta(minutes=30)),
+    Reach(before=timedelta(hours=1)),
+    Reach(before=timedelta(minutes=60), after=timedelta(minutes=180)),
+    Reach(before=timedelta(days=1)),
+    Reach(before=timedelta(days=3), after=timedelta(hours=5), closed_right=False),
+    Reach(before=timedelta(seconds=30), after=timedelta(seconds=90), closed_left=False, closed_right=False),
+]
+
+
+def series_and_events(spark, seed):
+    draw = random.Random(seed)
+    series, events = set(), set()
+    for symbol in ("A", "B"):
+        for _ in range(600):
+            series.add((symbol, minutes("2023-12-30", draw.randrange(6 * 1440))[0]))
+        for _ in range(40):
+            offset = timedelta(seconds=draw.choice([0, 0, 0, 30, 3599]), microseconds=draw.choice([0, 0, 1, 999_999]))
+            events.add((symbol, minutes("2023-12-30", draw.randrange(6 * 1440))[0] + offset))
+    series = [(s, t, draw.uniform(-1, 1)) for s, t in sorted(series)]
+    return (
+        spark.createDataFrame(series, "symbol string, ts timestamp_ntz, r1m double"),
+        spark.createDataFrame(sorted(events), "symbol string, event_ts timestamp_ntz"),
+    )
+
+
+def naive(events, series, reach):
+    low, high = F.col("event_ts") - span(reach.before), F.col("event_ts") + span(reach.after)
+    left = F.col("ts") >= low if reach.closed_left else F.col("ts") > low
+    right = F.col("ts") <= high if reach.closed_right else F.col("ts") < high
+    return events.join(series, "symbol").filter(left & right)
+
+
+@pytest.mark.parametrize("reach", REACHES)
+def test_slotted_join_equals_the_plain_one(spark, reach):
+    series, events = series_and_events(spark, 11)
+    found = rows(window_pairs(events, series, reach).select("symbol", "event_ts", "ts", "r1m"), "symbol", "event_ts", "ts")
+    assert found == rows(naive(events, series, reach).select("symbol", "event_ts", "ts", "r1m"), "symbol", "event_ts", "ts")
+    assert len(found) == len(set(found)) > 0
+
+
+def test_sort_merge_gives_the_same(spark):
+    series, events = series_and_events(spark, 12)
+    expected = rows(window_pairs(events, series, REACHES[3]), "symbol", "event_ts", "ts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(window_pairs(events, series, REACHES[3]), "symbol", "event_ts", "ts") == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_boundaries(spark):
+    event = at("2024-01-01 23:30:00")
+    step = timedelta(microseconds=1)
+    hour = timedelta(minutes=60)
+    times = [event - hour, event - step, event, event + step, event + hour, event + hour + step]
+    series = spark.createDataFrame([("A", t, 1.0) for t in times], "symbol string, ts timestamp_ntz, r1m double")
+    events = spark.createDataFrame([("A", event)], "symbol string, event_ts timestamp_ntz")
+
+    def kept(**reach):
+        return [r[0] for r in rows(window_pairs(events, series, Reach(**reach)).select("ts"), "ts")]
+
+    assert kept(after=hour, closed_left=False) == times[3:5]
+    assert kept(after=hour) == times[2:5]
+    assert kept(before=hour) == times[:3]
+    assert kept(before=hour, closed_left=False) == times[1:3]
+    assert kept(before=hour, after=hour, closed_right=False) == times[:4]
+
+
+def test_several_measures_in_one_pass_equal_single_ones(spark):
+    series, events = series_and_events(spark, 13)
+    measures = [Measure(f"m{i}_{kind}", kind, reach) for i, reach in enumerate(REACHES[:5]) for kind in ("sum", "count", "rows", "stddev")]
+    together = {tuple(r)[:2]: r.asDict() for r in window_stats(events, series, measures).collect()}
+    for measure in measures:
+        alone = window_stats(events, series, [measure, Measure("n", "rows", measure.reach)]).collect()
+        for row in alone:
+            assert together[tuple(row)[:2]][measure.name] == pytest.approx(row[measure.name], abs=1e-12) or row[measure.name] is None
+        absent = set(together) - {tuple(r)[:2] for r in alone}
+        for key in absent:
+            assert together[key][measure.name] in (None, 0)
+
+
+def test_slot_width_covers_the_window():
+    assert slot_width(Reach(after=timedelta(minutes=60))) == 3600
+    assert slot_width(Reach(before=timedelta(minutes=60), after=timedelta(minutes=180))) == 14_400
+    assert slot_width(Reach(before=timedelta(days=1))) == 86_400
+    assert slot_width(Reach(before=timedelta(days=1), after=timedelta(seconds=1))) == 2 * 86_400
