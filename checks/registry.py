@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from eventide.functions import parsing
 from eventide.functions.times import epoch_seconds, floor_time, in_range, span
 from eventide.operators import event_metrics as metrics
-from eventide.operators.event_windows import Measure, Reach, window_stats
+from eventide.operators.event_windows import Measure, Reach, window_stats, without_window_rows
 from eventide.plans import questions, summaries
 from eventide.plans.market import LiveViews, Market
 from eventide.plans.store import DERIVED, TableStore, refresh
@@ -376,6 +376,13 @@ def join_equi_day(market: Market) -> DataFrame:
     return rounded(joined, 9, "rate", "p90_abs_rate")
 
 
+@over_market
+def join_anti_window(market: Market) -> DataFrame:
+    views = LiveViews(market)
+    falls = views.returns().filter(F.col("r1m") < 0)
+    return without_window_rows(views.events().select("symbol", "event_ts"), falls, metrics.FORWARD_30M)
+
+
 @over_market
 def join_cross_scalar(market: Market) -> DataFrame:
     views = LiveViews(market)

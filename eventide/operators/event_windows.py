@@ -46,16 +46,14 @@ class Measure:
     """One aggregate of the series value over one window."""
 
     name: str
-    kind: str  # sum, count (non-null values), rows, stddev
+    kind: str  # sum, count (non-null values), rows, negatives, stddev
     reach: Reach
 
 
 def slot_width(reach: Reach) -> int:
-    length = max(int((reach.before + reach.after).total_seconds()), 1)
-    for width in _WIDTHS:
-        if width >= length:
-            return width
-    return -(-length // DAY_SECONDS) * DAY_SECONDS
+    """Shortest listed width that holds the window; a longer window touches several whole days."""
+    length = (reach.before + reach.after).total_seconds()
+    return next((width for width in _WIDTHS if width >= length), DAY_SECONDS)
 
 
 def window_pairs(events: DataFrame, series: DataFrame, reach: Reach) -> DataFrame:
@@ -65,32 +63,27 @@ def window_pairs(events: DataFrame, series: DataFrame, reach: Reach) -> DataFram
     again. Event sets small enough are broadcast by Spark's own size check.
     """
     width = slot_width(reach)
+    per_day = DAY_SECONDS // width
     before, after = int(reach.before.total_seconds()), int(reach.after.total_seconds())
     at = epoch_seconds("event_ts")
     touched = F.sequence(F.floor((at - before) / width), F.floor((at + after) / width))
-    keys = ["symbol", "day"]
-    if width <= DAY_SECONDS:
-        per_day = DAY_SECONDS // width
-        day = F.date_from_unix_date(F.floor(F.col("_at") / per_day).cast("int"))
-        if "day" not in series.columns:
-            series = series.withColumn("day", F.to_date("ts"))
-        if per_day > 1:
-            keys = ["symbol", "day", "_slot"]
-            series = series.withColumn("_slot", F.floor((epoch_seconds("ts") % DAY_SECONDS) / width))
-        spread = (
-            events.withColumn("_at", F.explode(touched))
-            .withColumn("day", day)
-            .withColumn("_slot", F.col("_at") % per_day)
-        )
-    else:
-        keys = ["symbol", "_slot"]
-        series = series.drop("day").withColumn("_slot", F.floor(epoch_seconds("ts") / width))
-        spread = events.withColumn("_slot", F.explode(touched))
-    spread = spread.drop(*({"_at", "day", "_slot"} - set(keys)))
-    joined = spread.join(series, keys)
+    spread = events.withColumn("_at", F.explode(touched)).withColumns({
+        "day": F.date_from_unix_date(F.floor(F.col("_at") / per_day).cast("int")),
+        "_slot": F.pmod("_at", F.lit(per_day)),
+    })
+    if "day" not in series.columns:
+        series = series.withColumn("day", F.to_date("ts"))
+    slotted = series.withColumn("_slot", F.floor((epoch_seconds("ts") % DAY_SECONDS) / width))
+    joined = spread.drop("_at").join(slotted, ["symbol", "day", "_slot"])
     return joined.filter(reach.holds(F.col("ts"), F.col("event_ts"))).drop("day", "_slot")
 
 
+def without_window_rows(events: DataFrame, series: DataFrame, reach: Reach) -> DataFrame:
+    """Anti join: the events (symbol, event_ts, ...) with no series row in reach."""
+    hit = window_pairs(events.select("symbol", "event_ts"), series.select("symbol", "ts"), reach)
+    return events.join(hit.select("symbol", "event_ts"), ["symbol", "event_ts"], "left_anti")
+
+
 def window_stats(events: DataFrame, series: DataFrame, measures: Sequence[Measure], value: str = "r1m") -> DataFrame:
     """Aggregates per event over any number of windows, in one join and one grouping.
 
@@ -110,6 +103,8 @@ def window_stats(events: DataFrame, series: DataFrame, measures: Sequence[Measur
             result = F.count(chosen)
         elif measure.kind == "rows":
             result = F.count_if(inside)
+        elif measure.kind == "negatives":
+            result = F.count_if(inside & (F.col(value) < 0))
         elif measure.kind == "stddev":
             result = F.stddev_samp(chosen)
         else:

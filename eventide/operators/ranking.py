@@ -123,3 +123,20 @@ def exact_percentile(
     part = F.max(position - F.floor(position))
     result = F.when(low == high, low).otherwise(low + (high - low) * part)
     return ranked.groupBy(*keys).agg(result.alias(name), *extra)
+
+
+def with_percentile(
+    df: DataFrame,
+    value: str,
+    share: float,
+    name: str,
+    one_task_rows: int = ONE_TASK_ROWS,
+    row_bound: int | None = None,
+) -> DataFrame:
+    """Add the overall percentile of ``value`` to every row, computing ``df`` only once."""
+    if _fits_one_task(df, (), one_task_rows, row_bound):
+        return df.withColumn(name, F.percentile(value, F.lit(share)).over(Window.partitionBy()))
+    shared_folder(df.sparkSession)
+    kept = df.checkpoint()
+    overall = exact_percentile(kept, value, share, (), name, (), one_task_rows, row_bound)
+    return kept.crossJoin(F.broadcast(overall))  # a single row

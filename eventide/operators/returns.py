@@ -29,7 +29,10 @@ def with_lead_in(series: DataFrame, value: str, rows: int, start: TimeLike | Non
     day = calendar_day
     if start is not None:
         day = F.when(F.col("ts") >= ntz(start), day).otherwise(F.lit(_OLDEST).cast("date"))
-    series = series.select("symbol", day.alias("day"), "ts", value)
+    # Stated here, the test reaches both readers of the series; Spark then shares their common part.
+    dated = F.col("symbol").isNotNull() & F.col("day").isNotNull()
+    series = series.select("symbol", day.alias("day"), "ts", value).filter(dated)
+    body = body.filter(dated)
 
     entry = F.struct("ts", value)
     if rows == 1:

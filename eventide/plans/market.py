@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
@@ -131,6 +130,16 @@ class LiveViews:
     def symbol_daily_stats(self) -> DataFrame:
         return metrics.symbol_daily_stats(self.market.klines, self.market.funding)
 
-    def negative_returns(self, start=None, end=None) -> DataFrame:
-        """Returns below zero that can lie within 30 minutes after an event of the range."""
-        return self.returns(start, end, Reach(after=timedelta(minutes=30))).filter(F.col("r1m") < 0)
+    def fall_risk(self, start=None, end=None) -> DataFrame:
+        """(symbol, event_ts, rv_1d, n_falls): volatility of the day before, negative returns in the half
+        hour after, for events with at least one return in the day before."""
+        stats = self.stats(
+            start,
+            end,
+            [
+                Measure("rv_1d", "stddev", metrics.BEFORE_1D),
+                Measure("_rows_before", "rows", metrics.BEFORE_1D),
+                Measure("n_falls", "negatives", metrics.FORWARD_30M),
+            ],
+        )
+        return stats.filter(F.col("_rows_before") > 0).select("symbol", "event_ts", "rv_1d", "n_falls")

@@ -7,13 +7,10 @@ Results are returned lazily and ordered the way a reader would expect them.
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, functions as F
 
 from eventide.functions.times import TimeLike, clip, in_range
 from eventide.operators import event_metrics as metrics, ranking
-from eventide.operators.event_windows import Reach, window_pairs
 
 
 def _mean_drift(markouts: DataFrame, *keys: str) -> DataFrame:
@@ -94,15 +91,15 @@ def low_vol_safe_symbols(views, start: TimeLike, end: TimeLike, median_scope: st
 
     An event is ruled out only if its rv_1d is below the median *and* some single return within
     30 minutes after it is negative; any other event, NULL volatility included, lets its symbol pass.
+    ``median_scope``: the median over the ``filtered`` events, or over ``all``.
     """
-    reach = Reach(after=timedelta(minutes=30), closed_left=False)
     first, last = (None, None) if median_scope == "all" else (start, end)
-    levels = views.daily_vol(start, end)
-    median = median_daily_vol(views, first, last)  # one row
-    calm = levels.crossJoin(F.broadcast(median)).filter(F.col("rv_1d") < F.col("med_rv"))
-    falls = views.negative_returns(start, end)
-    ruled_out = window_pairs(calm.select("symbol", "event_ts"), falls, reach).select("symbol", "event_ts")
-    safe = levels.join(ruled_out, ["symbol", "event_ts"], "left_anti")
+    market = views.market
+    events = ranking.with_percentile(
+        views.fall_risk(first, last), "rv_1d", 0.5, "med_rv", market.one_task_rows, market.funding_rows
+    )
+    ruled_out = F.coalesce(F.col("rv_1d") < F.col("med_rv"), F.lit(False)) & (F.col("n_falls") > 0)
+    safe = events.filter(in_range("event_ts", start, end) & ~ruled_out)
     return safe.select("symbol").distinct().orderBy("symbol")
 
 

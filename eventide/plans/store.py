@@ -8,13 +8,13 @@ write, so a day with most of the rows is written by several tasks and a quiet on
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from eventide.functions.times import TimeLike, clip, naive_utc, shift
 from eventide.operators import event_metrics as metrics
-from eventide.operators.event_windows import Reach
+from eventide.operators.event_windows import Measure, Reach, window_stats
 from eventide.operators.returns import minute_returns
 from eventide.plans.market import LiveViews, Market
 from eventide.schemas import STORED
@@ -193,5 +193,9 @@ class StoredViews:
     def symbol_daily_stats(self) -> DataFrame:
         return self.store.read("symbol_daily_stats")
 
-    def negative_returns(self, start=None, end=None) -> DataFrame:
-        return self.returns(start, end, Reach(after=timedelta(minutes=30))).filter(F.col("r1m") < 0)
+    def fall_risk(self, start=None, end=None) -> DataFrame:
+        levels = self.daily_vol(start, end)
+        reach = metrics.FORWARD_30M
+        falls = self.returns(start, end, reach).filter(F.col("r1m") < 0)
+        counted = window_stats(levels.select("symbol", "event_ts"), falls, [Measure("n_falls", "rows", reach)])
+        return levels.join(counted, ["symbol", "event_ts"], "left").fillna(0, ["n_falls"])

@@ -6,7 +6,7 @@ from conftest import at, minutes, rows
 from pyspark.sql import functions as F
 
 from eventide.functions.times import span
-from eventide.operators.event_windows import Measure, Reach, slot_width, window_pairs, window_stats
+from eventide.operators.event_windows import Measure, Reach, slot_width, window_pairs, window_stats, without_window_rows
 
 REACHES = [
     Reach(after=timedelta(minutes=60), closed_left=False),
@@ -80,7 +80,7 @@ def test_boundaries(spark):
 
 def test_several_measures_in_one_pass_equal_single_ones(spark):
     series, events = series_and_events(spark, 13)
-    measures = [Measure(f"m{i}_{kind}", kind, reach) for i, reach in enumerate(REACHES[:5]) for kind in ("sum", "count", "rows", "stddev")]
+    measures = [Measure(f"m{i}_{kind}", kind, reach) for i, reach in enumerate(REACHES[:5]) for kind in ("sum", "count", "rows", "negatives", "stddev")]
     together = {tuple(r)[:2]: r.asDict() for r in window_stats(events, series, measures).collect()}
     for measure in measures:
         alone = window_stats(events, series, [measure, Measure("n", "rows", measure.reach)]).collect()
@@ -95,4 +95,13 @@ def test_slot_width_covers_the_window():
     assert slot_width(Reach(after=timedelta(minutes=60))) == 3600
     assert slot_width(Reach(before=timedelta(minutes=60), after=timedelta(minutes=180))) == 14_400
     assert slot_width(Reach(before=timedelta(days=1))) == 86_400
-    assert slot_width(Reach(before=timedelta(days=1), after=timedelta(seconds=1))) == 2 * 86_400
+    assert slot_width(Reach(before=timedelta(days=14))) == 86_400
+
+
+def test_anti_join_keeps_events_without_rows(spark):
+    series, events = series_and_events(spark, 14)
+    reach = Reach(after=timedelta(minutes=5), closed_left=False)
+    hit = {r[:2] for r in rows(naive(events, series, reach).select("symbol", "event_ts"))}
+    expected = sorted(set(rows(events)) - hit)
+    assert rows(without_window_rows(events, series, reach), "symbol", "event_ts") == expected
+    assert 0 < len(expected) < events.count()
