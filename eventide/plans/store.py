@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from eventide.functions.times import TimeLike, clip, naive_utc, shift
@@ -64,13 +65,20 @@ class TableStore:
     def insert_ignore(self, name: str, batch: DataFrame, key: Sequence[str], arrival: Sequence[Column]) -> None:
         """Append the rows whose key is new, the first to arrive if a key repeats within the batch.
 
-        Only the days the batch spans are read back. One writer per table at a time.
+        Only the days the batch spans are read back. A table not there yet is created. One writer per
+        table at a time.
         """
         time = STORED[name][0]
         first, last = batch.agg(F.min(time).cast("string"), F.max(time).cast("string")).first()
         if first is None:
             return
-        self.write(name, insert_ignore(batch, clip(self.read(name), time, first, last), key, arrival), append=True)
+        try:
+            present = clip(self.read(name), time, first, last)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            present = None
+        self.write(name, insert_ignore(batch, present, key, arrival), append=True)
 
     def market(self, symbols: DataFrame, **options) -> Market:
         """The base tables of this store."""

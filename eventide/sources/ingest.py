@@ -15,7 +15,6 @@ KLINE_FIELDS = 12  # columns of an archive row; the ones after the ninth are not
 # First cell of an optional header line.
 HEADER_CELLS = ("open_time", "open time")
 _LINES_PER_BATCH = 20_000
-_CSV_TIME = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
 # ---- kline archives -----------------------------------------------------------------------
@@ -154,7 +153,8 @@ def load_premium_index(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(table: DataFrame, path: str) -> None:
     """CSV with a header line and ISO times separated by a blank."""
-    table.write.mode("overwrite").csv(path, header=True, timestampNTZFormat=_CSV_TIME)
+    times = [name for name, kind in table.dtypes if kind == "timestamp_ntz"]
+    table.withColumns({c: F.col(c).cast("string") for c in times}).write.mode("overwrite").csv(path, header=True)
 
 
 # ---- symbols and keyed inserts ------------------------------------------------------------
