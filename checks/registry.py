@@ -1,6 +1,7 @@
 """One registered query per operator or question: (spark, folder) -> DataFrame.
 
-Floating-point results are rounded, because the order of summation differs between engines.
+Floating-point results are rounded, because the order of summation differs between engines. Means of
+values with few decimals are rounded finely enough that they do not fall half-way between two results.
 """
 
 from __future__ import annotations
@@ -49,6 +50,9 @@ def over_folder(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+RATE_DIGITS, MEAN_DIGITS = 14, 9
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -312,14 +316,14 @@ def minute_returns(market: Market) -> DataFrame:
 
 @over_market
 def event_markout_60m(market: Market) -> DataFrame:
-    return rounded(LiveViews(market).event_markouts(), 9, "rate", "markout_60m")
+    return rounded(rounded(LiveViews(market).event_markouts(), RATE_DIGITS, "rate"), 9, "markout_60m")
 
 
 @over_market
 def event_markout_30m(market: Market) -> DataFrame:
     views = LiveViews(market)
     drift = metrics.drift(views.events(), views.returns(), metrics.FORWARD_30M, "markout_30m")
-    return rounded(drift, 9, "rate", "markout_30m")
+    return rounded(rounded(drift, RATE_DIGITS, "rate"), 9, "markout_30m")
 
 
 @over_market
@@ -373,7 +377,7 @@ def join_equi_day(market: Market) -> DataFrame:
     views = LiveViews(market)
     stats = views.daily_rate_stats().select("symbol", "d", "p90_abs_rate")
     joined = views.funding().withColumn("d", F.to_date("ts")).join(stats, ["symbol", "d"])
-    return rounded(joined, 9, "rate", "p90_abs_rate")
+    return rounded(joined, RATE_DIGITS, "rate", "p90_abs_rate")
 
 
 @over_market
@@ -399,12 +403,12 @@ def median_rv(market: Market) -> DataFrame:
 
 @over_market
 def funding_deciles_daily(market: Market) -> DataFrame:
-    return rounded(LiveViews(market).funding_deciles(), 9, "rate")
+    return rounded(LiveViews(market).funding_deciles(), RATE_DIGITS, "rate")
 
 
 @over_market
 def daily_rate_stats(market: Market) -> DataFrame:
-    return rounded(LiveViews(market).daily_rate_stats(), 12, "p90_abs_rate", "avg_abs_rate")
+    return rounded(LiveViews(market).daily_rate_stats(), RATE_DIGITS, "p90_abs_rate", "avg_abs_rate")
 
 
 @over_market
@@ -419,7 +423,7 @@ def rolling_oi_p90_closed(market: Market) -> DataFrame:
 
 @over_market
 def symbol_daily_stats(market: Market) -> DataFrame:
-    return rounded(LiveViews(market).symbol_daily_stats(), 6, "avg_volume")
+    return rounded(LiveViews(market).symbol_daily_stats(), MEAN_DIGITS, "avg_volume")
 
 
 @over_market
@@ -492,17 +496,17 @@ def vol_regime_markouts_filtered(market: Market) -> DataFrame:
 
 @over_market
 def symbol_overview(market: Market) -> DataFrame:
-    return rounded(questions.symbol_overview(LiveViews(market), START, END), 6, "avg_kline_volume")
+    return rounded(questions.symbol_overview(LiveViews(market), START, END), MEAN_DIGITS, "avg_kline_volume")
 
 
 @over_market
 def symbol_overview_raw(market: Market) -> DataFrame:
-    return rounded(questions.symbol_overview_raw(market, START, END), 6, "avg_kline_volume")
+    return rounded(questions.symbol_overview_raw(market, START, END), MEAN_DIGITS, "avg_kline_volume")
 
 
 @over_market
 def funding_pressure(market: Market) -> DataFrame:
-    return rounded(questions.funding_pressure(LiveViews(market), START, END), 12, "avg_abs_rate")
+    return rounded(questions.funding_pressure(LiveViews(market), START, END), RATE_DIGITS, "avg_abs_rate")
 
 
 @over_market
@@ -578,13 +582,13 @@ def regime_signals(market: Market) -> DataFrame:
 @over_market
 def dashboard_summary(market: Market) -> DataFrame:
     overview = questions.symbol_overview(LiveViews(market), START, END)
-    return rounded(summaries.dashboard_summary(overview), 6, "avg_volume")
+    return rounded(summaries.dashboard_summary(overview), MEAN_DIGITS, "avg_volume")
 
 
 @over_market
 def data_quality_tier(market: Market) -> DataFrame:
     overview = questions.symbol_overview(LiveViews(market), START, END)
-    return rounded(summaries.data_quality_tier(overview), 6, "avg_kline_volume")
+    return rounded(summaries.data_quality_tier(overview), MEAN_DIGITS, "avg_kline_volume")
 
 
 @over_market
