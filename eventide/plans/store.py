@@ -7,16 +7,18 @@ write, so a day with most of the rows is written by several tasks and a quiet on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from eventide.functions.times import TimeLike, clip, naive_utc, shift
 from eventide.operators import event_metrics as metrics
 from eventide.operators.event_windows import Measure, Reach, window_stats
-from eventide.operators.returns import minute_returns
+from eventide.operators.returns import VOL_PRECEDING, minute_returns
 from eventide.plans.market import LiveViews, Market
 from eventide.schemas import STORED
 from eventide.sources.ingest import insert_ignore
@@ -86,50 +88,78 @@ class TableStore:
         return Market(symbols, *[self.read(name) for name in base], **options)
 
 
+def bars_with_lead_in(store: TableStore, klines: DataFrame, start: datetime) -> DataFrame:
+    """Bars from ``start`` on, and the days before it that hold the last rows their windows look back to.
+
+    Which days these are is read off the stored daily counts, per symbol: usually the day before, but
+    as far back as a gap in the data demands. No other history is scanned.
+    """
+    day = F.col("day") if "day" in klines.columns else F.to_date("open_time")
+    klines = klines.withColumn("day", day)
+    first_day = F.lit(start.date().isoformat()).cast("date")
+    recent = klines.filter(F.col("day") >= first_day)
+    newer = Window.partitionBy("symbol").orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = store.read("symbol_daily_stats").filter((F.col("d") < first_day) & (F.col("n_klines") > 0))
+    needed = (
+        counted.join(recent.select("symbol").distinct(), "symbol", "left_semi")
+        .withColumn("_after", F.coalesce(F.sum("n_klines").over(newer), F.lit(0)))
+        .filter(F.col("_after") <= VOL_PRECEDING)
+        .select("symbol", F.col("d").alias("day"))
+    )
+    earliest = needed.agg(F.min("day").cast("string")).first()[0]
+    if earliest is None:
+        return recent
+    before = klines.filter((F.col("day") >= F.lit(earliest).cast("date")) & (F.col("day") < first_day))
+    return recent.unionByName(before.join(needed, ["symbol", "day"], "left_semi").select(*recent.columns))
+
+
 def refresh(store: TableStore, market: Market, since: TimeLike | None = None) -> None:
     """Rebuild the derived tables in order of dependency.
 
     With ``since``, base rows before that day are taken as unchanged, and only days whose windows
     can reach a changed row are rewritten. Terciles depend on all events, so those are always
-    rebuilt, from the stored volatility levels and not from the bars.
+    rebuilt, from the stored volatility levels and not from the bars. Tables that do not depend on
+    each other are written side by side, so that the last tasks of one do not hold up the others.
     """
     day = None if since is None else naive_utc(since).date()
     start = None if day is None else datetime.combine(day, datetime.min.time())
-
-    store.write("minute_returns", minute_returns(market.klines, start), day)
     live, stored = LiveViews(market), StoredViews(store, market)
+    klines = market.klines if start is None else bars_with_lead_in(store, market.klines, start)
+    rows = market.funding_rows  # counted once, before the threads ask for it
 
-    def from_day(reach: Reach) -> tuple[datetime | None, date | None]:
+    def around_events(name: str, build: Callable[[DataFrame, DataFrame], DataFrame], reach: Reach) -> None:
         """Events whose window ends after the change begin the window's length earlier."""
-        if start is None:
-            return None, None
-        early = datetime.combine((start - reach.after).date(), datetime.min.time())
-        return early, early.date()
-
-    begin, first = from_day(metrics.FORWARD_60M)
-    store.write(
-        "event_markouts",
-        metrics.event_markouts(live.events(begin), stored.returns(begin, None, metrics.FORWARD_60M)),
-        first,
-    )
-    begin, first = from_day(metrics.CAR_WINDOW)
-    store.write(
-        "event_car",
-        metrics.event_car_series(live.events(begin), stored.returns(begin, None, metrics.CAR_WINDOW)),
-        first,
-    )
-    store.write("funding_deciles", live.funding_deciles(start), day)
-    store.write(
-        "event_vol_levels",
-        metrics.event_volatility_levels(live.events(start), stored.returns(start, None, metrics.BEFORE_1D)),
-        day,
+        begin = None if start is None else datetime.combine((start - reach.after).date(), datetime.min.time())
+        table = build(live.events(begin), stored.returns(begin, None, reach))
+        store.write(name, table, None if begin is None else begin.date())
+
+    def regimes() -> None:
+        levels = store.read("event_vol_levels").drop("day")
+        store.write("event_volatility", metrics.with_vol_regime(levels, market.one_task_rows, rows))
+
+    def daily() -> None:
+        recent = clip(market.klines, "open_time", start, None)
+        store.write("symbol_daily_stats", metrics.symbol_daily_stats(recent, live.funding(start)), day)
+
+    steps = (
+        (
+            lambda: store.write("minute_returns", minute_returns(klines, start), day),
+            lambda: store.write("funding_deciles", live.funding_deciles(start), day),
+            lambda: store.write("rolling_oi", live.rolling_oi(start), day),
+            lambda: store.write("daily_rate_stats", live.daily_rate_stats(start), day),
+        ),
+        (
+            lambda: around_events("event_markouts", metrics.event_markouts, metrics.FORWARD_60M),
+            lambda: around_events("event_car", metrics.event_car_series, metrics.CAR_WINDOW),
+            lambda: around_events("event_vol_levels", metrics.event_volatility_levels, metrics.BEFORE_1D),
+            daily,  # the lead-in of the first step reads its earlier state
+        ),
+        (regimes,),
     )
-    levels = store.read("event_vol_levels").drop("day")
-    store.write("event_volatility", metrics.with_vol_regime(levels, market.one_task_rows, market.funding_rows))
-    store.write("rolling_oi", live.rolling_oi(start), day)
-    store.write("daily_rate_stats", live.daily_rate_stats(start), day)
-    recent = clip(market.klines, "open_time", start, None)
-    store.write("symbol_daily_stats", metrics.symbol_daily_stats(recent, live.funding(start)), day)
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for step in steps:
+            for done in [pool.submit(inheritable_thread_target(store.spark)(write)) for write in step]:
+                done.result()
 
 
 class StoredViews:

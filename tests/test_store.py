@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventide import schemas
 from eventide.plans import questions
+from eventide.plans.catalog import register_views, time_arguments
 from eventide.plans.market import LiveViews
 from eventide.plans.store import DERIVED, StoredViews, TableStore, refresh
 
@@ -70,6 +71,9 @@ def test_stored_questions_equal_live_ones(spark, make, tables, tmp_path):
 
 def test_incremental_refresh_equals_a_full_one(spark, make, tables, tmp_path):
     closes, funding, oi = tables
+    # CCC is quiet: its windows reach back over many days. DDD ended, EEE begins with the change.
+    closes = closes + [("CCCUSDT", minutes("2024-01-01", day * 720)[0], 50 + day % 7) for day in range(40)]
+    closes = closes + [("DDDUSDT", at("2024-01-03"), 5.0), ("EEEUSDT", at("2024-01-16"), 5.0)]
     cut = at("2024-01-15")
     before = make([r for r in closes if r[1] < cut], [r for r in funding if r[1] < cut], [r for r in oi if r[1] < cut])
     after = make(closes, funding, oi)
@@ -109,3 +113,25 @@ def test_ranges_skip_folders(spark, make, tables, tmp_path):
     market = replace(make(), klines=store.read("klines"))
     plan = LiveViews(market).returns(None, at("2024-01-03") + timedelta(hours=1))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(open_time), LessThanOrEqual(open_time" in plan
+
+
+def test_sql_over_views_live_and_stored(spark, make, tables, tmp_path):
+    market = make(*tables)
+    store = TableStore(spark, str(tmp_path))
+    refresh(store, market)
+    asked = """
+        SELECT EXTRACT(HOUR FROM f.ts) AS h, AVG(x.m) AS m, COUNT(*) AS n FROM {p}funding f JOIN (
+          SELECT f.symbol, f.ts, SUM(r.r1m) AS m FROM {p}funding f JOIN {p}minute_returns r
+            ON r.symbol = f.symbol AND r.ts > f.ts AND r.ts <= f.ts + INTERVAL '60 minutes'
+          WHERE f.ts BETWEEN CAST(:start AS TIMESTAMP_NTZ) AND CAST(:end AS TIMESTAMP_NTZ)
+          GROUP BY f.symbol, f.ts) x ON x.symbol = f.symbol AND x.ts = f.ts GROUP BY h ORDER BY h"""
+    expected = rows(questions.hourly_markouts(LiveViews(market), START, "2024-01-09T00:00:00Z"))
+    for prefix, views in (("live_", None), ("stored_", StoredViews(store, market))):
+        names = register_views(market, views, prefix)
+        assert f"{prefix}mv_symbol_daily_stats" in names
+        args = time_arguments(start=START, end="2024-01-09T00:00:00Z")
+        close(rows(spark.sql(asked.format(p=prefix), args=args)), expected)
+        percentile = f"""SELECT symbol, DATE(ts) AS d, PERCENTILE_CONT(0.9) WITHIN GROUP (ORDER BY ABS(rate)) AS p
+                         FROM {prefix}funding GROUP BY symbol, DATE(ts) ORDER BY symbol, d"""
+        kept = spark.table(f"{prefix}mv_daily_rate_stats").select("symbol", "d", "p90_abs_rate")
+        close(rows(spark.sql(percentile)), rows(kept, "symbol", "d"))
