@@ -68,16 +68,15 @@ def project_rename_filter(market: Market) -> DataFrame:
 
 @over_market
 def filter_time_bounds(market: Market) -> DataFrame:
-    day = F.to_date("ts")
     forms = {
         "timestamp_full_end": in_range("ts", "2024-01-02 00:00:00", "2024-01-30 23:59:59"),
         "timestamp_date_end": in_range("ts", "2024-01-02", "2024-01-30"),
         "timestamp_zoned_end": in_range("ts", "2024-01-02T00:00:00Z", "2024-01-30T23:59:59Z"),
-        "date_full_end": in_range(day, "2024-01-02 00:00:00", "2024-01-30 23:59:59"),
-        "date_date_end": in_range(day, "2024-01-02", "2024-01-30"),
-        "date_late_start": in_range(day, "2024-01-02 08:00:00", "2024-01-30"),
+        "date_full_end": in_range("d", "2024-01-02 00:00:00", "2024-01-30 23:59:59"),
+        "date_date_end": in_range("d", "2024-01-02", "2024-01-30"),
+        "date_late_start": in_range("d", "2024-01-02 08:00:00", "2024-01-30"),
     }
-    counts = market.funding.agg(*[F.count_if(test).alias(name) for name, test in forms.items()])
+    counts = market.funding.withColumn("d", F.to_date("ts")).agg(*[F.count_if(test).alias(name) for name, test in forms.items()])
     return counts.unpivot([], list(forms), "form", "n_rows")
 
 

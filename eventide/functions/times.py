@@ -25,24 +25,18 @@ def naive_utc(value: TimeLike) -> datetime:
     return value
 
 
-def ntz(value: TimeLike) -> Column:
-    """Zone-free timestamp literal."""
-    return F.lit(naive_utc(value).isoformat(sep=" ")).cast("timestamp_ntz")
-
-
-def in_range(column: Column | str, start: TimeLike | None, end: TimeLike | None) -> Column:
-    """Closed range test; an open end (None) does not restrict.
+def in_range(column: str, start: TimeLike | None, end: TimeLike | None) -> Column:
+    """Closed range test on a named column; an open end (None) does not restrict.
 
     A DATE column is widened to its midnight first, so a start later than midnight leaves
     that day out.
     """
-    column = F.col(column) if isinstance(column, str) else column
-    test = F.lit(True)
-    if start is not None:
-        test = test & (column.cast("timestamp_ntz") >= ntz(start))
-    if end is not None:
-        test = test & (column.cast("timestamp_ntz") <= ntz(end))
-    return test
+    tests = [
+        f"CAST({column} AS TIMESTAMP_NTZ) {sign} TIMESTAMP_NTZ '{naive_utc(bound).isoformat(sep=' ')}'"
+        for sign, bound in ((">=", start), ("<=", end))
+        if bound is not None
+    ]
+    return F.expr(" AND ".join(tests) or "TRUE")
 
 
 def clip(df: DataFrame, column: str, start: TimeLike | None, end: TimeLike | None) -> DataFrame:
@@ -65,10 +59,11 @@ def whole_days(start: TimeLike | None, end: TimeLike | None) -> tuple[datetime |
     return low, high
 
 
-def epoch_seconds(column: Column | str) -> Column:
+def epoch_seconds(column: str) -> Column:
     """Whole seconds since 1970 of a zone-free timestamp."""
-    days = F.unix_date(F.to_date(column)).cast("bigint")
-    return days * DAY_SECONDS + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
+    return F.expr(
+        f"unix_date(to_date({column})) * {DAY_SECONDS}L + hour({column}) * 3600 + minute({column}) * 60 + second({column})"
+    )
 
 
 def span(delta: timedelta) -> Column:

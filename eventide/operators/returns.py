@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventide.functions.times import TimeLike, clip, ntz
+from eventide.functions.times import TimeLike, clip, in_range
 
 # The frame is the current row and the 30 before it. The oldest of these needs one more price.
 VOL_PRECEDING = 30
@@ -25,14 +25,14 @@ def with_lead_in(series: DataFrame, value: str, rows: int, start: TimeLike | Non
     cut down to its last rows before the shuffle.
     """
     calendar_day = F.to_date("ts")
-    body = clip(series, "ts", start, None).select("symbol", calendar_day.alias("day"), "ts", value)
-    day = calendar_day
-    if start is not None:
-        day = F.when(F.col("ts") >= ntz(start), day).otherwise(F.lit(_OLDEST).cast("date"))
     # Stated here, the test reaches both readers of the series; Spark then shares their common part.
-    dated = F.col("symbol").isNotNull() & F.col("day").isNotNull()
-    series = series.select("symbol", day.alias("day"), "ts", value).filter(dated)
-    body = body.filter(dated)
+    dated = F.expr("symbol IS NOT NULL AND day IS NOT NULL")
+    body = clip(series, "ts", start, None).select("symbol", calendar_day.alias("day"), "ts", value).filter(dated)
+    if start is None:
+        series = body
+    else:
+        day = F.when(in_range("ts", start, None), calendar_day).otherwise(F.lit(_OLDEST).cast("date"))
+        series = series.select("symbol", day.alias("day"), "ts", value).filter(dated)
 
     entry = F.struct("ts", value)
     if rows == 1:
