@@ -11,6 +11,9 @@ RUNTIME_CONF = {
     # Returns leave their window stage partitioned by (symbol, day). With this off, a join on
     # (symbol, day, slot) keeps that partitioning, so the bars cross the network once, not twice.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Events that turn out small per partition are hashed, and the bars need no second sort for the
+    # join. Larger ones fall back to sort-merge; Spark checks the size at run time.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

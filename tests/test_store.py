@@ -120,11 +120,12 @@ def test_sql_over_views_live_and_stored(spark, make, tables, tmp_path):
     store = TableStore(spark, str(tmp_path))
     refresh(store, market)
     asked = """
-        SELECT EXTRACT(HOUR FROM f.ts) AS h, AVG(x.m) AS m, COUNT(*) AS n FROM {p}funding f JOIN (
-          SELECT f.symbol, f.ts, SUM(r.r1m) AS m FROM {p}funding f JOIN {p}minute_returns r
-            ON r.symbol = f.symbol AND r.ts > f.ts AND r.ts <= f.ts + INTERVAL '60 minutes'
-          WHERE f.ts BETWEEN CAST(:start AS TIMESTAMP_NTZ) AND CAST(:end AS TIMESTAMP_NTZ)
-          GROUP BY f.symbol, f.ts) x ON x.symbol = f.symbol AND x.ts = f.ts GROUP BY h ORDER BY h"""
+        SELECT hour(at) AS h, avg(drift) AS m, count(*) AS n
+        FROM (SELECT f.ts AS at, sum(r1m) AS drift FROM {p}funding f JOIN {p}minute_returns r USING (symbol)
+              WHERE r.ts - f.ts BETWEEN INTERVAL '1' SECOND AND INTERVAL '60' MINUTE
+                AND f.ts BETWEEN CAST(:start AS TIMESTAMP_NTZ) AND CAST(:end AS TIMESTAMP_NTZ)
+              GROUP BY symbol, f.ts)
+        GROUP BY h ORDER BY h"""
     expected = rows(questions.hourly_markouts(LiveViews(market), START, "2024-01-09T00:00:00Z"))
     for prefix, views in (("live_", None), ("stored_", StoredViews(store, market))):
         names = register_views(market, views, prefix)
