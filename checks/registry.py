@@ -242,6 +242,15 @@ def upsert_ignore(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.insert_ignore(log, target, ["symbol", "ts"], [F.col("event_id").asc()])
 
 
+@over_market
+def csv_round_trip(market: Market) -> DataFrame:
+    """Funding prints written as CSV into a fresh folder, read back as text, cleaned and typed."""
+    spark = market.funding.sparkSession
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    ingest.write_csv(market.funding, path)
+    return rounded(ingest.valid_rows(ingest.load_funding(spark, path)), RATE_DIGITS, "rate")
+
+
 def _given(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 

@@ -14,7 +14,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventide.functions.times import DAY_SECONDS, epoch_seconds, span
+from eventide.functions.times import DAY_SECONDS, floor_time, span
 
 # Slot widths that divide a day, so a slot never crosses midnight.
 _WIDTHS = (900, 1800, 3600, 7200, 10_800, 14_400, 21_600, 43_200, DAY_SECONDS)
@@ -29,11 +29,15 @@ class Reach:
     closed_left: bool = True
     closed_right: bool = True
 
-    def holds(self, ts: Column, event_ts: Column) -> Column:
-        low, high = event_ts - span(self.before), event_ts + span(self.after)
-        left = ts >= low if self.closed_left else ts > low
-        right = ts <= high if self.closed_right else ts < high
-        return left & right
+    def bounds(self, name: str) -> dict[str, Column]:
+        """First and last instant per event, as columns computed once per event and not once per pair."""
+        at = F.col("event_ts")
+        return {f"{name}_from": at - span(self.before), f"{name}_to": at + span(self.after)}
+
+    def holds(self, ts: str, name: str) -> Column:
+        """Whether ``ts`` lies between the bounds of that name."""
+        left, right = ">=" if self.closed_left else ">", "<=" if self.closed_right else "<"
+        return F.expr(f"{ts} {left} {name}_from AND {ts} {right} {name}_to")
 
     @staticmethod
     def hull(reaches: Sequence[Reach]) -> Reach:
@@ -63,19 +67,17 @@ def window_pairs(events: DataFrame, series: DataFrame, reach: Reach) -> DataFram
     again. Event sets small enough are broadcast by Spark's own size check.
     """
     width = slot_width(reach)
-    per_day = DAY_SECONDS // width
-    before, after = int(reach.before.total_seconds()), int(reach.after.total_seconds())
-    at = epoch_seconds("event_ts")
-    touched = F.sequence(F.floor((at - before) / width), F.floor((at + after) / width))
-    spread = events.withColumn("_at", F.explode(touched)).withColumns({
-        "day": F.date_from_unix_date(F.floor(F.col("_at") / per_day).cast("int")),
-        "_slot": F.pmod("_at", F.lit(per_day)),
-    })
+    slots = F.sequence(floor_time("_hull_from", f"{width} seconds"), F.col("_hull_to"), span(timedelta(seconds=width)))
+    spread = (
+        events.withColumns(reach.bounds("_hull"))
+        .withColumn("_slot", F.explode(slots))
+        .withColumn("day", F.to_date("_slot"))
+    )
     if "day" not in series.columns:
         series = series.withColumn("day", F.to_date("ts"))
-    slotted = series.withColumn("_slot", F.floor((epoch_seconds("ts") % DAY_SECONDS) / width))
-    joined = spread.drop("_at").join(slotted, ["symbol", "day", "_slot"])
-    return joined.filter(reach.holds(F.col("ts"), F.col("event_ts"))).drop("day", "_slot")
+    slotted = series.withColumn("_slot", floor_time("ts", f"{width} seconds"))
+    joined = spread.join(slotted, ["symbol", "day", "_slot"])
+    return joined.filter(reach.holds("ts", "_hull")).drop("day", "_slot", "_hull_from", "_hull_to")
 
 
 def without_window_rows(events: DataFrame, series: DataFrame, reach: Reach) -> DataFrame:
@@ -90,13 +92,18 @@ def window_stats(events: DataFrame, series: DataFrame, measures: Sequence[Measur
     Every event column is kept and grouped on. Events with no row in any window are absent;
     use a ``rows`` measure to test the windows one by one.
     """
-    reach = measures[0].reach if len({m.reach for m in measures}) == 1 else Reach.hull([m.reach for m in measures])
+    reaches = list(dict.fromkeys(m.reach for m in measures))
+    hull = reaches[0] if len(reaches) == 1 else Reach.hull(reaches)
+    # The join tests the hull; windows narrower than it are told apart by their own bounds.
+    names = {reach: f"_w{i}" for i, reach in enumerate(reaches) if reach != hull}
+    bounds = {column: value for reach, name in names.items() for column, value in reach.bounds(name).items()}
     narrow = series.select(*[c for c in ("symbol", "day", "ts", value) if c in series.columns])
-    pairs = window_pairs(events, narrow, reach)
+    pairs = window_pairs(events.withColumns(bounds), narrow, hull)
 
     def column(measure: Measure) -> Column:
-        inside = measure.reach.holds(F.col("ts"), F.col("event_ts"))
-        chosen = F.col(value) if measure.reach == reach else F.when(inside, F.col(value))
+        name = names.get(measure.reach)
+        inside = F.lit(True) if name is None else measure.reach.holds("ts", name)
+        chosen = F.col(value) if name is None else F.when(inside, F.col(value))
         if measure.kind == "sum":
             result = F.sum(chosen)
         elif measure.kind == "count":

@@ -14,7 +14,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from eventide.functions.times import TimeLike, clip, epoch_seconds, in_range, shift
+from eventide.functions.times import TimeLike, clip, floor_time, in_range, shift, span
 
 TRAILING = timedelta(days=14)
 
@@ -36,16 +36,18 @@ def trailing_percentile(
     """
     series = clip(series, "ts", shift(start, -reach), end)
     series = series.select("symbol", "ts", F.col(value).cast("double").alias(value))
-    block = F.floor(epoch_seconds("ts") / int(reach.total_seconds()))
-    # Copies go forward only as far as a block that owns rows: one past the end yields nothing.
-    spread = series.withColumn("_owner", block).withColumn(
-        "_block", F.explode(F.array(F.col("_owner"), F.col("_owner") + 1))
+    # Every row belongs to one block and is copied to the next, whose first rows look back to it.
+    own = floor_time("ts", f"{int(reach.total_seconds())} seconds")
+    spread = (
+        series.withColumn("_own", own)
+        .withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + span(reach))))
+        .select("symbol", "ts", value, "_block", (F.col("_own") == F.col("_block")).alias("_owned"))
     )
     window, side = pd.Timedelta(reach), "both" if closed else "right"
 
     def slide(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts", kind="stable")
-        owned = (group["_owner"] == group["_block"]).to_numpy()
+        owned = group["_owned"].to_numpy()
         if not owned.any():
             return group.loc[[], ["symbol", "ts", value]].assign(**{name: pd.Series(dtype="float64")})
         rolled = group.set_index("ts")[value].rolling(window, closed=side).quantile(share, interpolation="linear")

@@ -19,10 +19,20 @@ RUNTIME_CONF = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the runtime settings to an existing session.
+
+    ``input_bytes``, the size of the bars a job reads, sets how finely its shuffles start out; adaptive
+    execution merges what turns out small but never splits beyond this number.
+    """
     for name, value in RUNTIME_CONF.items():
         spark.conf.set(name, value)
+    if input_bytes is not None:
+        wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // PARTITION_BYTES))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark
 
 

@@ -10,6 +10,7 @@ from eventide.operators import event_metrics as metrics
 from eventide.plans import questions
 from eventide.plans.market import LiveViews
 from eventide.plans.store import TableStore, StoredViews, refresh
+from eventide.session import tune
 from eventide.sources.event_log import load_market
 
 FOLDER = f"{TESTDATA}/sf0.001"
@@ -41,7 +42,7 @@ def test_bars_cross_the_network_once_for_returns_and_window_join(large):
     assert text.count("hashpartitioning(symbol") <= 6
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stored_tables"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stored_tables", "csv_round_trip"}))
 def test_no_pairwise_join_except_with_one_row(large, name):
     text = plan(QUERIES[name](large, FOLDER))
     assert "CartesianProduct" not in text
@@ -87,6 +88,15 @@ def test_repeated_key_is_cut_before_the_shuffle(large):
     assert text.count("WindowGroupLimit") == 2 and "Partial" in text
 
 
+def test_shuffles_start_as_fine_as_the_input_needs(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert tune(spark, 100 * 2**40).conf.get(name) == str(100 * 2**40 // 2**27)
+        assert tune(spark, 1).conf.get(name) == spark.conf.get("spark.sql.shuffle.partitions")
+    finally:
+        spark.conf.unset(name)
+
+
 def test_scan_reads_only_what_is_needed(large):
     text = plan(LiveViews(load_market(large, FOLDER)).funding().filter("symbol = 'click'"))
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in text
