@@ -101,14 +101,19 @@ def flag_klines(typed: DataFrame) -> DataFrame:
 # ---- CSV tables ---------------------------------------------------------------------------
 
 def read_csv_text(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """CSV with a header line; the named columns as text, a column the file lacks as NULL."""
+    """CSV with a header line: the named columns as text, a column the file lacks as NULL, and
+    ``arrival``, which orders the rows as they stand in their files."""
     table = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
-    return table.select(*[F.col(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    # Ids grow along each piece of a file; pieces are ordered by where they start.
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    named = [F.col(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in columns]
+    return table.select(*named, place.alias("arrival"))
 
 
 def clean_series(text: DataFrame, values: Sequence[str], time: str = "ts") -> DataFrame:
-    """(symbol, ts, values..., is_valid) from text columns; an empty symbol or a bad cell is invalid."""
+    """(symbol, ts, values..., arrival, is_valid) from text; an empty symbol or a bad cell is invalid."""
     typed = text.select(
+        "arrival",
         parsing.clean_symbol("symbol").alias("symbol"),
         parsing.to_timestamp(F.col(time)).alias(time),
         *[parsing.to_double(F.col(v)).alias(v) for v in values],

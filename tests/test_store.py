@@ -1,4 +1,5 @@
 import random
+import zipfile
 from dataclasses import replace
 from datetime import timedelta
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from eventide import schemas
 from eventide.plans import questions
 from eventide.plans.catalog import register_views, time_arguments
+from eventide.plans.loading import load_files
 from eventide.plans.market import LiveViews
 from eventide.plans.store import DERIVED, StoredViews, TableStore, refresh
 
@@ -136,3 +138,40 @@ def test_sql_over_views_live_and_stored(spark, make, tables, tmp_path):
                          FROM {prefix}funding GROUP BY symbol, DATE(ts) ORDER BY symbol, d"""
         kept = spark.table(f"{prefix}mv_daily_rate_stats").select("symbol", "d", "p90_abs_rate")
         close(rows(spark.sql(percentile)), rows(kept, "symbol", "d"))
+
+
+def test_files_to_answers(spark, make, tables, tmp_path):
+    closes, funding, oi = tables
+    market = make(*tables)
+    folder = tmp_path / "klines"
+    folder.mkdir()
+    for symbol in ("AAAUSDT", "BBBUSDT"):
+        lines = ["open_time,o,h,l,c,v,x,q,n,a,b,d"]
+        for name, time, price in closes:
+            if name == symbol:
+                epoch = int((time - at("1970-01-01")).total_seconds() * 1000)
+                lines.append(f"{epoch},{price!r},{price!r},{price!r},{price!r},1.0,0,0,1,0,0,0")
+        lines += [lines[1].replace(",1.0,", ",9.0,"), "bad"]  # a repeated key, and a bad line
+        with zipfile.ZipFile(folder / f"{symbol.lower()}-1m-2024-01.zip", "w") as packed:
+            packed.writestr("bars.csv", "\n".join(lines))
+    paths = {}
+    for name, table, column in (("funding", funding, "rate"), ("open_interest", oi, "oi")):
+        paths[name] = str(tmp_path / f"{name}.csv")
+        with open(paths[name], "w") as out:
+            out.write(f"symbol,ts,{column}\n")
+            out.writelines(f"{s},{t},{v!r}\n" for s, t, v in table)
+    store = TableStore(spark, str(tmp_path / "tables"))
+    for attempt in range(2):  # loading again changes nothing
+        symbols, report = load_files(store, ["aaausdt ", "BBBUSDT"], str(folder), paths)
+        assert sorted((r.table_name, r.n_good, r.n_bad) for r in report.collect()) == [
+            ("funding", len(funding), 0),
+            ("klines", sum(r[0] == "AAAUSDT" for r in closes) + 1, 1),
+            ("klines", sum(r[0] == "BBBUSDT" for r in closes) + 1, 1),
+            ("open_interest", len(oi), 0),
+        ]
+        assert store.read("klines").count() == len(closes)
+    store.write("premium_index", market.premium_index)
+    loaded = store.market(symbols)
+    assert rows(loaded.symbols, "symbol") == [("AAAUSDT", "AAA", "USDT"), ("BBBUSDT", "BBB", "USDT")]
+    close(rows(questions.extreme_regimes(LiveViews(loaded), START, END, 1)), rows(questions.extreme_regimes(LiveViews(market), START, END, 1)))
+    close(rows(questions.symbol_overview_raw(loaded, START, END)), rows(questions.symbol_overview_raw(market, START, END)))
