@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from eventide.operators import ranking
 from eventide.operators.event_windows import Measure, Reach, window_pairs, window_stats
-from eventide.operators.trailing import trailing_percentile
+from eventide.operators.trailing import trailing_percentile, trailing_percentile_at
 
 # The windows of the study.
 FORWARD_60M = Reach(after=timedelta(minutes=60), closed_left=False)
@@ -104,6 +104,13 @@ def rolling_oi(open_interest: DataFrame, closed: bool = False, start=None, end=N
     )
 
 
+def rolling_oi_at(open_interest: DataFrame, times: DataFrame, closed: bool = False, start=None, end=None) -> DataFrame:
+    """(symbol, ts, oi, p90_oi_14d) for the snapshots taken at ``times`` (symbol, ts)."""
+    return trailing_percentile_at(
+        open_interest, times, "oi", HIGH_SHARE, closed=closed, start=start, end=end, name="p90_oi_14d"
+    )
+
+
 def symbol_daily_stats(klines: DataFrame, funding: DataFrame) -> DataFrame:
     """(symbol, d, n_klines, n_funding_events, avg_volume): counts are 0 on the missing side, the mean NULL."""
     bars = klines.groupBy("symbol", F.to_date("open_time").alias("d")).agg(

@@ -127,6 +127,9 @@ class LiveViews:
     def rolling_oi(self, start=None, end=None, closed: bool = False) -> DataFrame:
         return metrics.rolling_oi(self.market.open_interest, closed, start, end)
 
+    def rolling_oi_at(self, times: DataFrame, start=None, end=None, closed: bool = False) -> DataFrame:
+        return metrics.rolling_oi_at(self.market.open_interest, times, closed, start, end)
+
     def symbol_daily_stats(self) -> DataFrame:
         return metrics.symbol_daily_stats(self.market.klines, self.market.funding)
 

@@ -55,8 +55,8 @@ def regime_events(views, start: TimeLike, end: TimeLike, closed: bool = False, s
     prints = views.funding(start, end).withColumn("d", F.to_date("ts"))
     stats = views.daily_rate_stats(start, end, scope).select("symbol", "d", "p90_abs_rate")
     extreme = prints.join(stats, ["symbol", "d"]).filter(F.abs("rate") > F.col("p90_abs_rate"))
-    crowded = views.rolling_oi(start, end, closed).filter(F.col("oi") > F.col("p90_oi_14d"))
-    return extreme.join(crowded, ["symbol", "ts"]).select("symbol", F.col("ts").alias("event_ts"))
+    levels = views.rolling_oi_at(extreme.select("symbol", "ts"), start, end, closed)
+    return levels.filter(F.col("oi") > F.col("p90_oi_14d")).select("symbol", F.col("ts").alias("event_ts"))
 
 
 def extreme_regimes(

@@ -228,6 +228,11 @@ class StoredViews:
             return LiveViews(self.market).rolling_oi(start, end, closed)
         return self._ranged("rolling_oi", start, end)
 
+    def rolling_oi_at(self, times: DataFrame, start=None, end=None, closed: bool = False) -> DataFrame:
+        if closed:
+            return LiveViews(self.market).rolling_oi_at(times, start, end, closed)
+        return self.rolling_oi(start, end).join(times, ["symbol", "ts"], "left_semi")
+
     def symbol_daily_stats(self) -> DataFrame:
         return self.store.read("symbol_daily_stats")
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from conftest import at, minutes, rows
 
-from eventide.operators.trailing import trailing_percentile
+from eventide.operators.trailing import trailing_percentile, trailing_percentile_at
 
 
 def series(spark, seed, step, n):
@@ -47,3 +47,17 @@ def test_equal_values_are_never_above_their_percentile(spark):
     data = [("A", minutes("2024-01-01", 60 * i)[0], 0.1 + 0.2) for i in range(500)]
     df = spark.createDataFrame(data, "symbol string, ts timestamp_ntz, oi double")
     assert all(r[2] == r[3] for r in rows(trailing_percentile(df, "oi", 0.9)))
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("reach", [timedelta(days=14), timedelta(hours=12)])
+def test_chosen_times_equal_sliding_along_all(spark, closed, reach):
+    data, df = series(spark, 8, 240, 260)
+    draw = random.Random(1)
+    chosen = [r[:2] for r in data if draw.random() < 0.1] + [("A", at("2023-12-20 00:01")), ("C", at("2023-12-20"))]
+    times = spark.createDataFrame(chosen, "symbol string, ts timestamp_ntz")
+    every = {r[:2]: r for r in rows(trailing_percentile(df, "oi", 0.9, reach, closed))}
+    found = rows(trailing_percentile_at(df, times, "oi", 0.9, reach, closed), "symbol", "ts")
+    assert [r[:2] for r in found] == sorted(k for k in chosen if k in every)
+    for row in found:
+        assert row[2:] == pytest.approx(every[row[:2]][2:], abs=1e-9)
