@@ -121,22 +121,25 @@ def late_filter_car(market: Market) -> DataFrame:
 
 
 def _damaged_log(spark: SparkSession, folder: str) -> DataFrame:
-    """The event log as text, with the kinds of damage a loader meets."""
+    """The event log as text; what happened in certain seconds carries the damage a loader meets."""
     log = spark.read.parquet(f"{folder}/events.parquet")
     number, time = F.col("value").cast("string"), F.col("ts").cast("string")
-    part = lambda n: F.col("event_id") % n
+    second = F.second("ts")
     return log.select(
         "event_id",
-        F.when(part(50) == 0, "").when(part(50) == 1, F.concat(F.lit("  "), F.initcap("event_type"), F.lit(" ")))
+        F.when(second == 0, "").when(second == 1, F.concat(F.lit("  "), F.initcap("event_type"), F.lit(" ")))
         .otherwise(F.col("event_type")).alias("symbol"),
-        F.when(part(41) == 0, "not a time").when(part(41) == 1, F.translate(time, "-", "/"))
-        .when(part(41) == 2, F.concat(time, F.lit("Z"))).otherwise(time).alias("ts"),
-        F.when(part(37) == 0, "n/a").when(part(37) == 1, F.concat(F.lit(" "), number, F.lit(" ")))
-        .when(part(37) == 2, "1.2.3").when(part(37) == 3, F.concat(number, F.lit("d")))
-        .when(part(37) == 4, F.concat(F.lit("-"), number)).otherwise(number).alias("value"),
-        F.when(part(31) == 0, "12.0").when(part(31) == 1, " 7 ").when(part(31) == 2, "-3")
+        F.when(second == 10, "not a time").when(second == 11, F.translate(time, "-", "/"))
+        .when(second == 12, F.concat(time, F.lit("Z"))).otherwise(time).alias("ts"),
+        F.when(second == 20, "n/a").when(second == 21, F.concat(F.lit(" "), number, F.lit(" ")))
+        .when(second == 22, "1.2.3").when(second == 23, F.concat(number, F.lit("d")))
+        .when(second == 24, F.concat(F.lit("-"), number)).otherwise(number).alias("value"),
+        F.when(second == 30, "12.0").when(second == 31, " 7 ").when(second == 32, "-3")
         .otherwise(F.col("user_id").cast("string")).alias("trades"),
-        F.concat(((epoch_seconds("ts") * 1000).cast("string")), F.when(part(29) == 0, ".5").when(part(29) == 1, "x").otherwise("")).alias("epoch_ms"),
+        F.concat(
+            (epoch_seconds("ts") * 1000).cast("string"),
+            F.when(second == 40, ".5").when(second == 41, "x").otherwise(""),
+        ).alias("epoch_ms"),
     )
 
 

@@ -64,16 +64,17 @@ class TableStore:
             writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.parquet(self.path(name))
 
-    def insert_ignore(self, name: str, batch: DataFrame, key: Sequence[str], arrival: Sequence[Column]) -> None:
+    def insert_ignore(self, name: str, batch: DataFrame, key: Sequence[str], arrival: Sequence[Column]) -> str | None:
         """Append the rows whose key is new, the first to arrive if a key repeats within the batch.
 
+        Returns the earliest time in the batch, which is what :func:`refresh` needs to know as ``since``.
         Only the days the batch spans are read back. A table not there yet is created. One writer per
         table at a time.
         """
         time = STORED[name][0]
         first, last = batch.agg(F.min(time).cast("string"), F.max(time).cast("string")).first()
         if first is None:
-            return
+            return None
         try:
             present = clip(self.read(name), time, first, last)
         except AnalysisException as error:
@@ -81,6 +82,7 @@ class TableStore:
                 raise
             present = None
         self.write(name, insert_ignore(batch, present, key, arrival), append=True)
+        return first
 
     def market(self, symbols: DataFrame, **options) -> Market:
         """The base tables of this store."""

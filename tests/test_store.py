@@ -99,7 +99,8 @@ def test_base_tables_and_inserts(spark, make, tables, tmp_path):
         [("AAAUSDT", at("2024-01-02 08:00"), 9.0, 2), ("AAAUSDT", at("2024-01-02 09:00"), 8.0, 2),
          ("AAAUSDT", at("2024-01-02 09:00"), 7.0, 1)], "symbol string, ts timestamp_ntz, rate double, load int")
     rows_before = store.read("funding").count()
-    store.insert_ignore("funding", batch, schemas.PRIMARY_KEYS["funding"], [F.col("load").asc()])
+    earliest = store.insert_ignore("funding", batch, schemas.PRIMARY_KEYS["funding"], [F.col("load").asc()])
+    assert earliest == "2024-01-02 08:00:00"
     assert store.read("funding").count() == rows_before + 1
     kept = store.read("funding").filter(F.col("rate") > 1).collect()
     assert [(r.ts, r.rate) for r in kept] == [(at("2024-01-02 09:00"), 7.0)]
