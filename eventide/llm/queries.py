@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .packing import pack_documents
+from .token_counts import new_cache, token_counts
 from .token_records import token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +27,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op1_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return token_records(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+@query
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return packed.select(
+        "doc_id", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return token_counts(documents, public_tokenizers.path("piece_bpe_32k.model"), new_cache(spark), limit=4096)

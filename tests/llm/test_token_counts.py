@@ -1,0 +1,41 @@
+"""Counts through the digest cache."""
+
+import public_tokenizers
+import sentencepiece
+
+from eventide.llm import token_counts as counts
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def _docs(spark, texts):
+    return spark.createDataFrame([(i, t, 9, b"x") for i, t in texts], "doc_id bigint, text string, n_tokens int, digest binary")
+
+
+def test_counts_and_cache_growth(spark, tmp_path):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    cache = f"{tmp_path.as_uri()}/cache"
+    texts = [(1, "one two"), (2, None), (3, ""), (4, "one two"), (4, "one two"), (None, "no id"), (5, "word " * 5000), (6, "a  b\t\n")]
+    wanted = sorted((i or -1, len((t or "").encode()), len(library.encode(t or "")), len(library.encode(t or "")) > 4096) for i, t in texts)
+    for given in (_docs(spark, texts), _docs(spark, texts)):
+        found = counts.token_counts(given, PATH, cache).collect()
+        assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in found) == wanted
+    stored = spark.read.parquet(cache)
+    assert stored.count() == stored.select("digest").distinct().count() == 5  # nothing was added by the second run
+    more = counts.token_counts(_docs(spark, [(7, "one two"), (8, "new words")]), PATH, cache).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in more) == [(7, len(library.encode("one two"))), (8, len(library.encode("new words")))]
+    assert spark.read.parquet(cache).count() == 6
+
+
+def test_stored_counts_are_used_and_versions_are_apart(spark, tmp_path):
+    cache = f"{tmp_path.as_uri()}/cache"
+    docs = _docs(spark, [(1, "hello")])
+    key = docs.selectExpr("unhex(sha2(text, 256)) digest").collect()[0][0]
+    rows = [(key, counts.tokenizer_version(PATH), 77), (key, "another", 99)]
+    spark.createDataFrame(rows, counts.CACHE).write.parquet(cache)
+    assert counts.token_counts(docs, PATH, cache).collect()[0].n_tokens == 77
+    assert counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), cache).collect()[0].n_tokens == 1
+
+
+def test_no_documents(spark, tmp_path):
+    assert counts.token_counts(_docs(spark, []), PATH, f"{tmp_path.as_uri()}/cache").count() == 0
