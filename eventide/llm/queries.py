@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .packing import pack_documents
+from .simhash import hexadecimal, near_duplicates
 from .token_counts import new_cache, token_counts
 from .token_records import token_records
 
@@ -29,6 +30,12 @@ def op1_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return token_records(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+@query
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
