@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontamination import contamination
 from .packing import pack_documents
 from .simhash import hexadecimal, near_duplicates
 from .token_counts import new_cache, token_counts
@@ -48,3 +49,11 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return token_counts(documents, public_tokenizers.path("piece_bpe_32k.model"), new_cache(spark), limit=4096)
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    judged = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=13, share=20)
+    return judged.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated"
+    )
