@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contamination
+from .language_id import fifth, identify
 from .packing import pack_documents
 from .simhash import hexadecimal, near_duplicates
 from .token_counts import new_cache, token_counts
@@ -31,6 +32,12 @@ def op1_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return token_records(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return identify(documents, fifth(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 @query
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"), shingle=3, radius=2)
