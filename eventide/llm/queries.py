@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contamination
 from .language_id import fifth, identify
+from .main_text import extract
 from .packing import pack_documents
 from .simhash import hexadecimal, near_duplicates
 from .token_counts import new_cache, token_counts
@@ -44,6 +45,11 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+@query
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
