@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contamination
 from .language_id import fifth, identify
+from .license_scan import license_labels
 from .main_text import extract
 from .packing import pack_documents
 from .simhash import hexadecimal, near_duplicates
@@ -50,6 +51,11 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
 
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_labels(table(spark, folder, "documents"))
+
+
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
