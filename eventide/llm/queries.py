@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .simhash import hexadecimal, near_duplicates
 from .token_counts import new_cache, token_counts
 from .token_records import token_records
+from .url_rules import judge, rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +35,18 @@ def op1_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return token_records(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+URL_RULES = [
+    rule("org/", "allow"), rule("example.org/es/", "block"), rule("example.org/en/1", "block"), rule("com/fr/", "allow"),
+    rule("com/de/", "block"),
+]
+
+
+@query
+def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge(table(spark, folder, "pages"), table(spark, folder, "labels"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")

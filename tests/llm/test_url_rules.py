@@ -1,0 +1,114 @@
+"""Url rules by hand, mined rules against counting all token sets."""
+
+import random
+import re
+from itertools import combinations
+
+import pytest
+
+from eventide.llm import url_rules as u
+
+RULES = [
+    u.rule("org/", "allow"), u.rule("example.org/es/", "block"), u.rule("example.org/en/1", "block"), u.rule("com/fr/", "allow"),
+    u.rule("com/de/", "block"),
+]
+CASES = [
+    (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("no scheme/x", "", "", None, "allow"),
+    ("http://A.Example.ORG/es/1?x#y", "a.example.org", "/es/1", "example.org/es/", "block"),
+    ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
+    ("http://example.org/en/2", "example.org", "/en/2", "org/", "allow"), ("http://org/x", "org", "/x", "org/", "allow"),
+    ("http://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"), ("http://x.org", "x.org", "", None, "allow"),
+    ("http://x.org?q=/a", "x.org", "", None, "allow"), ("http://x.org#/a", "x.org", "", None, "allow"),
+    ("ftp://Ä.com/fr/Ä://z", "Ä.com", "/fr/Ä://z", "com/fr/", "allow"), ("x://y.com/de/\n", "y.com", "/de/\n", "com/de/", "block"),
+    ("://com/de/", "com", "/de/", "com/de/", "block"), ("http://com.net/de/", "com.net", "/de/", None, "allow"),
+    ("http://x.com/FR/", "x.com", "/FR/", None, "allow"),
+]
+
+
+def _pages(spark, urls):
+    return spark.createDataFrame([(i, url, "<p>", "r") for i, url in urls], "page_id bigint, url string, html string, rule string")
+
+
+def _labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+
+
+def test_given_rules(spark):
+    found = u.judge(_pages(spark, enumerate(c[0] for c in CASES)), _labels(spark, []), RULES).collect()
+    assert sorted((r.page_id, r.url, r.host, r.path, r.rule, r.verdict) for r in found) == [(i, *c) for i, c in enumerate(CASES)]
+
+
+def plain_tokens(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?", url or "")
+    if not m:
+        return set()
+    host, path, query = (re.sub("[A-Z]", lambda c: c[0].lower(), x or "") for x in m.groups())
+    labels = [x for x in host.split(".") if x]
+    found = {"host=" + ".".join(labels[-k:]) for k in range(1, len(labels) + 1)} | {"word=" + w for w in re.split(r"[.\-]", host) if w}
+    found |= {"path=" + re.sub("[0-9]+", "0", s) for s in path.split("/") if s}
+    return found | {"field=" + re.sub("(?s)=.*", "", f) for f in re.split("[&;]", query) if re.sub("(?s)=.*", "", f)}
+
+
+def test_tokens(spark):
+    urls = [c[0] for c in CASES] + ["https://m.free-bets.Example.com/en/27/a1b2.html?page=2&ref=x;z&=v#top"]
+    found = _pages(spark, enumerate(urls)).select("url", u.tokens(u.F.col("url")).alias("t")).collect()
+    for r in found:
+        assert set(r.t or []) == plain_tokens(r.url) and len(r.t or []) == len(set(r.t or [])), r.url
+
+
+def plain_rules(baskets):
+    """All confident token sets, without those that contain another as confident."""
+    n, bad = len(baskets), sum(b for _, b in baskets)
+    least = max(u.MIN_SUPPORT * n, u.MIN_COUNT)
+    if bad < u.MIN_COUNT:
+        return {}
+    counts, bads = {}, {}
+    for items, is_bad in baskets:
+        for k in range(1, len(items) + 1):
+            for c in combinations(sorted(items), k):
+                counts[c] = counts.get(c, 0) + 1
+                bads[c] = bads.get(c, 0) + is_bad
+    sure = {c: b / counts[c] for c, b in bads.items() if b >= least and b / counts[c] >= max(u.MIN_CONFIDENCE, u.MIN_LIFT * bad / n)}
+    return {
+        c: v for c, v in sure.items()
+        if not any(sure.get(d, -1) >= v for k in range(1, len(c)) for d in combinations(c, k))
+    }
+
+
+@pytest.mark.parametrize("seed, broadcast", [(1, 10**6), (2, 0)])
+def test_mined_rules(spark, seed, broadcast, monkeypatch):
+    monkeypatch.setattr(u, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(seed)
+    urls = [
+        (i, f"http://{rng.choice(['casino', 'news', 'blog'])}.{rng.choice(['a', 'b'])}.net/{rng.choice(['en', 'de', 'win'])}/{i}{rng.choice(['', '?bonus=1'])}")
+        for i in range(700)
+    ] + [(None, "http://casino.a.net/en/1?bonus=1"), (3, "http://casino.b.net/win/9"), (3, "http://casino.b.net/win/9")]
+    labels = []
+    for i, url in urls[:500]:
+        sure = ("casino" in url and "bonus" in url) or "/win/" in url and "//blog" in url
+        bad = rng.random() < (0.95 if sure else 0.15)
+        labels.append((i, 0 if bad and rng.random() < 0.5 else 1, 0))
+        labels[-1] = (i, labels[-1][1], int(bad and labels[-1][1] == 1))
+    labels += [(None, 0, 1), (5, None, None), (99999, 0, 1)]
+    by_page = {}
+    for i, url in urls:
+        by_page.setdefault(i, []).append(url)
+    baskets = [(plain_tokens(url), q == 0 or t == 1) for i, q, t in labels if i is not None for url in by_page.get(i, [])]
+    wanted = plain_rules(baskets)
+    assert wanted
+    pages, marks = _pages(spark, urls), _labels(spark, labels)
+    found = {tuple(r.tokens): r for r in u.mine(pages, marks).collect()}
+    assert found.keys() == wanted.keys()
+    assert all(r.confidence == pytest.approx(wanted[c]) and r.anchor in c for c, r in found.items())
+    judged = u.judge(pages, marks, RULES).collect()
+    assert len(judged) == len(urls)
+    for r in judged:
+        assert (r.verdict == "block") == any(set(c) <= plain_tokens(r.url) for c in wanted) == (r.mined is not None)
+
+
+def test_empty_tables_and_plan(spark):
+    pages, labels = _pages(spark, [(1, "http://x.net/a")]), _labels(spark, [(1, 0, 0)])
+    assert u.judge(pages.limit(0), labels, RULES).count() == 0
+    judged = u.judge(pages, labels.limit(0), [])
+    assert [(r.rule, r.verdict) for r in judged.collect()] == [(None, "allow")]
+    assert not re.search("Python|Pandas|Arrow", judged._jdf.queryExecution().executedPlan().toString())
