@@ -4,7 +4,7 @@ Both kinds of tokenizer split a text at certain places before they merge anythin
 its words in order. A text is cut only where that is certain: at single spaces between visible Latin characters, and
 inside such a piece between a letter and punctuation or around a line break. Texts with anything else (other scripts,
 tabs, runs of spaces) go to the library whole, and so does everything if the tokenizer's own settings are not those
-this reasoning was made for. Caches are emptied when full, which changes no result.
+this reasoning was made for. Caches hold what was used lately and are bounded; they change no result.
 """
 
 from __future__ import annotations
@@ -12,18 +12,28 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Callable
+from operator import attrgetter
 
 import numpy as np
 
-PIECES_KEPT = 250_000
-# A character outside line breaks, ASCII and Latin letters, or a space not between two visible characters.
-_UNSURE = re.compile(r"[^\n -~¡-ɏ]|  | \n|\n |\A | \Z")
+PIECES_KEPT = 600_000
+_ODD = re.compile(r"[^\n -~¡-ɏ]")
 _INNER_CUT = re.compile(
     r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?])|(?<=[!-~¡-ɏ])(?=\n)|(?<=[!-~¡-ɏ]\n)(?=[!-~¡-ɏ])"
 )
+_ID = attrgetter("id")
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
+def _unsure(text: str) -> bool:
+    """A character outside line breaks, ASCII and Latin letters, or a space not between two visible characters."""
+    return (
+        text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or _ODD.search(text) is not None
+    )
+
+
 def _byte_letters() -> dict[str, str]:
     """The characters byte-level vocabularies use for bytes: printable ones stand for themselves, others follow from 256."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -31,6 +41,23 @@ def _byte_letters() -> dict[str, str]:
     return {chr(b): chr(b) for b in kept} | {chr(b): chr(256 + i) for i, b in enumerate(other)}
 
 
+class Lately(dict):
+    """Computes what it lacks. Holds one full generation of entries and the one before; an entry used again moves on."""
+
+    def __init__(self, compute: Callable, kept: int = PIECES_KEPT):
+        self.compute, self.kept, self.before = compute, kept, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.kept:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class BpeEncoder:
     """Ids of whole texts from a ``tokenizers`` file, without added special tokens."""
 
@@ -53,52 +80,32 @@ class BpeEncoder:
         prefix = settings["pre_tokenizer"].get("add_prefix_space", False) if self.keeps_space else False
         self.by_piece = plain and not prefix and (self.keeps_space or self.drops_space)
         self.letters = str.maketrans(_byte_letters())
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.pieces = Lately(self._piece)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        """Ids of a word, by the merge model alone if it is nothing but one word."""
-        if not _WORD.fullmatch(part):
-            return self._whole(part)
-        word = part if self.keeps_space else part.strip(" ").lower()
-        raw = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        return np.asarray([t.id for t in self.library.model.tokenize(raw)], "<u4").tobytes()
-
     def _piece(self, piece: str) -> bytes:
-        found = []
-        for part in _INNER_CUT.split(piece):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= PIECES_KEPT:
-                    self.parts.clear()
-                ids = self.parts[part] = self._part(part)
-            found.append(ids)
-        return b"".join(found)
+        """Ids of a piece: a single word by the merge model alone, others from their parts."""
+        if _WORD.fullmatch(piece):
+            word = piece if self.keeps_space else piece.strip(" ").lower()
+            raw = word.encode("utf-8").decode("latin-1").translate(self.letters)
+            return array("I", map(_ID, self.library.model.tokenize(raw))).tobytes()
+        parts = _INNER_CUT.split(piece)
+        return self._whole(piece) if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not self.by_piece or not text or _UNSURE.search(text):
+        if not self.by_piece or not text or _unsure(text):
             return self._whole(text)
         pieces = text.replace(" ", "\0 ").split("\0") if self.keeps_space else text.split(" ")
-        known = self.pieces
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) >= PIECES_KEPT:
-                known.clear()
-            for piece in set(pieces).difference(known):
-                known[piece] = self._piece(piece)
-            return b"".join(map(known.__getitem__, pieces))
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 class PieceCounter:
     """Numbers of pieces of whole texts from a ``sentencepiece`` model or a ``tokenizers`` file."""
 
     def __init__(self, path: str):
-        self.counts: dict[str, int] = {}
         if path.endswith(".json"):
             encoder = BpeEncoder(path)
             self.count = lambda text: len(encoder.encode(text)) // 4
@@ -107,6 +114,7 @@ class PieceCounter:
         from sentencepiece import sentencepiece_model_pb2
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.counts = Lately(lambda word: len(self.library.encode(word)))
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as file:
             model.ParseFromString(file.read())
@@ -119,17 +127,9 @@ class PieceCounter:
         )
 
     def count(self, text: str) -> int:
-        if not self.by_piece or not text or "▁" in text or _UNSURE.search(text):
+        if not self.by_piece or not text or "▁" in text or _unsure(text):
             return len(self.library.encode(text))
-        words, known = text.split(" "), self.counts
-        try:
-            return sum(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) >= 2 * PIECES_KEPT:
-                known.clear()
-            new = list(set(words).difference(known))
-            known.update(zip(new, map(len, self.library.encode(new, num_threads=1))))
-            return sum(map(known.__getitem__, words))
+        return sum(map(self.counts.__getitem__, text.split(" ")))
 
 
 _LOADED: dict[tuple[type, str], object] = {}
