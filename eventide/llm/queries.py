@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .curve_search import nearest
 from .decontamination import contamination
 from .language_id import fifth, identify
 from .license_scan import license_labels
@@ -53,6 +54,11 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(documents, fifth(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+@query
+def op4_curve_search(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"), shingle=3, radius=2)
