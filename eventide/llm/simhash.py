@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
 from .common import written
@@ -45,15 +45,21 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _key():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer."""
+    """doc_id, key (content hash) and fp, the fingerprint as a signed 64-bit integer."""
 
     def work(batches):
         for batch in batches:
-            found = np.asarray([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.asarray([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
+            columns = [batch.column(0), batch.column(1), pa.array(found.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(work, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _key().alias("key"), "text")
+    return rows.mapInArrow(work, "doc_id bigint, key bigint, fp bigint")
 
 
 def _as_integer(bits: np.ndarray) -> int:
@@ -181,7 +187,7 @@ def links(values: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) of every row."""
+    """doc_id, key, fp, label (of the component) and component_id (the smallest doc_id reachable) of every row."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = written(components(links(classes.select("fp"), radius)), "labels")
@@ -189,8 +195,8 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
         "fp", "first", F.coalesce("label", "fp").alias("label")
     )
     firsts = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    found = joined.join(firsts, "label").select("fp", "component_id")
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = joined.join(firsts, "label").select("fp", "label", "component_id")
+    return prints.join(found, "fp").select("doc_id", "key", "fp", "label", "component_id")
 
 
 def hexadecimal(column: str):
@@ -198,14 +204,14 @@ def hexadecimal(column: str):
 
 
 def one_of_each(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: its smallest doc_id, once.
+    """One row of ``docs`` for each component: that of the smallest doc_id, then of the smallest content hash.
 
-    Among rows that share that id the one with the smallest text hash stays; of a component without ids one row stays.
+    Rows without an id come last. Of repeated rows one stays.
     """
-    from pyspark.sql import Window
-
     found = near_duplicates(docs, shingle, radius)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    chosen = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    kept = chosen.select(F.col("first.doc_id").alias("_d"), F.col("first.key").alias("_k")).distinct()
+    keyed = docs.withColumn("_key", _key())
+    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
+    repeats = Window.partitionBy("doc_id", "_key").orderBy("_key")
+    return rows.withColumn("_n", F.row_number().over(repeats)).filter("_n = 1").drop("_n", "_key")

@@ -94,7 +94,7 @@ def test_documents(spark):
     texts = [*TEXTS, *base, *base, *(b + " extra" for b in base), *(b.upper() for b in base[:5])]
     ids = list(range(len(texts)))
     rng.shuffle(ids)
-    rows = [(i, t, 1, 2) for i, t in zip(ids, texts)] + [(ids[3], texts[3], 1, 2), (None, texts[10], 1, 2), (None, "alone without id", 1, 2)]
+    rows = [(i, t, 1, 2) for i, t in zip(ids, texts)] + [(ids[3], texts[3], 1, 2), (None, texts[10], 1, 2), (None, "alone without id", 1, 2)] * 2
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp int, label int")
     prints = {t: plain_fingerprint(t, 3) for t in {r[1] for r in rows}}
     label = plain_labels(sorted(set(prints.values())), 2)
@@ -106,7 +106,9 @@ def test_documents(spark):
     assert found == sorted((i is None, i, _signed(prints[t]), first.get(label[prints[t]])) for i, t, *_ in rows)
     kept = simhash.one_of_each(docs, 3, 2)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+    stayed = kept.collect()
+    assert sorted(r.doc_id for r in stayed if r.doc_id is not None) == sorted(first.values())
+    assert [r.text for r in stayed if r.doc_id is None] == ["alone without id"]
 
 
 def test_no_documents(spark):
