@@ -281,6 +281,15 @@ def identify(docs: DataFrame, held_out: Column, keep: list[str] | None = None) -
     )
 
 
+def without_rejected(docs: DataFrame, held_out: Column) -> DataFrame:
+    """``docs`` without the rows that ``identify`` rejects; columns stay."""
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    found = identify(docs.withColumn("_key", key), held_out, ["doc_id", "_key"])
+    bad = found.filter("rejected").select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_k"))
+    return docs.join(bad, same, "left_anti")
+
+
 def fifth(doc_id: Column) -> Column:
     """Rows held out from learning: every fifth by checksum of the id; a null id is held out of nothing."""
     return F.crc32(doc_id.cast("string")) % 5 == 0
