@@ -74,27 +74,25 @@ def event_volatility_levels(events: DataFrame, returns: DataFrame) -> DataFrame:
     return stats.filter(F.col("_rows") > 0).drop("_rows")
 
 
-def with_vol_regime(levels: DataFrame, one_task_rows: int, row_bound: int | None = None) -> DataFrame:
+def with_vol_regime(levels: DataFrame) -> DataFrame:
     """Add ``vol_regime``: tercile of rv_1h over all rows, NULL volatility in the highest."""
     order = [F.col("rv_1h").asc_nulls_last(), F.col("symbol").asc(), F.col("event_ts").asc()]
-    return ranking.tile(levels, TERCILES, order, (), "vol_regime", one_task_rows, row_bound)
+    return ranking.tile(levels, TERCILES, order, (), "vol_regime")
 
 
-def daily_deciles(funding: DataFrame, one_task_rows: int, row_bound: int | None = None) -> DataFrame:
+def daily_deciles(funding: DataFrame) -> DataFrame:
     """(symbol, ts, rate, rate_decile, event_date): decile of the rate among all prints of its day."""
     order = [F.col("rate").asc_nulls_last(), F.col("symbol").asc(), F.col("ts").asc()]
     dated = funding.select("symbol", "ts", "rate", F.to_date("ts").alias("event_date"))
-    tiled = ranking.tile(dated, DECILES, order, ["event_date"], "rate_decile", one_task_rows, row_bound)
+    tiled = ranking.tile(dated, DECILES, order, ["event_date"], "rate_decile")
     return tiled.select("symbol", "ts", "rate", "rate_decile", "event_date")
 
 
-def daily_rate_stats(funding: DataFrame, one_task_rows: int, row_bound: int | None = None) -> DataFrame:
+def daily_rate_stats(funding: DataFrame) -> DataFrame:
     """(symbol, d, p90_abs_rate, avg_abs_rate, n_events)."""
     sized = funding.select("symbol", F.to_date("ts").alias("d"), F.abs("rate").alias("abs_rate"))
     extra = [F.avg("abs_rate").alias("avg_abs_rate"), F.count(F.lit(1)).alias("n_events")]
-    return ranking.exact_percentile(
-        sized, "abs_rate", HIGH_SHARE, ["symbol", "d"], "p90_abs_rate", extra, one_task_rows, row_bound
-    )
+    return ranking.exact_percentile(sized, "abs_rate", HIGH_SHARE, ["symbol", "d"], "p90_abs_rate", extra)
 
 
 def rolling_oi(open_interest: DataFrame, closed: bool = False, start=None, end=None) -> DataFrame:

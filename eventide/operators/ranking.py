@@ -1,93 +1,62 @@
-"""Row numbers, tiles and exact percentiles that do not need a whole group in one task.
+"""Tiles and exact percentiles, by group or over all rows.
 
-Small groups use Spark's own window and aggregate functions. When the largest group would
-overload a task, rows are range-partitioned by (group, order), so that even a single group or a
-single repeated value is spread, and every row learns its position from its place in the sorted
-partitions. Partition bounds are sampled, so the sorted rows are checkpointed once: positions then
-stay the same whichever executor recomputes them.
+Groups here are bounded by the calendar: a day holds at most one print per symbol and point of its time grid, a symbol and
+day at most one per point. They use Spark's own window and aggregate functions.
+
+Over all rows nothing bounds the group, so it never meets in one task: rows are range-partitioned by the order, which spreads
+even a single repeated value, and every row learns its position from its place in the sorted partitions. Partition bounds
+are sampled, and the sorted rows are read twice (for the partition sizes and for the rows), so they are persisted on disk:
+both readers see the same partitions, and a lost one is sorted again from the same shuffle. Persisting is lazy, so building
+a result starts no job; ``spark.catalog.clearCache()`` releases the space.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventide.session import shared_folder
-
-ONE_TASK_ROWS = 1_000_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in these low bits
-_SALTS = 32
-
-
-def largest_group(df: DataFrame, keys: Sequence[str] = ()) -> int:
-    """Rows of the biggest group (map-side combined; a single number reaches the driver)."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def _fits_one_task(df: DataFrame, keys: Sequence[str], one_task_rows: int, row_bound: int | None) -> bool:
-    """True if no group exceeds ``one_task_rows``; counts groups only when the bound cannot tell."""
-    if row_bound is not None and row_bound <= one_task_rows:
-        return True
-    if row_bound is not None and not keys:
-        return False
-    return largest_group(df, keys) <= one_task_rows
+def interpolate(low, high, position, floor, ceil):
+    """Value between two neighbours, as Spark's own percentile computes it; for columns and numbers alike."""
+    return (ceil - position) * low + (position - floor) * high
 
 
-def rank_rows(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), valid: str | None = None) -> DataFrame:
-    """Add ``_ix`` (position in the group, from 0) and ``_n`` (rows of the group).
+def rank_rows(df: DataFrame, order: Sequence[Column], valid: str | None = None) -> DataFrame:
+    """Add ``_ix`` (position among all rows, from 0) and ``_n`` (their number).
 
     ``order`` must break all ties. With ``valid``, ``_n`` counts only the rows where that column is
     not NULL; order NULLs last for the two to agree.
     """
-    shared_folder(df.sparkSession)
-    bounds = [F.col(k).asc() for k in keys] + list(order)
-    ranged = df.repartitionByRange(*bounds).sortWithinPartitions(*bounds).checkpoint()
-
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).persist(StorageLevel.DISK_ONLY)
     placed = ranged.withColumn("_mid", F.monotonically_increasing_id())
     partition = F.shiftright("_mid", _ROW_BITS).alias("_part")
-    sizes = placed.groupBy(partition).agg(F.count(F.lit(1)).alias("_size"))
+    counted = F.count(F.lit(1) if valid is None else F.col(valid))
+    sizes = placed.groupBy(partition).agg(F.count(F.lit(1)).alias("_size"), counted.alias("_valid"))
     # One row per partition: bounded by the number of partitions, never by the data.
-    through = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(through), F.lit(0)).alias("_offset"))
-    placed = (
+    through = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_part", F.coalesce(F.sum("_size").over(through), F.lit(0)).alias("_offset"), F.sum("_valid").over(Window.partitionBy()).alias("_n")
+    )
+    return (
         placed.withColumn("_part", partition)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn("_global", F.col("_offset") + F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+        .join(offsets, "_part")
+        .withColumn("_ix", F.col("_offset") + F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
         .drop("_mid", "_part", "_offset")
     )
-    counted = F.count(F.lit(1) if valid is None else F.col(valid)).alias("_n")
-    starts = placed.groupBy(*keys).agg(F.min("_global").alias("_start"), counted)
-    if keys:
-        # A hot group is read from several tasks: rows are salted, the group's one row is copied.
-        starts = starts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        placed = placed.withColumn("_salt", (F.col("_global") % _SALTS).cast("int"))
-        placed = placed.join(starts, [*keys, "_salt"]).drop("_salt")
-    else:
-        placed = placed.crossJoin(F.broadcast(starts))  # a single row
-    return placed.withColumn("_ix", F.col("_global") - F.col("_start")).drop("_global", "_start")
-
-
-def tile(
-    df: DataFrame,
-    tiles: int,
-    order: Sequence[Column],
-    keys: Sequence[str] = (),
-    name: str = "tile",
-    one_task_rows: int = ONE_TASK_ROWS,
-    row_bound: int | None = None,
-) -> DataFrame:
+
+
+def tile(df: DataFrame, tiles: int, order: Sequence[Column], keys: Sequence[str] = (), name: str = "tile") -> DataFrame:
     """NTILE: sizes differ by at most one, larger tiles first; fewer rows than tiles leave tiles out.
 
-    ``row_bound`` is an upper bound on the rows of ``df``, when the caller knows one; it can save
-    counting the groups.
+    Groups of ``keys`` must be bounded; without keys all rows are one group of any size.
     """
-    if _fits_one_task(df, keys, one_task_rows, row_bound):
-        window = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
-        return df.withColumn(name, F.ntile(tiles).over(window).cast("bigint"))
-    ranked = rank_rows(df, order, keys)
+    if keys:
+        return df.withColumn(name, F.ntile(tiles).over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    ranked = rank_rows(df, order)
     small = F.floor(F.col("_n") / tiles)
     extra = F.col("_n") % tiles
     in_large = extra * (small + 1)
@@ -97,46 +66,38 @@ def tile(
     return ranked.withColumn(name, (number + 1).cast("bigint")).drop("_ix", "_n")
 
 
-def exact_percentile(
-    df: DataFrame,
-    value: str,
-    share: float,
-    keys: Sequence[str] = (),
-    name: str = "percentile",
-    extra: Sequence[Column] = (),
-    one_task_rows: int = ONE_TASK_ROWS,
-    row_bound: int | None = None,
-) -> DataFrame:
-    """Continuous percentile with linear interpolation per group, next to any ``extra`` aggregates."""
-    if _fits_one_task(df, keys, one_task_rows, row_bound):
-        return df.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias(name), *extra)
+def _ranked_values(df: DataFrame, value: str) -> DataFrame:
     # Equal values are interchangeable here; the hash only spreads a hot value, the same on every run.
-    ranked = rank_rows(
-        df.withColumn("_tie", F.xxhash64(*df.columns)),
-        [F.col(value).asc_nulls_last(), F.col("_tie").asc()],
-        keys,
-        valid=value,
-    )
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    return rank_rows(tied, [F.col(value).asc_nulls_last(), F.col("_tie").asc()], valid=value).drop("_tie")
+
+
+def _percentile_of_ranked(ranked: DataFrame, value: str, share: float, name: str) -> DataFrame:
     position = (F.col("_n") - 1) * F.lit(share)
-    low = F.max(F.when(F.col("_ix") == F.floor(position), F.col(value)))
-    high = F.max(F.when(F.col("_ix") == F.ceil(position), F.col(value)))
-    part = F.max(position - F.floor(position))
-    result = F.when(low == high, low).otherwise(low + (high - low) * part)
-    return ranked.groupBy(*keys).agg(result.alias(name), *extra)
-
-
-def with_percentile(
-    df: DataFrame,
-    value: str,
-    share: float,
-    name: str,
-    one_task_rows: int = ONE_TASK_ROWS,
-    row_bound: int | None = None,
+    floor, ceil = F.floor(position), F.ceil(position)
+    neighbours = ranked.filter((F.col("_ix") == floor) | (F.col("_ix") == ceil)).agg(
+        F.max(F.when(F.col("_ix") == floor, F.col(value))).alias("low"), F.max(F.when(F.col("_ix") == ceil, F.col(value))).alias("high"),
+        F.max(position).alias("position"),
+    )
+    low, high, at = F.col("low"), F.col("high"), F.col("position")
+    between = interpolate(low, high, at, F.floor(at), F.ceil(at))
+    return neighbours.select(F.when(low == high, low).otherwise(between).alias(name))
+
+
+def exact_percentile(
+    df: DataFrame, value: str, share: float, keys: Sequence[str] = (), name: str = "percentile", extra: Sequence[Column] = ()
 ) -> DataFrame:
+    """Continuous percentile with linear interpolation, NULLs left out, NaN above all numbers.
+
+    By ``keys``, whose groups must be bounded, next to any ``extra`` aggregates; or one row over all rows.
+    """
+    if keys:
+        return df.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias(name), *extra)
+    return _percentile_of_ranked(_ranked_values(df, value), value, share, name)
+
+
+def with_percentile(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
     """Add the overall percentile of ``value`` to every row, computing ``df`` only once."""
-    if _fits_one_task(df, (), one_task_rows, row_bound):
-        return df.withColumn(name, F.percentile(value, F.lit(share)).over(Window.partitionBy()))
-    shared_folder(df.sparkSession)
-    kept = df.checkpoint()
-    overall = exact_percentile(kept, value, share, (), name, (), one_task_rows, row_bound)
-    return kept.crossJoin(F.broadcast(overall))  # a single row
+    ranked = _ranked_values(df, value)
+    overall = _percentile_of_ranked(ranked, value, share, name)
+    return ranked.drop("_ix", "_n").crossJoin(F.broadcast(overall))  # a single row

@@ -1,25 +1,72 @@
 """Exact percentile over a trailing time range.
 
 Spark's RANGE frame answers this, but it rebuilds the percentile of the whole frame for every row:
-4 032 values per row for 14 days of 5-minute snapshots. Sorted sliding insertion costs a logarithm
-instead, and pandas has it. So Spark cuts each symbol's history into blocks as long as the range,
+4 032 values per row for 14 days of 5-minute snapshots. A sorted list that gains and loses one value at a
+time costs a binary search instead. So Spark cuts each symbol's history into blocks as long as the range,
 copies each row to the block after its own, and every (symbol, block) group slides on its own. A
-group spans two ranges of time at most.
+group spans two ranges of time at most; the rows of one range are bounded where (symbol, ts) is unique, as
+the loads of this library keep it.
+
+NULL values are left out, NaN counts as larger than all numbers, infinities are numbers: the percentile
+that Spark's aggregate gives over the same frame, by the same formula.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from datetime import timedelta
+from math import ceil, floor, isnan, nan
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from eventide.functions.times import TimeLike, clip, floor_time, in_range, shift, span
+from eventide.operators.ranking import interpolate
 
 TRAILING = timedelta(days=14)
 
 
+def sliding_percentile(times: np.ndarray, values: np.ndarray, reach: np.timedelta64, share: float, closed: bool) -> np.ndarray:
+    """Percentile of the values at (t - reach, t], or [t - reach, t], for every row; times ascend.
+
+    A NULL arrives as a masked value (None); rows of equal time see each other.
+    """
+    n = len(times)
+    result = np.full(n, nan)
+    first = np.searchsorted(times, times - reach, "left" if closed else "right")
+    last = np.searchsorted(times, times, "right")
+    held: list[float] = []
+    begin = end = nans = 0
+    known = np.zeros(n, bool)
+    for row in range(n):
+        for i in range(end, last[row]):
+            if values[i] is not None:
+                if isnan(values[i]):
+                    nans += 1
+                else:
+                    insort(held, values[i])
+        end = max(end, last[row])
+        for i in range(begin, first[row]):
+            if values[i] is not None:
+                if isnan(values[i]):
+                    nans -= 1
+                else:
+                    held.pop(bisect_left(held, values[i]))
+        begin = max(begin, first[row])
+        count = len(held) + nans
+        if count:
+            known[row] = True
+            position = (count - 1) * share
+            low, high = floor(position), ceil(position)
+            if high < len(held):
+                same = held[low] == held[high]
+                result[row] = held[low] if same else interpolate(held[low], held[high], position, low, high)
+            elif low < len(held) and low == high:
+                result[row] = held[low]
+    return np.where(known, result, None)
+
+
 def _blocks(series: DataFrame, value: str, reach: timedelta, start: TimeLike | None, end: TimeLike | None) -> DataFrame:
     """(symbol, ts, value, _block, _owned): every row in its own block, and copied to the next one,
     whose first rows look back to it."""
@@ -33,6 +80,29 @@ def _blocks(series: DataFrame, value: str, reach: timedelta, start: TimeLike | N
     )
 
 
+def _slide(blocks: DataFrame, value: str, share: float, reach: timedelta, closed: bool, name: str) -> DataFrame:
+    step = np.timedelta64(reach)
+
+    # pandas shows a NULL double as NaN, so NULLs are told apart by a column of their own.
+    def slide(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ts", kind="stable")
+        values = np.where(group["_null"].to_numpy(), None, group[value].to_numpy().astype(object))
+        found = sliding_percentile(group["ts"].to_numpy(), values, step, share, closed)
+        absent = np.asarray([v is None for v in found], bool)
+        result = pd.DataFrame({
+            "symbol": group["symbol"], "ts": group["ts"], value: group[value], "_null": group["_null"],
+            name: np.where(absent, 0.0, found).astype(float), "_absent": absent,
+        })
+        return result[group["_owned"].to_numpy()]
+
+    schema = f"symbol string, ts timestamp_ntz, {value} double, _null boolean, {name} double, _absent boolean"
+    marked = blocks.withColumn("_null", F.col(value).isNull()).withColumn(value, F.coalesce(value, F.lit(0.0)))
+    rolled = marked.groupBy("symbol", "_block").applyInPandas(slide, schema)
+    # Arrow turns a NaN of pandas into NULL on the way back, so NaN is set again from the flags.
+    back = lambda column, flag: F.when(~F.col(flag), F.coalesce(column, F.lit(nan))).alias(column)
+    return rolled.select("symbol", "ts", back(value, "_null"), back(name, "_absent"))
+
+
 def trailing_percentile(
     series: DataFrame,
     value: str,
@@ -48,20 +118,8 @@ def trailing_percentile(
     ``closed`` also takes in the row exactly ``reach`` ago. With bounds, only rows of that time
     range are returned; earlier ones are read just as far back as the range needs.
     """
-    window, side = pd.Timedelta(reach), "both" if closed else "right"
-
-    def slide(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts", kind="stable")
-        owned = group["_owned"].to_numpy()
-        if not owned.any():
-            return group.loc[[], ["symbol", "ts", value]].assign(**{name: pd.Series(dtype="float64")})
-        rolled = group.set_index("ts")[value].rolling(window, closed=side).quantile(share, interpolation="linear")
-        result = group[["symbol", "ts", value]].assign(**{name: rolled.to_numpy()})
-        return result[owned]
-
-    schema = f"symbol string, ts timestamp_ntz, {value} double, {name} double"
-    rolled = _blocks(series, value, reach, start, end).groupBy("symbol", "_block").applyInPandas(slide, schema)
-    return rolled.filter(in_range("ts", start, end))
+    blocks = _blocks(series, value, reach, start, end)
+    return _slide(blocks, value, share, reach, closed, name).filter(in_range("ts", start, end))
 
 
 def trailing_percentile_at(
@@ -77,22 +135,9 @@ def trailing_percentile_at(
 ) -> DataFrame:
     """:func:`trailing_percentile` for the rows at ``times`` (symbol, ts) only.
 
-    ``times`` must lie in the bounds and hold no (symbol, ts) twice. When they are few next to the rows,
-    selecting inside their own frames beats sliding along all rows.
+    Blocks that nobody asks for are left out before anything is shuffled into Python.
     """
-    step, side = np.timedelta64(reach), "left" if closed else "right"
-
-    def pick(group: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        group = group.dropna(subset=[value]).sort_values("ts", kind="stable")
-        at, values = group["ts"].to_numpy(), group[value].to_numpy()
-        wanted = wanted[wanted["ts"].isin(group["ts"])].sort_values("ts")
-        last = np.searchsorted(at, wanted["ts"].to_numpy(), side="right")
-        first = np.searchsorted(at, wanted["ts"].to_numpy() - step, side=side)
-        found = [float(np.quantile(values[i:j], share)) for i, j in zip(first, last)]
-        return pd.DataFrame({"symbol": wanted["symbol"], "ts": wanted["ts"], value: values[last - 1], name: found})
-
-    block = floor_time("ts", f"{int(reach.total_seconds())} seconds")
-    asked = times.select("symbol", "ts").withColumn("_block", block).groupBy("symbol", "_block")
-    schema = f"symbol string, ts timestamp_ntz, {value} double, {name} double"
-    blocks = _blocks(series, value, reach, start, end).drop("_owned")
-    return blocks.groupBy("symbol", "_block").cogroup(asked).applyInPandas(pick, schema)
+    block = floor_time("ts", f"{int(reach.total_seconds())} seconds").alias("_block")
+    asked = times.select("symbol", block).distinct()
+    blocks = _blocks(series, value, reach, start, end).join(asked, ["symbol", "_block"], "left_semi")
+    return _slide(blocks, value, share, reach, closed, name).join(times.select("symbol", "ts"), ["symbol", "ts"], "left_semi")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
 from eventide.functions.times import TimeLike, clip, in_range, shift, whole_days
-from eventide.operators import event_metrics as metrics, ranking
+from eventide.operators import event_metrics as metrics
 from eventide.operators.event_windows import Measure, Reach, window_stats
 from eventide.operators.returns import log_returns, minute_returns
 
@@ -21,17 +20,10 @@ class Market:
     open_interest: DataFrame
     premium_index: DataFrame
     event_markers: DataFrame | None = None
-    # Largest group that tiles and percentiles may hand to a single task.
-    one_task_rows: int = ranking.ONE_TASK_ROWS
 
     def minute_returns(self) -> DataFrame:
         return minute_returns(self.klines)
 
-    @cached_property
-    def funding_rows(self) -> int:
-        """Bounds every per-event group; from file metadata when the table is stored."""
-        return self.funding.count()
-
 
 class LiveViews:
     """Derived frames computed from the base tables for the time range asked for.
@@ -78,7 +70,7 @@ class LiveViews:
         levels = metrics.event_volatility_levels(
             self.events(first, last), self.returns(first, last, metrics.BEFORE_1D)
         )
-        tiled = metrics.with_vol_regime(levels, self.market.one_task_rows, self.market.funding_rows)
+        tiled = metrics.with_vol_regime(levels)
         return tiled.filter(in_range("event_ts", start, end))
 
     def vol_regime_events(self, start=None, end=None, scope: str = "all") -> DataFrame:
@@ -94,9 +86,7 @@ class LiveViews:
                 Measure("_rows_after", "rows", metrics.FORWARD_60M),
             ],
         )
-        tiled = metrics.with_vol_regime(
-            stats.filter(F.col("_rows_before") > 0), self.market.one_task_rows, self.market.funding_rows
-        )
+        tiled = metrics.with_vol_regime(stats.filter(F.col("_rows_before") > 0))
         kept = tiled.filter(F.col("_rows_after") > 0).filter(in_range("event_ts", start, end))
         return kept.select("symbol", "event_ts", "vol_regime", "markout_60m")
 
@@ -115,14 +105,12 @@ class LiveViews:
     def funding_deciles(self, start=None, end=None, scope: str = "all") -> DataFrame:
         # A decile depends on its own day only, so whole days stand for the whole table.
         first, last = (start, end) if scope == "filtered" else whole_days(start, end)
-        tiled = metrics.daily_deciles(self.funding(first, last), self.market.one_task_rows, self.market.funding_rows)
+        tiled = metrics.daily_deciles(self.funding(first, last))
         return tiled.filter(in_range("ts", start, end))
 
     def daily_rate_stats(self, start=None, end=None, scope: str = "all") -> DataFrame:
         first, last = (start, end) if scope == "filtered" else whole_days(start, end)
-        return metrics.daily_rate_stats(
-            self.funding(first, last), self.market.one_task_rows, self.market.funding_rows
-        )
+        return metrics.daily_rate_stats(self.funding(first, last))
 
     def rolling_oi(self, start=None, end=None, closed: bool = False) -> DataFrame:
         return metrics.rolling_oi(self.market.open_interest, closed, start, end)

@@ -2,7 +2,7 @@
 
 ``views`` is either :class:`eventide.plans.market.LiveViews` (computed from the base tables) or
 :class:`eventide.plans.store.StoredViews` (read from stored tables); the question is the same.
-Results are returned lazily and ordered the way a reader would expect them.
+Building a question starts no Spark job; results are ordered the way a reader would expect them.
 """
 
 from __future__ import annotations
@@ -81,9 +81,7 @@ def extreme_regimes(
 def median_daily_vol(views, start: TimeLike | None, end: TimeLike | None) -> DataFrame:
     """One row: the median of rv_1d over the events of the range."""
     levels = views.daily_vol(start, end)
-    return ranking.exact_percentile(
-        levels, "rv_1d", 0.5, (), "med_rv", (), views.market.one_task_rows, views.market.funding_rows
-    )
+    return ranking.exact_percentile(levels, "rv_1d", 0.5, (), "med_rv")
 
 
 def low_vol_safe_symbols(views, start: TimeLike, end: TimeLike, median_scope: str = "filtered") -> DataFrame:
@@ -94,10 +92,7 @@ def low_vol_safe_symbols(views, start: TimeLike, end: TimeLike, median_scope: st
     ``median_scope``: the median over the ``filtered`` events, or over ``all``.
     """
     first, last = (None, None) if median_scope == "all" else (start, end)
-    market = views.market
-    events = ranking.with_percentile(
-        views.fall_risk(first, last), "rv_1d", 0.5, "med_rv", market.one_task_rows, market.funding_rows
-    )
+    events = ranking.with_percentile(views.fall_risk(first, last), "rv_1d", 0.5, "med_rv")
     ruled_out = F.coalesce(F.col("rv_1d") < F.col("med_rv"), F.lit(False)) & (F.col("n_falls") > 0)
     safe = events.filter(in_range("event_ts", start, end) & ~ruled_out)
     return safe.select("symbol").distinct().orderBy("symbol")

@@ -128,7 +128,6 @@ def refresh(store: TableStore, market: Market, since: TimeLike | None = None) ->
     start = None if day is None else datetime.combine(day, datetime.min.time())
     live, stored = LiveViews(market), StoredViews(store, market)
     klines = market.klines if start is None else bars_with_lead_in(store, market.klines, start)
-    rows = market.funding_rows  # counted once, before the threads ask for it
 
     def around_events(name: str, build: Callable[[DataFrame, DataFrame], DataFrame], reach: Reach) -> None:
         """Events whose window ends after the change begin the window's length earlier."""
@@ -138,7 +137,7 @@ def refresh(store: TableStore, market: Market, since: TimeLike | None = None) ->
 
     def regimes() -> None:
         levels = store.read("event_vol_levels").drop("day")
-        store.write("event_volatility", metrics.with_vol_regime(levels, market.one_task_rows, rows))
+        store.write("event_volatility", metrics.with_vol_regime(levels))
 
     def daily() -> None:
         recent = clip(market.klines, "open_time", start, None)
@@ -201,7 +200,7 @@ class StoredViews:
     def event_volatility(self, start=None, end=None, scope: str = "all") -> DataFrame:
         if scope == "filtered":
             levels = self._ranged("event_vol_levels", start, end)
-            return metrics.with_vol_regime(levels, self.market.one_task_rows, self.market.funding_rows)
+            return metrics.with_vol_regime(levels)
         return self._ranged("event_volatility", start, end)
 
     def vol_regime_events(self, start=None, end=None, scope: str = "all") -> DataFrame:

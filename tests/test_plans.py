@@ -50,37 +50,30 @@ def test_no_pairwise_join_except_with_one_row(large, name):
         assert name == "join_cross_scalar"
 
 
-def test_large_tiles_and_percentiles_do_not_use_one_task(large):
-    market = load_market(large, FOLDER, one_task_rows=0)
-    views = LiveViews(market)
-    for df in (views.event_volatility(), views.funding_deciles(), views.vol_regime_events(),
-               questions.low_vol_safe_symbols(views, START, END)):
+def test_tiles_and_percentiles_over_all_rows_do_not_use_one_task(large):
+    views = LiveViews(load_market(large, FOLDER))
+    for df in (views.event_volatility(), views.vol_regime_events(), questions.low_vol_safe_symbols(views, START, END)):
         text = plan(df)
         # The one window without partition keys runs over the partition sizes.
-        for window in re.findall(r"Window \[.*?\], \[(.*)\]", text):
-            assert "_part" in window or "symbol" in window or "event_date" in window, window
+        for order in re.findall(r"Window \[.*?\], \[(.*)\]", text):
+            assert "_part" in order or "symbol" in order, order
         assert "ntile" not in text
 
 
-def test_one_task_path_and_ranged_path_agree(spark):
-    small, large = (LiveViews(load_market(spark, FOLDER, one_task_rows=limit)) for limit in (10**6, 0))
-    pairs = [
-        (lambda v: v.event_volatility(), ["symbol", "event_ts"]),
-        (lambda v: v.funding_deciles(), ["symbol", "ts"]),
-        (lambda v: v.daily_rate_stats(), ["symbol", "d"]),
-        (lambda v: questions.low_vol_safe_symbols(v, START, END), ["symbol"]),
-        (lambda v: questions.vol_regime_markouts(v, START, END), ["vol_regime"]),
-        (lambda v: questions.median_daily_vol(v, START, END), ["med_rv"]),
-    ]
-    for ask, keys in pairs:
-        left, right = (ask(v).orderBy(*keys).toPandas() for v in (small, large))
-        assert list(left.columns) == list(right.columns) and len(left) == len(right) > 0
-        for column in left.columns:
-            if left[column].dtype.kind == "f":
-                assert (abs(left[column] - right[column]).fillna(0) < 1e-12).all()
-                assert (left[column].isna() == right[column].isna()).all()
-            else:
-                assert (left[column] == right[column]).all()
+def test_building_a_question_starts_no_job(spark):
+    views = LiveViews(load_market(spark, FOLDER))
+    context = spark.sparkContext
+    context.setJobGroup("building", "questions are lazy")
+    try:
+        for ask in (
+            questions.event_car, questions.funding_deciles, questions.extreme_regimes, questions.low_vol_safe_symbols,
+            questions.hourly_markouts, questions.vol_regime_markouts, questions.symbol_overview, questions.funding_pressure,
+            questions.post_event_volatility, questions.positive_moves_30m, questions.median_daily_vol,
+        ):
+            ask(views, START, END)
+        assert list(context.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_repeated_key_is_cut_before_the_shuffle(large):

@@ -62,10 +62,9 @@ def test_date_only_end_is_midnight(make):
 
 def test_six_events_a_day_fill_six_deciles_and_ties_break_by_key(make):
     events = [(s, at(f"2024-01-01 {h:02d}:00"), 1e-4) for s in ("AAAUSDT", "BBBUSDT") for h in (0, 8, 16)]
-    for limit in (0, 10**6):
-        found = rows(LiveViews(make([], events, one_task_rows=limit)).funding_deciles().select("symbol", "ts", "rate_decile"), "rate_decile")
-        assert [r[2] for r in found] == [1, 2, 3, 4, 5, 6]
-        assert [r[:2] for r in found] == sorted(r[:2] for r in found)
+    found = rows(LiveViews(make([], events)).funding_deciles().select("symbol", "ts", "rate_decile"), "rate_decile")
+    assert [r[2] for r in found] == [1, 2, 3, 4, 5, 6]
+    assert [r[:2] for r in found] == sorted(r[:2] for r in found)
 
 
 def test_unknown_volatility_lies_in_the_highest_tercile(make):
@@ -113,9 +112,7 @@ def test_one_event_that_is_not_ruled_out_saves_the_symbol(make):
     closes = path("AAAUSDT", "2024-01-01 07:00", [100 + (j % 2) for j in range(90)])
     closes += path("BBBUSDT", "2024-01-01 07:00", [100 + 20 * (j % 2) for j in range(90)])
     events = [(s, at("2024-01-01 08:00"), 0.0) for s in ("AAAUSDT", "BBBUSDT")]
-    for limit in (0, 10**6):
-        market = make(closes, events, one_task_rows=limit)
-        assert rows(questions.low_vol_safe_symbols(LiveViews(market), START, END)) == [("BBBUSDT",)]
+    assert rows(questions.low_vol_safe_symbols(LiveViews(make(closes, events)), START, END)) == [("BBBUSDT",)]
     # Another event of AAA with unknown volatility passes.
     closes += [("AAAUSDT", at("2023-12-30 08:00"), 100)]
     more = make(closes, events + [("AAAUSDT", at("2024-01-09 08:00"), 0.0), ("AAAUSDT", at("2024-01-01 06:59"), 0.0)])

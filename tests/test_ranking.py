@@ -26,51 +26,59 @@ ORDER = lambda: [F.col("v").asc_nulls_last(), F.col("k").asc()]
 
 @pytest.mark.parametrize("keys", [(), ("g",)])
 @pytest.mark.parametrize("tiles", [3, 10])
-def test_ranged_tiles_equal_ntile(spark, keys, tiles):
+def test_tiles_equal_ntile(spark, keys, tiles):
     df = sample(spark)
     window = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*ORDER())
     expected = rows(df.select("k", F.ntile(tiles).over(window).cast("bigint")), "k")
-    ranged = ranking.tile(df, tiles, ORDER(), keys, "tile", one_task_rows=0)
-    assert rows(ranged.select("k", "tile"), "k") == expected
     assert rows(ranking.tile(df, tiles, ORDER(), keys, "tile").select("k", "tile"), "k") == expected
 
 
-def test_fewer_rows_than_tiles(spark):
+@pytest.mark.parametrize("keys", [(), ("g",)])
+def test_fewer_rows_than_tiles(spark, keys):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(6)], SCHEMA)
-    for limit in (0, 100):
-        assert [r[0] for r in rows(ranking.tile(df, 10, ORDER(), ["g"], "tile", limit).select("tile"), "tile")] == [1, 2, 3, 4, 5, 6]
+    assert [r[0] for r in rows(ranking.tile(df, 10, ORDER(), keys, "tile").select("tile"), "tile")] == [1, 2, 3, 4, 5, 6]
+    assert ranking.tile(df.limit(0), 10, ORDER(), keys, "tile").count() == 0
 
 
 def test_nulls_go_to_the_last_tile(spark):
     df = spark.createDataFrame([("a", i, None if i < 2 else float(i)) for i in range(6)], SCHEMA)
-    for limit in (0, 100):
-        tiled = dict(rows(ranking.tile(df, 3, ORDER(), (), "tile", limit).select("k", "tile")))
-        assert tiled == {2: 1, 3: 1, 4: 2, 5: 2, 0: 3, 1: 3}
-
-
-@pytest.mark.parametrize("share", [0.0, 0.5, 0.9, 1.0])
-def test_ranged_percentile_equals_numpy(spark, share):
+    tiled = dict(rows(ranking.tile(df, 3, ORDER(), (), "tile").select("k", "tile")))
+    assert tiled == {2: 1, 3: 1, 4: 2, 5: 2, 0: 3, 1: 3}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.9, 1.0])
+def test_all_percentiles_are_the_same_bit_for_bit(spark, share):
+    """By group, over all rows and added to the rows: one formula, that of Spark's own function."""
+    draw = random.Random(6)
+    special = [float("inf"), float("-inf"), float("nan"), None]
+    for seed in range(6):
+        values = [draw.uniform(-1, 1) * 10 ** draw.randrange(-4, 5) for _ in range(draw.randrange(1, 300))]
+        values += special[: seed if seed < 5 else 0]
+        df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], SCHEMA).repartition(3)
+        by_group = ranking.exact_percentile(df, "v", share, ["g"], "p").collect()[0].p
+        own = df.agg(F.percentile("v", F.lit(share))).collect()[0][0]
+        overall = ranking.exact_percentile(df, "v", share, (), "p").collect()
+        added = {repr(r.p) for r in ranking.with_percentile(df, "v", share, "p").collect()}
+        assert [repr(by_group)] == [repr(own)] == [repr(r.p) for r in overall] and added == {repr(own)}
+
+
+def test_percentiles_next_to_other_aggregates(spark):
     df = sample(spark, seed=4)
     local = df.toPandas().dropna()
-    extra = [F.count(F.lit(1)).alias("n")]
-    for limit in (0, 10**6):
-        found = ranking.exact_percentile(df, "v", share, ["g"], "p", extra, limit).collect()
-        for row in found:
-            assert row.p == pytest.approx(np.quantile(local[local.g == row.g].v, share), abs=1e-12)
-        assert sum(r.n for r in found) == 3000
-        overall = ranking.exact_percentile(df, "v", share, (), "p", (), limit).collect()
-        assert [r.p for r in overall] == [pytest.approx(np.quantile(local.v, share), abs=1e-12)]
+    found = ranking.exact_percentile(df, "v", 0.9, ["g"], "p", [F.count(F.lit(1)).alias("n")]).collect()
+    for row in found:
+        assert row.p == pytest.approx(np.quantile(local[local.g == row.g].v, 0.9), abs=1e-12)
+    assert sum(r.n for r in found) == 3000
 
 
 def test_percentile_of_nothing_is_null(spark):
     df = spark.createDataFrame([("a", 1, None)], SCHEMA)
-    for limit in (0, 100):
-        assert rows(ranking.exact_percentile(df, "v", 0.5, ["g"], "p", (), limit)) == [("a", None)]
-        assert rows(ranking.exact_percentile(df.limit(0), "v", 0.5, (), "p", (), limit)) == [(None,)]
+    assert rows(ranking.exact_percentile(df, "v", 0.5, ["g"], "p")) == [("a", None)]
+    assert rows(ranking.exact_percentile(df, "v", 0.5, (), "p")) == [(None,)]
+    assert rows(ranking.exact_percentile(df.limit(0), "v", 0.5, (), "p")) == [(None,)]
 
 
-def test_positions_cover_each_group(spark):
-    ranked = ranking.rank_rows(sample(spark, seed=9), ORDER(), ["g"])
-    spread = ranked.groupBy("g").agg(F.min("_ix"), F.max("_ix"), F.countDistinct("_ix"), F.first("_n"), F.count("*"))
-    for _, low, high, distinct, n, count in rows(spread):
-        assert (low, high, distinct, n) == (0, count - 1, count, count)
+def test_positions_cover_all_rows(spark):
+    ranked = ranking.rank_rows(sample(spark, seed=9), ORDER())
+    found = rows(ranked.agg(F.min("_ix"), F.max("_ix"), F.countDistinct("_ix"), F.first("_n")))
+    assert found == [(0, 2999, 3000, 3000)]

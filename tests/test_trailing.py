@@ -60,4 +60,25 @@ def test_chosen_times_equal_sliding_along_all(spark, closed, reach):
     found = rows(trailing_percentile_at(df, times, "oi", 0.9, reach, closed), "symbol", "ts")
     assert [r[:2] for r in found] == sorted(k for k in chosen if k in every)
     for row in found:
-        assert row[2:] == pytest.approx(every[row[:2]][2:], abs=1e-9)
+        assert row == every[row[:2]]
+
+
+@pytest.mark.parametrize("share", [0.5, 0.9])
+@pytest.mark.parametrize("closed", [False, True])
+def test_equals_the_percentile_of_a_range_frame(spark, share, closed):
+    """NaN above all, infinities kept, only NULL left out; the same bits as Spark's own aggregate over the frame."""
+    draw = random.Random(2)
+    special = [None, float("nan"), float("inf"), float("-inf")]
+    data = [
+        (s, minutes("2024-01-01", 60 * i)[0], draw.choice(special) if draw.random() < 0.3 else draw.uniform(0, 5))
+        for s in "AB" for i in range(150)
+    ]
+    df = spark.createDataFrame(data, "symbol string, ts timestamp_ntz, oi double")
+    reach = timedelta(hours=12)
+    low = "INTERVAL '12' HOUR" if closed else "INTERVAL '43199.999999' SECOND"
+    frame = f"percentile(oi, {share}) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN {low} PRECEDING AND CURRENT ROW)"
+    wanted = rows(df.selectExpr("symbol", "ts", "oi", f"{frame} AS p"), "symbol", "ts")
+    assert list(map(repr, rows(trailing_percentile(df, "oi", share, reach, closed), "symbol", "ts"))) == list(map(repr, wanted))
+    chosen = df.filter("minute(ts) = 0 AND hour(ts) % 5 = 0").select("symbol", "ts")
+    at_times = rows(trailing_percentile_at(df, chosen, "oi", share, reach, closed), "symbol", "ts")
+    assert list(map(repr, at_times)) == [repr(r) for r in wanted if r[1].hour % 5 == 0]
