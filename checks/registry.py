@@ -20,13 +20,14 @@ from eventide.operators.event_windows import Measure, Reach, window_stats, witho
 from eventide.plans import questions, summaries
 from eventide.plans.catalog import register_views, time_arguments
 from eventide.plans.market import LiveViews, Market
-from eventide.plans.store import DERIVED, TableStore, refresh
+from eventide.plans.store import DERIVED, StoredViews, TableStore, refresh
 from eventide.schemas import EVENT_KINDS, PRIMARY_KEYS
-from eventide.session import shared_folder, tune
+from eventide.session import shared_folder, with_scratch
 from eventide.sources import ingest, quality
-from eventide.sources.event_log import load_market
+from eventide.sources.event_log import load_market, market_from_log
 
 START, END = "2024-01-01 00:00:00", "2024-01-31 23:59:59"
+SHORT_RANGE = ("2024-01-15 00:00:00", "2024-01-15 08:00:00")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,7 +36,7 @@ def over_market(build: Callable[[Market], DataFrame]):
     """Register a query that needs the domain tables."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(load_market(tune(spark), folder))
+        return build(load_market(with_scratch(spark), folder))
 
     QUERIES[build.__name__] = run
     return build
@@ -45,7 +46,7 @@ def over_folder(build: Callable[[SparkSession, str], DataFrame]):
     """Register a query that needs other tables of the folder."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(tune(spark), folder)
+        return build(with_scratch(spark), folder)
 
     QUERIES[build.__name__] = run
     return build
@@ -461,25 +462,74 @@ def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
+STORED_START, STORED_END = "2024-01-03 08:00:00", "2024-01-12"  # cut rows on both sides; the end is a midnight
+SINCE = "2024-01-20"
+_STORES: dict[tuple, TableStore] = {}
+
+
+def _store(spark: SparkSession, folder: str, market: Market, since: bool) -> TableStore:
+    """All stored tables, refreshed once per folder; with ``since``, grown from an earlier state.
+
+    The earlier state lacks the rows from ``SINCE`` on and has others in their place, on days that vanish.
+    """
+    key = (spark.sparkContext.applicationId, folder, since)
+    if key not in _STORES:
+        store = TableStore(spark, f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}")
+        if since:
+            log = spark.read.parquet(f"{folder}/events.parquet")
+            later = F.col("ts") >= F.lit(SINCE).cast("timestamp_ntz")
+            moved = F.when(later, F.col("ts") + F.expr("INTERVAL '9' DAY")).otherwise(F.col("ts"))
+            refresh(store, market_from_log(log.withColumn("ts", moved)))
+        refresh(store, market, since=SINCE if since else None)
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def over_store(name: str, build: Callable[[StoredViews], DataFrame], since: bool = False) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        market = load_market(with_scratch(spark), folder)
+        return build(StoredViews(_store(spark, folder, market, since), market))
+
+    QUERIES[name] = run
+
+
+STORED_DIGITS = {
+    "minute_returns": (9, "r1m", "rv_30m"), "event_markouts": (9, "rate", "markout_60m"), "event_car": (9, "car"),
+    "funding_deciles": (9, "rate"), "event_vol_levels": (9, "rv_1h", "rv_1d"), "event_volatility": (9, "rv_1h", "rv_1d"),
+    "rolling_oi": (6, "oi", "p90_oi_14d"), "daily_rate_stats": (9, "p90_abs_rate", "avg_abs_rate"),
+    "symbol_daily_stats": (MEAN_DIGITS, "avg_volume"),
+}
+for _name, (_digits, *_columns) in STORED_DIGITS.items():
+    for _since in (False, True):
+        over_store(
+            f"stored_{'since_' if _since else ''}{_name}",
+            lambda v, n=_name, d=_digits, c=tuple(_columns): rounded(v.store.read(n).drop("day"), d, *c), _since,
+        )
+
+over_store("q1_stored", lambda v: rounded(questions.event_car(v, STORED_START, STORED_END), 9, "min_car", "max_car"))
+over_store("q2_stored", lambda v: rounded(questions.funding_deciles(v, STORED_START, STORED_END), 9, "avg_markout_60m"))
+over_store("q3_stored", lambda v: rounded(questions.extreme_regimes(v, STORED_START, END, min_events=1), 9, "avg_markout_60m"))
+over_store("q4_stored", lambda v: questions.low_vol_safe_symbols(v, *SHORT_RANGE))
+over_store("q5_stored", lambda v: rounded(questions.hourly_markouts(v, STORED_START, STORED_END), 9, "avg_markout_60m"))
+over_store("q6_stored", lambda v: rounded(questions.vol_regime_markouts(v, STORED_START, STORED_END), 9, "avg_markout_60m"))
+over_store("q7_stored", lambda v: rounded(questions.symbol_overview(v, STORED_START, STORED_END), MEAN_DIGITS, "avg_kline_volume"))
+
+
 @over_market
 def sql_over_views(market: Market) -> DataFrame:
-    """The regime question asked in SQL over the registered views, with bound parameters."""
+    """Top volatility and total return by symbol and day, in SQL over the registered views with bound parameters."""
     register_views(market, prefix="study_")
     found = market.funding.sparkSession.sql(
         """
-        SELECT symbol, mean(markout_60m) AS avg_markout_60m, count(*) AS n_events
-        FROM study_mv_event_markouts
-        JOIN study_mv_daily_rate_stats s USING (symbol)
-        JOIN (SELECT symbol, ts AS event_ts FROM study_mv_rolling_oi_stats WHERE oi > p90_oi_14d)
-          USING (symbol, event_ts)
-        WHERE s.d = to_date(event_ts) AND abs(rate) > s.p90_abs_rate
-          AND event_ts BETWEEN CAST(:start AS TIMESTAMP_NTZ) AND CAST(:end AS TIMESTAMP_NTZ)
-        GROUP BY symbol HAVING n_events >= :min_events
-        ORDER BY avg_markout_60m DESC NULLS FIRST, symbol LIMIT 10
+        SELECT r.symbol, to_date(r.ts) AS d, s.n_klines, max(r.rv_30m) AS top_rv, sum(r.r1m) AS day_return
+        FROM study_minute_returns r JOIN study_mv_symbol_daily_stats s ON s.symbol = r.symbol AND s.d = to_date(r.ts)
+        WHERE r.ts BETWEEN CAST(:start AS TIMESTAMP_NTZ) AND CAST(:end AS TIMESTAMP_NTZ) AND s.n_funding_events > 0
+        GROUP BY r.symbol, to_date(r.ts), s.n_klines
+        HAVING count(r.r1m) >= :min_rows
         """,
-        args={**time_arguments(start=START, end=END), "min_events": 1},
+        args={**time_arguments(start=START, end="2024-01-12"), "min_rows": 5},
     )
-    return rounded(found, 9, "avg_markout_60m")
+    return rounded(found, 9, "top_rv", "day_return")
 
 
 # ---- questions ------------------------------------------------------------------------------
@@ -511,6 +561,12 @@ def low_vol_safe_symbols(market: Market) -> DataFrame:
     return questions.low_vol_safe_symbols(LiveViews(market), START, END)
 
 
+@over_market
+def low_vol_safe_symbols_short(market: Market) -> DataFrame:
+    """A range short enough that some symbols have no event that saves them."""
+    return questions.low_vol_safe_symbols(LiveViews(market), *SHORT_RANGE)
+
+
 @over_market
 def hourly_markouts(market: Market) -> DataFrame:
     return rounded(questions.hourly_markouts(LiveViews(market), START, END), 9, "avg_markout_60m")

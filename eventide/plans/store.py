@@ -8,12 +8,13 @@ it does not compute the rows twice to sample them.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from eventide.functions.times import TimeLike, clip, naive_utc, shift
@@ -39,7 +40,13 @@ DERIVED = (
 
 
 class TableStore:
-    """Parquet tables under one root folder that all executors share."""
+    """Parquet tables under one root folder that all executors share.
+
+    A write adds a folder ``version=...`` with one folder per day and then, by one rename, a new state of the
+    table: the versions that count and the day before which each does. Readers take the last state when they are
+    planned, so they see a table as it was before a write or after it, and a write that fails changes nothing.
+    One writer per table at a time.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -47,47 +54,102 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _files(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _states(self, name: str) -> list[str]:
+        files, folder = self._files(f"{self.path(name)}/_state")
+        if not files.exists(folder):
+            return []
+        return sorted(s.getPath().getName() for s in files.listStatus(folder) if s.getPath().getName().endswith(".json"))
+
+    def exists(self, name: str) -> bool:
+        return bool(self._states(name))
+
+    def _versions(self, name: str) -> list[dict]:
+        states = self._states(name)
+        if not states:
+            raise FileNotFoundError(f"no table {name} under {self.root}")
+        files, place = self._files(f"{self.path(name)}/_state/{states[-1]}")
+        stream = files.open(place)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, name: str, versions: list[dict]) -> None:
+        states = self._states(name)
+        number = int(states[-1].split(".")[0]) + 1 if states else 0
+        files, draft = self._files(f"{self.path(name)}/_state/.{uuid.uuid4().hex}")
+        stream = files.create(draft)
+        stream.write(bytearray(json.dumps(versions).encode()))
+        stream.close()
+        target = self._files(f"{self.path(name)}/_state/{number:08d}.json")[1]
+        if files.exists(target) or not files.rename(draft, target):
+            raise RuntimeError(f"another writer changed {name}")
+
     def read(self, name: str) -> DataFrame:
         """The table with its ``day`` column; the layout is declared, so no file is opened to plan a query."""
-        layout = T.StructType([*STORED[name][1].fields, T.StructField("day", T.DateType())])
-        return self.spark.read.schema(layout).parquet(self.path(name))
+        folders = [T.StructField("version", T.StringType()), T.StructField("day", T.DateType())]
+        table = self.spark.read.schema(T.StructType([*STORED[name][1].fields, *folders])).parquet(self.path(name))
+        counts = F.lit(False)
+        for entry in self._versions(name):
+            valid = F.col("version") == entry["version"]
+            if entry["before"] is not None:
+                valid = valid & (F.col("day") < F.lit(entry["before"]).cast("date"))
+            counts = counts | valid
+        return table.filter(counts).drop("version")
 
     def write(self, name: str, rows: DataFrame, since: date | None = None, append: bool = False) -> None:
-        """Replace the table; with ``since``, only its days from then on that the new rows touch."""
+        """Replace the table, or with ``since`` all its days from then on, also those that have no rows any more."""
         time, layout = STORED[name]
-        dated = rows.select(*layout.fieldNames(), F.to_date(time).alias("day"))
+        day = F.to_date(time) if time else F.lit("1970-01-01").cast("date")
+        dated = rows.select(*layout.fieldNames(), day.alias("day"))
+        kept = self._versions(name) if (since is not None or append) and self.exists(name) else []
         if since is not None:
             dated = dated.filter(F.col("day") >= F.lit(since.isoformat()).cast("date"))
-        order = ["day", "symbol", time, *(["ts"] if name == "event_car" else [])]
+            kept = [e | {"before": min(e["before"] or "9999-12-31", since.isoformat())} for e in kept]
+        order = ["day", "symbol", *([time] if time else []), *(["ts"] if name == "event_car" else [])]
         laid_out = dated.hint("rebalance", "day").sortWithinPartitions(*order)
-        writer = laid_out.write.partitionBy("day").mode("append" if append else "overwrite")
-        if since is not None and not append:
-            writer = writer.option("partitionOverwriteMode", "dynamic")
-        writer.parquet(self.path(name))
+        version = f"v{uuid.uuid4().hex}"
+        laid_out.write.partitionBy("day").parquet(f"{self.path(name)}/version={version}")
+        self._commit(name, [*kept, {"version": version, "before": None}])
+
+    def vacuum(self, name: str) -> int:
+        """Delete the versions and states that no longer count; no reader planned earlier may still run."""
+        live, states = {e["version"] for e in self._versions(name)}, self._states(name)
+        files, folder = self._files(self.path(name))
+        gone = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().removeprefix("version=") not in {*live, "_state"}]
+        gone += [self._files(f"{self.path(name)}/_state/{state}")[1] for state in states[:-1]]
+        for path in gone:
+            files.delete(path, True)
+        return len(gone)
 
     def insert_ignore(self, name: str, batch: DataFrame, key: Sequence[str], arrival: Sequence[Column]) -> str | None:
         """Append the rows whose key is new, the first to arrive if a key repeats within the batch.
 
         Returns the earliest time in the batch, which is what :func:`refresh` needs to know as ``since``.
-        Only the days the batch spans are read back. A table not there yet is created. One writer per
-        table at a time.
+        Only the days the batch spans are read back. A table not there yet is created.
         """
         time = STORED[name][0]
+        present = self.read(name) if self.exists(name) else None
+        if time is None:
+            self.write(name, insert_ignore(batch, present, key, arrival), append=True)
+            return None
         first, last = batch.agg(F.min(time).cast("string"), F.max(time).cast("string")).first()
         if first is None:
             return None
-        try:
-            present = clip(self.read(name), time, first, last)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            present = None
+        present = None if present is None else clip(present, time, first, last)
         self.write(name, insert_ignore(batch, present, key, arrival), append=True)
         return first
 
-    def market(self, symbols: DataFrame, **options) -> Market:
-        """The base tables of this store."""
+    def market(self, symbols: DataFrame | None = None, **options) -> Market:
+        """The base tables of this store; ``symbols`` may be given from elsewhere, markers are there if stored."""
         base = ("klines", "funding", "open_interest", "premium_index")
+        symbols = self.read("symbols").drop("day") if symbols is None else symbols
+        if "event_markers" not in options and self.exists("event_markers"):
+            options["event_markers"] = self.read("event_markers").drop("day")
         return Market(symbols, *[self.read(name) for name in base], **options)
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventide.functions import signals
 
-LEADERBOARD_ROWS = 20
-
 
 def _zero(column: Column | str) -> Column:
     return F.coalesce(column, F.lit(0.0))
@@ -125,11 +123,11 @@ def data_quality_tier(overview: DataFrame) -> DataFrame:
     return overview.withColumn("data_quality", tier)
 
 
-def leaderboard(result: DataFrame, measure: str, rows: int = LEADERBOARD_ROWS) -> DataFrame:
-    """The first rows by ``measure``, their place, and their size in percent of the leader's."""
+def leaderboard(result: DataFrame, measure: str, rows: int | None = None) -> DataFrame:
+    """Symbols by ``measure``, their place, and their size in percent of the leader's; only the first ``rows`` if given."""
     order = [F.desc_nulls_first(measure), F.col("symbol").asc()]
-    top = result.orderBy(*order).limit(rows)
-    # The window covers no more than the rows kept above.
+    top = result if rows is None else result.orderBy(*order).limit(rows)
+    # One row per symbol.
     place = Window.partitionBy().orderBy(*order)
     leader = F.first(measure).over(place)
     share = F.col(measure) / F.when(leader == 0, F.lit(1)).otherwise(F.coalesce(leader, F.lit(1))) * 100

@@ -74,7 +74,10 @@ def _long(*names: str) -> tuple:
     return tuple((name, T.LongType(), True) for name in names)
 
 
+# ``symbols`` has no time; it lies in one folder.
 STORED = {
+    "symbols": (None, SYMBOLS),
+    "event_markers": ("event_ts", EVENT_MARKERS),
     "klines": ("open_time", KLINES),
     "funding": ("ts", FUNDING),
     "open_interest": ("ts", OPEN_INTEREST),

@@ -54,19 +54,31 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only a local master, where driver and executors share one disk, may fall back to a
-    temporary folder.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``. The library never makes one up."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="eventide-checkpoint-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
+
+
+def with_scratch(spark: SparkSession) -> SparkSession:
+    """For scripts and comparisons in one process: a temporary checkpoint folder where none is configured."""
+    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventide-scratch-"))
+    return spark
+
+
+def table_bytes(spark: SparkSession, *paths: str) -> int:
+    """Size of files and folders, from the file system's own summary."""
+    total = 0
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        total += place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return total

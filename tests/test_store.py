@@ -114,8 +114,49 @@ def test_ranges_skip_folders(spark, make, tables, tmp_path):
     store = TableStore(spark, str(tmp_path))
     store.write("klines", make(*tables).klines)
     market = replace(make(), klines=store.read("klines"))
-    plan = LiveViews(market).returns(None, at("2024-01-03") + timedelta(hours=1))._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(open_time), LessThanOrEqual(open_time" in plan
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = LiveViews(market).returns(None, at("2024-01-03") + timedelta(hours=1))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = plan[plan.index("PartitionFilters"):]
+    folders, rest = scan.split("PushedFilters", 1)
+    assert "day#" in folders and "version#" in folders and "LessThanOrEqual(open_time" in rest.split("ReadSchema")[0]
+
+
+def test_a_refresh_drops_what_is_gone(spark, make, tables, tmp_path):
+    """Days and events that the base tables no longer have are gone from every table, as after a rebuild."""
+    closes, funding, oi = tables
+    whole = make(closes, funding, oi)
+    cut, away = at("2024-01-10"), (at("2024-01-11"), at("2024-01-13"))
+    left = [[r for r in t if not away[0] <= r[1] < away[1] and (r[1] < cut or r[0] != "BBBUSDT")] for t in tables]
+    after = make(*left)
+    grown, fresh = TableStore(spark, str(tmp_path / "grown")), TableStore(spark, str(tmp_path / "fresh"))
+    refresh(grown, whole)
+    refresh(grown, after, since="2024-01-10")
+    refresh(fresh, after)
+    for name in DERIVED:
+        keys = fresh.read(name).columns[:3] if name == "event_car" else fresh.read(name).columns[:2]
+        close(rows(grown.read(name), *keys), rows(fresh.read(name), *keys))
+    found = rows(questions.symbol_overview(StoredViews(grown, after), START, END))
+    close(found, rows(questions.symbol_overview(LiveViews(after), START, END)))
+
+
+def test_a_failed_write_changes_nothing(spark, make, tables, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write("funding", make(*tables).funding)
+    before = rows(store.read("funding"), "symbol", "ts")
+    reader = store.read("funding")
+    broken = make(*tables).funding.withColumn("rate", F.expr("if(hour(ts) = 16 AND day(ts) = 9, raise_error('lost'), rate)"))
+    for since in (None, at("2024-01-05").date()):
+        with pytest.raises(Exception, match="lost"):
+            store.write("funding", broken, since)
+        assert rows(store.read("funding"), "symbol", "ts") == before
+    store.write("funding", make(*tables).funding.filter("symbol = 'AAAUSDT'"))
+    assert rows(reader, "symbol", "ts") == before  # planned before the write
+    assert store.read("funding").select("symbol").distinct().count() == 1
+    assert store.vacuum("funding") > 0
+    assert store.read("funding").count() == sum(r[0] == "AAAUSDT" for r in before)
 
 
 def test_sql_over_views_live_and_stored(spark, make, tables, tmp_path):
@@ -124,10 +165,11 @@ def test_sql_over_views_live_and_stored(spark, make, tables, tmp_path):
     refresh(store, market)
     asked = """
         SELECT hour(at) AS h, avg(drift) AS m, count(*) AS n
-        FROM (SELECT f.ts AS at, sum(r1m) AS drift FROM {p}funding f JOIN {p}minute_returns r USING (symbol)
-              WHERE r.ts - f.ts BETWEEN INTERVAL '1' SECOND AND INTERVAL '60' MINUTE
-                AND f.ts BETWEEN CAST(:start AS TIMESTAMP_NTZ) AND CAST(:end AS TIMESTAMP_NTZ)
-              GROUP BY symbol, f.ts)
+        FROM (SELECT f.ts AS at, sum(r.r1m) AS drift
+              FROM {p}funding f JOIN {p}minute_returns r
+                ON r.symbol = f.symbol AND r.ts > f.ts AND r.ts <= f.ts + INTERVAL '60' MINUTE
+              WHERE f.ts BETWEEN CAST(:start AS TIMESTAMP_NTZ) AND CAST(:end AS TIMESTAMP_NTZ)
+              GROUP BY f.symbol, f.ts)
         GROUP BY h ORDER BY h"""
     expected = rows(questions.hourly_markouts(LiveViews(market), START, "2024-01-09T00:00:00Z"))
     for prefix, views in (("live_", None), ("stored_", StoredViews(store, market))):
@@ -161,18 +203,22 @@ def test_files_to_answers(spark, make, tables, tmp_path):
         with open(paths[name], "w") as out:
             out.write(f"symbol,ts,{column}\n")
             out.writelines(f"{s},{t},{v!r}\n" for s, t, v in table)
+            if name == "funding":
+                out.write("ZZZUSDT,2024-01-01 00:00:00,0.1\n")  # a symbol nobody named
     store = TableStore(spark, str(tmp_path / "tables"))
     for attempt in range(2):  # loading again changes nothing
-        symbols, report = load_files(store, ["aaausdt ", "BBBUSDT"], str(folder), paths)
-        assert sorted((r.table_name, r.n_good, r.n_bad) for r in report.collect()) == [
-            ("funding", len(funding), 0),
+        loaded = load_files(store, ["aaausdt\t", "BBBUSDT"], str(folder), paths)
+        assert loaded.since == str(min(r[1] for r in closes + funding + oi))
+        assert sorted((r.table_name, r.n_good, r.n_bad) for r in loaded.report.collect()) == [
+            ("funding", len(funding), 1),
             ("klines", sum(r[0] == "AAAUSDT" for r in closes) + 1, 1),
             ("klines", sum(r[0] == "BBBUSDT" for r in closes) + 1, 1),
             ("open_interest", len(oi), 0),
         ]
         assert store.read("klines").count() == len(closes)
     store.write("premium_index", market.premium_index)
-    loaded = store.market(symbols)
+    loaded = store.market()
+    assert rows(loaded.event_markers, "symbol", "event_ts") == sorted((s, t, "funding") for s, t, _ in funding)
     assert rows(loaded.symbols, "symbol") == [("AAAUSDT", "AAA", "USDT"), ("BBBUSDT", "BBB", "USDT")]
     close(rows(questions.extreme_regimes(LiveViews(loaded), START, END, 1)), rows(questions.extreme_regimes(LiveViews(market), START, END, 1)))
     close(rows(questions.symbol_overview_raw(loaded, START, END)), rows(questions.symbol_overview_raw(market, START, END)))
