@@ -11,10 +11,20 @@ SLASH_YEAR_FIRST = r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})"
 SLASH_YEAR_LAST = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
 
 
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+# A time of day, then Z or a numeric offset at the end.
+ZONED_TEXT = r"[0-9]:[0-9]{2}.*([zZ]|[+-][0-9]{2}:?[0-9]{2})$"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def clean_symbol(text: Column | str) -> Column:
-    """Upper case without surrounding blanks; missing text becomes empty."""
+    """Upper case without surrounding white space; missing text becomes empty."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.upper(F.coalesce(text, F.lit(""))))
+    return strip(F.upper(F.coalesce(text, F.lit(""))))
 
 
 def base_asset(symbol: Column) -> Column:
@@ -28,26 +38,29 @@ def quote_asset(symbol: Column) -> Column:
 
 
 def to_double(text: Column) -> Column:
-    text = F.trim(text)
+    text = strip(text)
     return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
 
 
 def to_int(text: Column) -> Column:
-    return F.trim(text).try_cast("int")
+    return strip(text).try_cast("int")
 
 
 def to_timestamp(text: Column) -> Column:
-    """ISO first, then the two slash forms (year first, month first); a zone suffix is ignored."""
-    text = F.trim(text)
+    """ISO first, then the two slash forms (year first, month first); times with a UTC offset become UTC."""
+    text = strip(text)
     text = F.regexp_replace(text, SLASH_YEAR_FIRST, "$1-$2-$3")
     text = F.regexp_replace(text, SLASH_YEAR_LAST, "$3-$1-$2")
-    return F.when(text.rlike(ISO_DATE_TEXT), text.try_cast("timestamp_ntz"))
+    offset = F.regexp_replace(text, "([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    instant = F.timestamp_add("MICROSECOND", F.unix_micros(offset.try_cast("timestamp")), F.expr(EPOCH))
+    zoned = F.when(text.rlike(ZONED_TEXT), instant).otherwise(text.try_cast("timestamp_ntz"))
+    return F.when(text.rlike(ISO_DATE_TEXT), zoned)
 
 
 def epoch_millis_to_timestamp(text: Column) -> Column:
     """Epoch milliseconds written as a number (a fraction is allowed) to a zone-free UTC timestamp."""
     micros = F.round(to_double(text) * 1000).try_cast("bigint")
-    return F.timestamp_add("MICROSECOND", micros, F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+    return F.timestamp_add("MICROSECOND", micros, F.expr(EPOCH))
 
 
 def clamp(value: Column, low: float, high: float) -> Column:

@@ -21,6 +21,10 @@ class Market:
     premium_index: DataFrame
     event_markers: DataFrame | None = None
 
+    def between(self, name: str, column: str, start: TimeLike | None, end: TimeLike | None) -> DataFrame:
+        """Rows of a base table in a closed time range."""
+        return clip(getattr(self, name), column, start, end)
+
     def minute_returns(self) -> DataFrame:
         return minute_returns(self.klines)
 
@@ -36,7 +40,7 @@ class LiveViews:
         self.market = market
 
     def funding(self, start: TimeLike | None = None, end: TimeLike | None = None) -> DataFrame:
-        return clip(self.market.funding, "ts", start, end).select("symbol", "ts", "rate")
+        return self.market.between("funding", "ts", start, end).select("symbol", "ts", "rate")
 
     def events(self, start=None, end=None, symbol: str | None = None) -> DataFrame:
         funding = self.funding(start, end)
@@ -44,7 +48,7 @@ class LiveViews:
 
     def returns(self, start=None, end=None, reach: Reach = Reach(), symbol: str | None = None) -> DataFrame:
         """Log returns from ``reach.before`` ahead of the range to ``reach.after`` behind it."""
-        klines = self.market.klines
+        klines = self.market.between("klines", "open_time", None, shift(end, reach.after))
         if symbol is not None:
             klines = klines.filter(F.col("symbol") == symbol)
         return log_returns(klines, shift(start, -reach.before), shift(end, reach.after))

@@ -6,10 +6,13 @@ interest and premium follow by grouping; all of it is lazy.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventide.functions.parsing import base_asset, quote_asset
-from eventide.functions.times import floor_time
+from eventide.functions.times import TimeLike, clip, floor_time, shift
 from eventide.plans.market import Market
 
 
@@ -24,14 +27,39 @@ def _bars(log: DataFrame, width: str, value) -> DataFrame:
     )
 
 
-def market_from_log(log: DataFrame, **options) -> Market:
+# Widths of the buckets each table is grouped by.
+WIDTHS = {"klines": timedelta(minutes=1), "funding": timedelta(hours=8), "open_interest": timedelta(hours=1)}
+
+
+@dataclass(frozen=True)
+class LogMarket(Market):
+    """Tables derived from a log. A time range is put on the log itself, where the scan can use it: a test on
+    a bucket's start does not get below the grouping."""
+
+    log: DataFrame | None = None
+    derived: dict | None = None  # the tables as they were built, to notice one that was replaced
+
+    def between(self, name: str, column: str, start: TimeLike | None, end: TimeLike | None) -> DataFrame:
+        if name not in WIDTHS or getattr(self, name) is not self.derived[name]:
+            return super().between(name, column, start, end)
+        # Every row of a bucket lies between its start and its end.
+        part = clip(self.log, "ts", start, shift(end, WIDTHS[name]))
+        return clip(_tables(part)[name], column, start, end)
+
+
+def market_from_log(log: DataFrame, **options) -> LogMarket:
+    tables = _tables(log)
+    return LogMarket(**tables, log=log, derived=tables, **options)
+
+
+def _tables(log: DataFrame) -> dict[str, DataFrame]:
     value = F.col("value")
     symbol = F.col("symbol")
     # A price must be positive for its logarithm to exist.
     minute = _bars(log.filter(value > 0), "1 minute", value)
     hourly = _bars(log, "1 hour", (value - 50) / 1000)
     by_type = F.col("event_type").alias("symbol")
-    return Market(
+    return dict(
         symbols=log.select(by_type).distinct().select(
             "symbol", base_asset(symbol).alias("base_asset"), quote_asset(symbol).alias("quote_asset")
         ),
@@ -62,9 +90,8 @@ def market_from_log(log: DataFrame, **options) -> Market:
         event_markers=log.groupBy(by_type, floor_time("ts", "8 hours").alias("event_ts")).agg(
             F.lit("funding").alias("kind")
         ),
-        **options,
     )
 
 
-def load_market(spark: SparkSession, folder: str, **options) -> Market:
+def load_market(spark: SparkSession, folder: str, **options) -> LogMarket:
     return market_from_log(spark.read.parquet(f"{folder}/events.parquet"), **options)

@@ -54,7 +54,7 @@ def read_archive_lines(spark: SparkSession, folder: str, symbols: Sequence[str])
 
     zip cannot be split, so a task unpacks whole archives; they are spread over all tasks.
     """
-    wanted = [s.upper().strip() for s in symbols]
+    wanted = [s.strip().upper() for s in symbols]
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.zip")
@@ -74,7 +74,7 @@ def parse_kline_lines(lines: DataFrame) -> DataFrame:
     names = [f"_c{i}" for i in range(KLINE_FIELDS)]
     cells = F.from_csv("line", ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"})
     split = lines.withColumn("_cells", cells).select("*", "_cells.*").drop("_cells", "line")
-    header = (F.col("line_no") == 0) & F.lower(F.trim(F.coalesce("_c0", F.lit("")))).isin(*HEADER_CELLS)
+    header = (F.col("line_no") == 0) & F.lower(parsing.strip(F.coalesce("_c0", F.lit("")))).isin(*HEADER_CELLS)
     typed = split.filter(~header).select(
         *[c for c in split.columns if not c.startswith("_c")],
         parsing.epoch_millis_to_timestamp(F.col("_c0")).alias("open_time"),

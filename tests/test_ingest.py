@@ -131,3 +131,23 @@ def test_grid_clamp_boost(spark):
     assert [r.oi for r in ingest.boost_at_events(series, grid, "oi", 1.1).orderBy("ts").collect()] == [pytest.approx(110.0), 100.0]
     clamped = series.select(parsing.clamp(F.col("oi"), 1.0, 50.0)).distinct()
     assert rows(clamped) == [(50.0,)]
+
+
+def test_offsets_and_white_space(spark):
+    cases = {
+        "2024-01-01T00:00:00+05:30": at("2023-12-31 18:30"), "2024-01-01 12:00:00-0800": at("2024-01-01 20:00"),
+        "2024-01-01T06:00:00.250Z": at("2024-01-01 06:00:00.250"), "\t2024-01-01 06:00:00\u00a0": at("2024-01-01 06:00"),
+        "2024/01/02 03:04:05+01:00": at("2024-01-02 02:04:05"), "2024-01-01": at("2024-01-01"), "2024-01-01 06:00:00+99:00": None,
+        "2024-10-27T02:30:00+02:00": at("2024-10-27 00:30"), "2024-10-27T02:30:00+01:00": at("2024-10-27 01:30"),
+    }
+    text = spark.createDataFrame([(t,) for t in cases], "t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "Europe/Paris", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert dict(rows(text.select("t", parsing.to_timestamp(F.col("t"))))) == cases, name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    odd = spark.createDataFrame([("\tabc\n", "\t1.5 ", "\u20037")], "s string, d string, i string")
+    found = odd.select(parsing.clean_symbol("s"), parsing.to_double(F.col("d")), parsing.to_int(F.col("i")))
+    assert rows(found) == [("ABC", 1.5, 7)]

@@ -60,6 +60,18 @@ def test_tiles_and_percentiles_over_all_rows_do_not_use_one_task(large):
         assert "ntile" not in text
 
 
+def test_a_range_reaches_the_scan_of_the_log(large):
+    views = LiveViews(load_market(large, FOLDER))
+    large.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        text = plan(questions.hourly_markouts(views, "2024-01-10", "2024-01-12"))
+    finally:
+        large.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", text)
+    assert pushed and all("LessThanOrEqual(ts,2024-01-12T" in p for p in pushed)
+    assert any("GreaterThanOrEqual(ts,2024-01-10T" in p for p in pushed)
+
+
 def test_building_a_question_starts_no_job(spark):
     views = LiveViews(load_market(spark, FOLDER))
     context = spark.sparkContext
