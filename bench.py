@@ -18,7 +18,7 @@ from eventide.plans import questions  # noqa: E402
 from eventide.plans.market import LiveViews  # noqa: E402
 from eventide.plans.store import StoredViews, TableStore, refresh  # noqa: E402
 from eventide.plans.timing import run_ms  # noqa: E402
-from eventide.session import local_session  # noqa: E402
+from eventide.session import local_session, table_bytes, tune  # noqa: E402
 from eventide.sources.event_log import load_market  # noqa: E402
 
 START, END = "2024-01-01 00:00:00", "2024-01-31 23:59:59"
@@ -54,6 +54,7 @@ def main() -> None:
     scratch = tempfile.mkdtemp(prefix="eventide-bench-")
     spark.sparkContext.setCheckpointDir(f"{scratch}/checkpoint")
 
+    tune(spark, table_bytes(spark, f"{folder}/events.parquet"))
     market = load_market(spark, folder)
     store = TableStore(spark, f"{scratch}/tables")
     begun = time.perf_counter()

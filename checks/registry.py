@@ -6,11 +6,16 @@ values with few decimals are rounded finely enough that they do not fall half-wa
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventide.functions import parsing
@@ -256,6 +261,55 @@ def csv_round_trip(market: Market) -> DataFrame:
     return rounded(read, RATE_DIGITS, "rate")
 
 
+@over_market
+def csv_open_interest(market: Market) -> DataFrame:
+    spark = market.open_interest.sparkSession
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    ingest.write_csv(market.open_interest, path)
+    return rounded(ingest.valid_rows(ingest.load_open_interest(spark, path)).drop("arrival"), 6, "oi")
+
+
+@over_market
+def csv_premium(market: Market) -> DataFrame:
+    spark = market.premium_index.sparkSession
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    ingest.write_csv(market.premium_index, path)
+    read = ingest.valid_rows(ingest.load_premium_index(spark, path)).drop("arrival")
+    return rounded(read, 9, "open_val", "high_val", "low_val", "close_val")
+
+
+@over_market
+def archive_round_trip(market: Market) -> DataFrame:
+    """Bars written as zip archives, one per symbol and day with a header line and a broken line, and loaded again."""
+    spark = market.klines.sparkSession
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    text = lambda c: F.col(c).cast("string")
+    lines = market.klines.select(
+        "symbol", F.to_date("open_time").cast("string").alias("day"), "open_time",
+        F.concat_ws(
+            ",", (epoch_seconds("open_time") * 1000).cast("string"), text("open_price"), text("high_price"), text("low_price"),
+            text("close_price"), text("volume"), F.lit("0,0"), text("number_of_trades"), F.lit("0,0,0"),
+        ).alias("line"),
+    )
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        files, root = pa.fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        symbol, day = group["symbol"].iloc[0], group["day"].iloc[0]
+        content = "\n".join(["open_time,open,high,low,close,volume", *group.sort_values("open_time")["line"], "no bar", ""])
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("bars.csv", content)
+        with files.open_output_stream(f"{root}/{symbol}-1m-{day}.zip") as out:
+            out.write(packed.getvalue())
+        return pd.DataFrame({"n": [len(group)]})
+
+    lines.groupBy("symbol", "day").applyInPandas(pack, "n bigint").agg(F.sum("n")).collect()
+    symbols = [r["symbol"] for r in market.symbols.collect()]
+    read = ingest.valid_rows(ingest.load_klines(spark, folder, symbols)).drop("path", "line_no")
+    return rounded(read.withColumn("number_of_trades", F.col("number_of_trades").cast("bigint")), 6, "volume")
+
+
 def _given(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 

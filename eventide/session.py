@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -69,7 +70,7 @@ def shared_folder(spark: SparkSession) -> str:
 def with_scratch(spark: SparkSession) -> SparkSession:
     """For scripts and comparisons in one process: a temporary checkpoint folder where none is configured."""
     if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventide-scratch-"))
     return spark

@@ -42,7 +42,9 @@ def test_bars_cross_the_network_once_for_returns_and_window_join(large):
     assert text.count("hashpartitioning(symbol") <= 6
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"stored_tables", "csv_round_trip"}))
+@pytest.mark.parametrize("name", sorted(
+    name for name in QUERIES if not name.startswith(("stored_", "csv_", "archive_")) and not name.endswith("_stored")
+))
 def test_no_pairwise_join_except_with_one_row(large, name):
     text = plan(QUERIES[name](large, FOLDER))
     assert "CartesianProduct" not in text
