@@ -30,12 +30,13 @@ TRAILING = timedelta(days=14)
 def sliding_percentile(times: np.ndarray, values: np.ndarray, reach: np.timedelta64, share: float, closed: bool) -> np.ndarray:
     """Percentile of the values at (t - reach, t], or [t - reach, t], for every row; times ascend.
 
-    A NULL arrives as a masked value (None); rows of equal time see each other.
+    A NULL arrives as None; rows of equal time see each other.
     """
     n = len(times)
     result = np.full(n, nan)
-    first = np.searchsorted(times, times - reach, "left" if closed else "right")
-    last = np.searchsorted(times, times, "right")
+    first = np.searchsorted(times, times - reach, "left" if closed else "right").tolist()
+    last = np.searchsorted(times, times, "right").tolist()
+    values = values.tolist()
     held: list[float] = []
     begin = end = nans = 0
     known = np.zeros(n, bool)
