@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import numbered, with_rank
+from .common import numbered, with_rank, written
 from .tokenizing import BpeEncoder, loaded
 
 PIECES = "doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint"
@@ -153,7 +153,8 @@ def places(chosen: list[tuple[tuple[int, ...], int]], window: int) -> dict[int,
 def pack(pieces: DataFrame, window: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with doc_id, start and length; other columns stay."""
     spark = pieces.sparkSession
-    ordered = numbered(pieces, [F.col("length"), F.col("doc_id"), F.col("start")], "pieces")
+    # Ranges are sampled, which reads the pieces twice: they are written first, so that texts are encoded once.
+    ordered = numbered(written(pieces, "cut-pieces"), [F.col("length"), F.col("doc_id"), F.col("start")], "pieces")
     histogram = np.zeros(window + 1, np.int64)
     for row in ordered.groupBy("length").count().collect():  # one row per length, at most ``window``
         histogram[row["length"]] = row["count"]
