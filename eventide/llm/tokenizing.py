@@ -18,7 +18,7 @@ from operator import attrgetter
 
 import numpy as np
 
-PIECES_KEPT = 600_000
+PIECES_KEPT = 300_000
 _ODD = re.compile(r"[^\n -~¡-ɏ]")
 _INNER_CUT = re.compile(
     r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?])|(?<=[!-~¡-ɏ])(?=\n)|(?<=[!-~¡-ɏ]\n)(?=[!-~¡-ɏ])"
