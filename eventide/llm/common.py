@@ -10,14 +10,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from eventide.session import shared_folder
+from eventide.session import shared_folder, with_scratch
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, which every executor reaches."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder of ``spark.checkpoint.dir``, which every executor reaches.
+
+    Where that is unset, as in tests, a temporary folder serves, but only in a session of one process.
+    """
+    return f"{shared_folder(with_scratch(spark))}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +44,7 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Rows in a global order, written, with ``part`` and ``pos`` (row number inside its part, from 0).
 
     Parts are ranges of the order, so (part, pos) sorts all rows. The table is written, because sampled range
-    bounds may change when a lost stage runs again.
+    bounds may change when a lost stage runs again. Sampling reads ``df`` once more than it is used.
     """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
 
