@@ -548,17 +548,19 @@ def over_store(name: str, build: Callable[[StoredViews], DataFrame], since: bool
 
 
 STORED_DIGITS = {
-    "minute_returns": (9, "r1m", "rv_30m"), "event_markouts": (9, "rate", "markout_60m"), "event_car": (9, "car"),
-    "funding_deciles": (9, "rate"), "event_vol_levels": (9, "rv_1h", "rv_1d"), "event_volatility": (9, "rv_1h", "rv_1d"),
-    "rolling_oi": (6, "oi", "p90_oi_14d"), "daily_rate_stats": (9, "p90_abs_rate", "avg_abs_rate"),
-    "symbol_daily_stats": (MEAN_DIGITS, "avg_volume"),
+    "r1m": 9, "rv_30m": 9, "rate": RATE_DIGITS, "markout_60m": 9, "car": 9, "rv_1h": 9, "rv_1d": 9, "oi": 6, "p90_oi_14d": 6,
+    "p90_abs_rate": RATE_DIGITS, "avg_abs_rate": RATE_DIGITS, "avg_volume": MEAN_DIGITS,
 }
-for _name, (_digits, *_columns) in STORED_DIGITS.items():
-    for _since in (False, True):
-        over_store(
-            f"stored_{'since_' if _since else ''}{_name}",
-            lambda v, n=_name, d=_digits, c=tuple(_columns): rounded(v.store.read(n).drop("day"), d, *c), _since,
-        )
+
+
+def _stored_values(views: StoredViews, name: str) -> DataFrame:
+    table = views.store.read(name).drop("day")
+    return table.withColumns({c: F.round(c, digits) for c, digits in STORED_DIGITS.items() if c in table.columns})
+
+
+for _name in DERIVED:
+    over_store(f"stored_{_name}", lambda v, n=_name: _stored_values(v, n))
+    over_store(f"stored_since_{_name}", lambda v, n=_name: _stored_values(v, n), since=True)
 
 over_store("q1_stored", lambda v: rounded(questions.event_car(v, STORED_START, STORED_END), 9, "min_car", "max_car"))
 over_store("q2_stored", lambda v: rounded(questions.funding_deciles(v, STORED_START, STORED_END), 9, "avg_markout_60m"))
