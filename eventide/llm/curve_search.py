@@ -28,7 +28,8 @@ from .common import numbered, with_rank, written
 ORDERINGS, DIMENSIONS, KEY_BITS = 4, 6, 10
 BLOCK = 2048
 SAMPLE = 256
-QUERY_BLOCKS = 8  # queries of about this many blocks meet one block of candidates in a task
+SPAN_BLOCKS = 64  # longest run of blocks that one task reads for its queries
+QUERIES = 8192  # queries that a task holds, about
 SEED = 20240607
 
 
@@ -192,31 +193,76 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
                 yield tuple(columns[a]), batch.slice(a, b - a)
 
 
+class _Asked:
+    """Queries that meet a span of blocks, and the best candidates seen so far."""
+
+    def __init__(self, k: int):
+        self.k, self.names, self.blocks, self.parts, self.matrix = k, [], [], [], None
+
+    def add(self, block: int, names: np.ndarray, vectors: np.ndarray) -> None:
+        self.names.append(names)
+        self.blocks.append(np.full(len(names), block))
+        self.parts.append(vectors)
+
+    def meet(self, block: int, width: int, classes: np.ndarray, vectors: np.ndarray) -> None:
+        if not self.names:
+            return
+        if self.matrix is None:
+            self.matrix, self.at = np.concatenate(self.parts), np.concatenate(self.blocks)
+            self.found = np.full((len(self.matrix), self.k + 1), -1, np.int64)
+            self.scores = np.full(self.found.shape, -np.inf)
+        near = np.flatnonzero(np.abs(self.at - block) <= width)
+        for rows in np.array_split(near, -(-len(near) // 1024)) if len(near) else []:
+            best, scores = _best(self.matrix[rows] @ vectors.T, classes, self.k)
+            best, scores = np.concatenate((self.found[rows], best), 1), np.concatenate((self.scores[rows], scores), 1)
+            order = np.lexsort((best, -scores), axis=1)[:, : self.k + 1]
+            self.found[rows], self.scores[rows] = np.take_along_axis(best, order, 1), np.take_along_axis(scores, order, 1)
+
+    def result(self) -> pa.RecordBatch | None:
+        if self.matrix is None:
+            return None
+        asked = np.repeat(np.concatenate(self.names), self.k + 1)
+        held = self.found.ravel() >= 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(asked[held]), pa.array(self.found.ravel()[held]), pa.array(self.scores.ravel()[held])], names=["asked", "class", "score"]
+        )
+
+
 def window_candidates(blocks: DataFrame, width: int, k: int) -> DataFrame:
-    """Best candidates (asked, class, score) of each query from each block in its windows."""
-    salts = -(-(2 * width + 1) // QUERY_BLOCKS)
-    near = F.explode(F.sequence(F.col("block") - width, F.col("block") + width)).alias("block")
-    asked = blocks.filter("kind = 1").select("ordering", near, F.pmod(F.xxhash64("class"), F.lit(salts)).cast("int").alias("salt"), "kind", "class", "vec")
+    """Best candidates (asked, class, score) of each query in its windows.
+
+    A task takes a span of neighbouring blocks, about as long as a window, and a share of the queries whose windows
+    reach into it. It keeps those queries and their best candidates and reads the blocks one after the other, so a
+    query gives k + 1 rows for each span it meets, not for each block.
+    """
+    span = min(2 * width + 1, SPAN_BLOCKS)
+    asked = blocks.filter("kind = 1").select("ordering", "block", "kind", "class", "vec")
+    met = F.sequence(F.floor((F.col("block") - width) / span), F.floor((F.col("block") + width) / span))
+    most = asked.select("ordering", F.explode(met).alias("span")).groupBy("ordering", "span").count().agg(F.max("count")).collect()[0][0] or 0
+    salts = max(1, -(-most // QUERIES))
+    queries = asked.withColumn("span", F.explode(met)).withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(salts)).cast("int"))
     offered = blocks.filter("kind = 0").select(
-        "ordering", "block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "kind", "class", "vec"
+        "ordering", "block", "kind", "class", "vec", F.floor(F.col("block") / span).alias("span"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
     )
-    group = ["ordering", "block", "salt"]
-    dealt = asked.unionByName(offered).repartition(*group).sortWithinPartitions(*group, "kind")
+    group = ["ordering", "span", "salt"]
+    both = queries.unionByName(offered).withColumn("offered", 1 - F.col("kind")).select(*group, "offered", "block", "class", "vec")
+    dealt = both.repartition(*group).sortWithinPartitions(*group, "offered", "block")
 
     def compare(batches):
-        current, classes, parts, matrix = None, [], [], None
-        for (*key, kind), run in _runs(batches, 4):
+        current, held = None, _Asked(k)
+        for (*key, is_offered, block), run in _runs(batches, 5):
             if key != current:
-                current, classes, parts, matrix = key, [], [], None
-            names, vectors = run.column(4).to_numpy(), _matrix(run.column(5))
-            if kind == 0:
-                classes.append(names)
-                parts.append(vectors)
-            elif parts:
-                if matrix is None:
-                    matrix, offered_classes = np.concatenate(parts), np.concatenate(classes)
-                for at in range(0, len(names), 1024):
-                    yield _found(names[at : at + 1024], *_best(vectors[at : at + 1024] @ matrix.T, offered_classes, k))
+                if (found := held.result()) is not None:
+                    yield found
+                current, held = key, _Asked(k)
+            names, vectors = run.column(5).to_numpy(), _matrix(run.column(6))
+            if is_offered:
+                held.meet(block, width, names, vectors)
+            else:
+                held.add(block, names, vectors)
+        if (found := held.result()) is not None:
+            yield found
 
     return dealt.mapInArrow(compare, FOUND)
 
