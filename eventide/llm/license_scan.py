@@ -144,15 +144,14 @@ def license_spans(docs: DataFrame, cast: DataFrame, given: list[Template]) -> Da
     spark = docs.sparkSession
     spans = written(_spans(cast, given), "spans")
     table = spark.createDataFrame([(n, t.label, list(t.words), t.gram) for n, t in enumerate(given)], "template int, label string, t array<string>, gram int")
-    asked = spans.join(F.broadcast(table), "template").groupBy("doc_id", "key").agg(
-        F.collect_list(F.struct("label", "exact", "start", "end", "t", "gram")).alias("spans")
-    ).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "spans")
+    asked = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("template", "exact", "start", "end")).alias("spans")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "spans")
+    # Places only, a few numbers a span; counted before the broadcast.
     asked = F.broadcast(asked) if spans.count() <= BROADCAST_ROWS else asked
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     met = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
     cut = met.select("doc_id", "key", "spans", words(F.col("text")).alias("w")).select(
         "doc_id", "key", F.explode(F.transform("spans", lambda s: F.struct(s.alias("s"), F.slice("w", s["start"] + 1, s["end"] - s["start"]).alias("w")))).alias("s")
-    ).select("doc_id", "key", "s.s.*", "s.w")
+    ).select("doc_id", "key", "s.s.*", "s.w").join(F.broadcast(table), "template")
     runs = lambda c: F.transform(
         F.sequence(F.lit(0), F.size(c) - F.col("gram")), lambda i: F.concat_ws(" ", F.slice(c, i + 1, F.col("gram")))
     )
