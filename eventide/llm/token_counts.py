@@ -70,7 +70,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096)
     )
     counted = count_texts(misses.select("digest", "text"), tokenizer)
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    counts = keys.join(read_cache(spark, cache, version), "digest")
+    # Written first, so that the join reads plain shuffles and Spark can split the part of a hot content.
+    counts = keys.join(written(read_cache(spark, cache, version), "counts"), "digest")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
