@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from eventide.session import shared_folder, with_scratch
 
+BROADCAST_ROWS = 1_000_000  # counted before a broadcast; rows of a few numbers or short strings
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,8 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a written table of short rows that has been counted to be small; otherwise leave the join to Spark."""
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def lower_ascii(text: Column) -> Column:

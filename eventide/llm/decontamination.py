@@ -126,6 +126,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """``docs`` without contaminated documents; columns stay."""
     judged = contamination(docs, items, window, share)
-    bad = judged.filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
+    bad = _small(written(judged.filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "contaminated"))
     same = docs["doc_id"].eqNullSafe(F.col("_d")) & (_key(docs["text"]) == F.col("_k"))
     return docs.join(bad, same, "left_anti")

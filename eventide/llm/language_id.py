@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import small, written
 
 ORDER, BITS = 4, 6
 KEYS = 1 << (ORDER * BITS)
@@ -285,7 +285,7 @@ def without_rejected(docs: DataFrame, held_out: Column) -> DataFrame:
     """``docs`` without the rows that ``identify`` rejects; columns stay."""
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     found = identify(docs.withColumn("_key", key), held_out, ["doc_id", "_key"])
-    bad = found.filter("rejected").select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
+    bad = small(written(found.filter("rejected").select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct(), "rejected"))
     same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_k"))
     return docs.join(bad, same, "left_anti")
 
