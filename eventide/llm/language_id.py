@@ -9,7 +9,11 @@ weights, and is looked up by binary search.
 The language with the lowest cross-entropy per symbol wins; ties go to the first in sorted order. Rejection is calibrated
 on the training rows themselves: by language and length class their cross-entropies have a mean and a spread, and a text
 is rejected if it lies more than ``REJECT_SPREADS`` spreads and more than ``REJECT_SHARE`` of the way from that mean to the
-entropy of evenly random symbols above it; so are texts without letters. Mixed texts of known languages stay.
+entropy of evenly random symbols above it; so are texts without letters. A class with fewer than ``FEW`` training rows has
+the limit of the next shorter one with as many. Where there is none, the figures of the language over all its lengths
+serve, and with fewer than ``FEW`` rows in all the mean of all languages (its own, if higher) and the share of the way alone;
+to these the spread of a mean of so few symbols is added. So every language has a limit at every length. Mixed texts of known
+languages stay.
 
 Nulls: a null text or one without a letter is ``und`` with score 0; a row without language or text does not train. Without
 training rows all texts are ``und``. Repeated rows count each time, whole texts of any length are read.
@@ -32,7 +36,8 @@ REJECT_SPREADS = 8.0
 REJECT_SHARE = 1 / 2
 RANDOM_ENTROPY = BITS * float(np.log(2))  # nats per symbol
 LENGTH_CLASSES = 17
-FEW = 30  # fewer training rows of a length class share the next shorter one's figures
+FEW = 30  # fewer training rows of a length class share the next shorter one's figures, or else those of all lengths
+SYMBOL_SPREAD = 2.0  # nats by which single symbols scatter, for classes shorter than any with figures of its own
 SCORE_SYMBOLS = 64  # a score weighs the evidence of at most this many symbols
 BATCH_SYMBOLS = 1 << 21
 
@@ -232,22 +237,33 @@ def _length_class(n: Column) -> Column:
     return F.least(F.floor(F.log2(F.greatest(n, F.lit(1)))), F.lit(LENGTH_CLASSES - 1)).cast("int")
 
 
-def _limits(scored: DataFrame) -> dict[tuple[int, int], float]:
-    """Highest accepted cross-entropy by language and length class, from training rows: one small row for each."""
+def _pooled(groups: list) -> tuple[int, float, float]:
+    """Rows, mean and spread of several groups together."""
+    n = sum(r["n"] for r in groups)
+    mean = sum(r["n"] * r["mean"] for r in groups) / max(1, n)
+    square = sum(r["n"] * (r["spread"] ** 2 + r["mean"] ** 2) for r in groups) / max(1, n)
+    return n, mean, max(0.0, square - mean**2) ** 0.5
+
+
+def _limit(mean: float, spread: float) -> float:
+    return mean + max(REJECT_SPREADS * spread, REJECT_SHARE * (RANDOM_ENTROPY - mean))
+
+
+def _limits(scored: DataFrame, languages: int) -> dict[tuple[int, int], float]:
+    """Highest accepted cross-entropy of every language and length class, from training rows: one small row for each."""
     stats = scored.filter("training AND best >= 0").groupBy("best", _length_class(F.col("n_symbols")).alias("size")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("spread")
     )
     found, limits = stats.collect(), {}
-    for best in {r["best"] for r in found}:
-        own = {r["size"]: r for r in found if r["best"] == best and r["n"] >= FEW}
-        limit = None
+    _, usual, _ = _pooled(found)
+    for best in range(languages):
+        own = {r["size"]: r for r in found if r["best"] == best}
+        n, mean, spread = _pooled(list(own.values()))
+        overall, limit = _limit(mean, spread) if n >= FEW else _limit(max(mean, usual), 0.0), None
         for size in range(LENGTH_CLASSES):
-            if size in own:
-                limit = own[size]["mean"] + max(
-                    REJECT_SPREADS * own[size]["spread"], REJECT_SHARE * (RANDOM_ENTROPY - own[size]["mean"])
-                )
-            if limit is not None:
-                limits[best, size] = limit
+            if size in own and own[size]["n"] >= FEW:
+                limit = _limit(own[size]["mean"], own[size]["spread"])
+            limits[best, size] = overall + SYMBOL_SPREAD / 2 ** (size / 2) if limit is None else limit
     return limits
 
 
@@ -268,13 +284,9 @@ def identify(docs: DataFrame, held_out: Column, keep: list[str] | None = None) -
         )
     scored = written(score_rows(rows, models), "language-scores")
     names = F.array(*[F.lit(k) for k in sorted(models)])
-    limits = _limits(scored)
-    if limits:
-        table = F.create_map(*[x for (best, size), v in sorted(limits.items()) for x in (F.lit(best * LENGTH_CLASSES + size), F.lit(v))])
-        limit = F.try_element_at(table, F.col("best") * LENGTH_CLASSES + _length_class(F.col("n_symbols")))
-        accepted = F.coalesce(F.col("entropy") <= limit, F.lit(True))
-    else:
-        accepted = F.lit(True)
+    limits = _limits(scored, len(models))
+    table = F.create_map(*[x for (best, size), v in sorted(limits.items()) for x in (F.lit(best * LENGTH_CLASSES + size), F.lit(v))])
+    accepted = F.col("entropy") <= F.try_element_at(table, F.col("best") * LENGTH_CLASSES + _length_class(F.col("n_symbols")))
     return scored.select(
         *keep, "held_out", F.when(F.col("best") < 0, UNKNOWN).otherwise(F.get(names, F.col("best"))).alias("lang_pred"),
         "score", "entropy", ((F.col("best") < 0) | ~accepted).alias("rejected"),

@@ -85,6 +85,20 @@ def test_odd_rows_and_rejection(spark):
     assert not any(r.rejected for i, rs in found.items() if i is None or i < 200 for r in rs)
 
 
+@pytest.mark.parametrize("trained", [5, 500])
+def test_short_foreign_texts_are_rejected_at_any_size(spark, trained):
+    rng = random.Random(3)
+    words = {"en": "the of and house water tree people under little going where", "de": "der die und haus wasser baum leute unter kleine gehen straße"}
+    some = lambda lang, n: " ".join(rng.choices(words[lang].split(), k=n))
+    rows = [(i, some("en", 80), "en") for i in range(500)] + [(500 + i, some("de", 80), "de") for i in range(trained)]
+    foreign = ["zażółć gęślą jaźń", "qxzjkv wypqzx kjvq", "źdźbło trzciny", "xqzv jkpw vxqj zkwy " * 4, "mgła spływająca ścieżką przez gąszcz"]
+    known = [some(lang, n) for lang in words for n in (1, 2, 4, 8, 30)]
+    rows += [(1000 + i, t, None) for i, t in enumerate(foreign)] + [(2000 + i, t, None) for i, t in enumerate(known)]
+    for docs in (rows, [r for r in rows if r[2] != "en" and not (r[0] >= 2000 and r[0] < 2005)]):  # beside a large language, and alone
+        found = {r.doc_id: r.rejected for r in ids.identify(_frame(spark, docs), F.col("doc_id") >= 1000).collect()}
+        assert [i for i, r in found.items() if r] == [i for i in found if 1000 <= i < 2000]
+
+
 def test_a_tie_goes_to_the_first_language(spark):
     rows = [(1, "same text", "b"), (2, "same text", "a"), (3, "same", None)]
     assert {r.lang_pred for r in ids.identify(_frame(spark, rows), F.lit(False)).collect()} == {"a"}
