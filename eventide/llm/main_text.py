@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A page is read once into a tree of elements and a list of text blocks. Elements that never hold the article (navigation,
-footers, forms, scripts, hidden parts, anything whose class, id or role names an advert, menu, notice, comment section and
-the like) are left out with all they contain. Each remaining block earns one point, one for each comma and one for every
+footers, scripts, hidden parts) are left out with all they contain. So are forms and anything whose class, id or role names
+an advert, menu, notice, comment section and the like, unless such elements hold most of the page's text and no ``article``
+or ``main`` outside them has a paragraph: then they wrap the article. An ``article`` that is also called a post, an entry
+or the like is never left out. Each remaining block earns one point, one for each comma and one for every
 hundred characters; its nearest container gets all of them, the container around that a half, the next a third and so on. A
 container's points are reduced by the share of its text that lies in links. The best container is the article, together
 with siblings that score well for themselves or are real paragraphs.
@@ -44,6 +46,10 @@ UNWANTED = frozenset(
     "sponsor sponsored sponsors subscribe subscription taboola toolbar warning widget widgets".split()
 )
 WANTED = frozenset("article articlebody content entry main post story text".split())
+# Those of them that name sections which may well be longer than the article.
+SECTIONS = frozenset(
+    "comment comments consent cookie cookies disclaimer discussion disqus gdpr recommended related replies reply respond".split()
+)
 NOT_ABOUT = frozenset("has no with without".split())
 
 _TOKEN = re.compile(
@@ -57,17 +63,18 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LINKS_ONLY = 0.7
 SIBLING_SHARE = 0.2
 PARAGRAPH = 80
+MOST, NEARLY_ALL = 1 / 2, 3 / 4  # of the text of a page
 
 
 def _names(text: str) -> list[str]:
     return [w.lower() for w in _NAME_PART.findall(text)]
 
 
-def _looks(tag: str, attributes: str) -> tuple[bool, float, bool]:
-    """Whether an element is left out by its attributes, the weight of its points, and whether it is a header."""
+def _looks(tag: str, attributes: str) -> tuple[bool, frozenset[str], float, bool]:
+    """Whether an element is hidden, its unwanted words, the weight of its points, and whether it is a header."""
     weight, header = 2.0 if tag in ("article", "main") else 1.0, tag == "header"
     if not attributes or attributes.isspace():
-        return False, weight, header
+        return False, frozenset(), weight, header
     words: list[str] = []
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
@@ -76,13 +83,15 @@ def _looks(tag: str, attributes: str) -> tuple[bool, float, bool]:
                 found = _names(part)
                 words += [w for before, w in zip(["", *found], found) if before not in NOT_ABOUT]
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True, weight, header
+            return True, frozenset(), weight, header
         elif name == "itemprop" and value.lower() == "articlebody":
             weight *= 2
-    if tag not in ("html", "body", "main") and not UNWANTED.isdisjoint(words):
-        return True, weight, header
     wanted = not WANTED.isdisjoint(words)
-    return False, weight * (1.25 if wanted else 1.0), header or ("header" in words and not wanted)
+    if tag in ("html", "body", "main") or (tag == "article" and wanted):
+        unwanted = frozenset()
+    else:
+        unwanted = UNWANTED.intersection(words)
+    return False, unwanted, weight * (1.25 if wanted else 1.0), header or ("header" in words and not wanted)
 
 
 class _Page:
@@ -91,30 +100,90 @@ class _Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.end, self.weight = [-1], ["html"], [0], [1.0]
         self.blocks: list[tuple[int, str, int]] = []
+        self.pieces: list[tuple[int, list[tuple[str, bool, int]]]] = []  # blocks as read: element, parts
+        self.doubted: dict[int, tuple[int, frozenset[str]]] = {}  # left out unless they hold the article: the one around, words
+        self.doubts = [-1]
         self.stack, self.open = [0], {"html": 1}
-        self.parts: list[tuple[str, bool]] = []
+        self.parts: list[tuple[str, bool, int]] = []
         self.skipping = 0  # depth of elements left out
         self._read(source)
         self._break()
         for node in self.stack:
             self.end[node] = len(self.tag)
+        self._choose()
 
     def _block_owner(self) -> int:
         return next(n for n in reversed(self.stack) if self.tag[n] in BLOCKS)
 
     def _break(self) -> None:
         if self.parts:
-            text = " ".join("".join(p for p, _ in self.parts).split())
-            if text:
-                linked = len(" ".join("".join(p for p, link in self.parts if link).split()))
-                self.blocks.append((self._block_owner(), text, linked))
+            self.pieces.append((self._block_owner(), self.parts))
             self.parts = []
 
+    def _choose(self) -> None:
+        """Blocks without those of doubted elements, but for doubted elements that hold most of the text.
+
+        The outermost are judged first, those with the same words together. They stay left out beside an ``article`` or
+        ``main`` with a paragraph of text.
+        """
+        counted = self.doubted and [(owner, [(len(t.strip()), doubt) for t, link, doubt in parts if not link]) for owner, parts in self.pieces]
+        inside = dict.fromkeys([-1, *self.doubted], 0)
+        for _, sizes in counted or ():
+            for size, doubt in sizes:
+                inside[doubt] += size
+        for node in reversed(self.doubted):
+            inside[self.doubted[node][0]] += inside[node]
+        accepted = {-1}
+        while self.doubted:
+            outermost = {-1: -1}  # the outermost element left out around each doubted one
+            groups: dict[object, list[int]] = {}
+            for node, (around, words) in self.doubted.items():
+                out = outermost[around]
+                outermost[node] = out if out >= 0 or node in accepted else node
+                if outermost[node] == node:
+                    groups.setdefault(words or node, []).append(node)
+            held, live, landmarks = dict.fromkeys(outermost, 0), 0, [0] * len(self.tag)
+            for owner, sizes in counted:
+                for size, doubt in sizes:
+                    out = outermost[doubt]
+                    held[out] += size
+                    if out < 0:
+                        live += size
+                        landmarks[owner] += size
+            for node in range(len(self.tag) - 1, 0, -1):
+                landmarks[self.parent[node]] += landmarks[node]
+            if not groups or any(self.tag[n] in ("article", "main") and landmarks[n] >= PARAGRAPH for n in range(len(self.tag))):
+                break
+            total = sum(held.values())
+            words, nodes = max(groups.items(), key=lambda g: sum(held[n] for n in g[1]))
+            most = sum(held[n] for n in nodes)
+            marked = any(self.tag[k] in ("article", "main", "h1") and k not in self.doubted or k == n and self.tag[k] == "article"
+                         for n in nodes for k in range(n, self.end[n]))
+            section = isinstance(words, frozenset) and not words.isdisjoint(SECTIONS)
+            if not most or live and most <= total * (MOST if marked else 1.0 if section else NEARLY_ALL):
+                break
+            accepted.update([n for n in nodes if held[n] > MOST * most] or nodes)
+            for node, (around, own) in self.doubted.items():  # the same words again, or nothing else, close around the text
+                if around in accepted and around >= 0 and (
+                    own == words and inside[node] > MOST * inside[around] or inside[node] == inside[around]
+                ):
+                    accepted.add(node)
+        kept = {-1}
+        for node, (around, _) in self.doubted.items():
+            if node in accepted and around in kept:
+                kept.add(node)
+        for owner, parts in self.pieces:
+            parts = [(p, link) for p, link, doubt in parts if doubt in kept]
+            text = " ".join("".join(p for p, _ in parts).split())
+            if text:
+                linked = len(" ".join("".join(p for p, link in parts if link).split()))
+                self.blocks.append((owner, text, linked))
+
     def _text(self, text: str) -> None:
         if text and not self.skipping:
             if "header" in self.open and not any(t in self.open for t in HEADINGS):
                 return  # of a header only its headings belong to an article
-            self.parts.append((references.unescape(text) if "&" in text else text, "a" in self.open))
+            self.parts.append((references.unescape(text) if "&" in text else text, "a" in self.open, self.doubts[-1]))
 
     def _close(self, to: str) -> None:
         """End elements up to the innermost open one of that name."""
@@ -131,6 +200,8 @@ class _Page:
                 del self.open[tag]
             if self.weight[node] < 0:
                 self.skipping -= 1
+            if self.doubts[-1] == node:
+                self.doubts.pop()
             if tag == to:
                 return
 
@@ -159,10 +230,15 @@ class _Page:
             self._text(" ")
         if tag in VOID:
             return
-        unwanted, weight, header = _looks(tag, attributes)
-        if tag in NEVER or unwanted or (header and not ("article" in self.open or "main" in self.open)):
+        hidden, words, weight, header = _looks(tag, attributes)
+        misplaced = header and not ("article" in self.open or "main" in self.open)
+        if hidden or tag in NEVER and tag != "form" or misplaced and tag == "header":
             weight = -1.0
             self.skipping += 1
+        elif not self.skipping and (words or misplaced or tag == "form" and "form" not in self.open):
+            node = len(self.tag)
+            self.doubted[node] = self.doubts[-1], words | {"header"} if misplaced else words
+            self.doubts.append(node)
         self.parent.append(self.stack[-1])
         self.stack.append(len(self.tag))
         self.tag.append(tag)

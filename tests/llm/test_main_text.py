@@ -48,6 +48,30 @@ def test_pages(name):
     assert main_text(source) == wanted
 
 
+BODY, TEXT = f"<h1>Title</h1><p>{P1}</p><p>{P2}</p>", f"Title\n{T1}\n{T2}"
+LONG = "Well, I think so too, and more so than ever before. " * 20
+WRAPPED = {
+    "article": (f"<body><article class='post tag-search'>{BODY}</article><div class=sidebar>Side, side</div>", TEXT),
+    "article without other words": (f"<body><article class='widget'>{BODY}</article><div><a href=x>end</a></div>", TEXT),
+    "layout": (f"<body><div class='layout-sidebar-right'><div class=content>{BODY}</div><div class=sidebar><p>Side, side</p></div></div>", TEXT),
+    "widget": (f"<body><div class=content><div class='elementor-widget-container'>{BODY}</div></div>", TEXT),
+    "form": (f"<body><form id='aspnetForm'><input><div class=content>{BODY}</div><div class=comments><p>No, no!</p></div></form>", TEXT),
+    "form with words": (f"<body><form class='search-form'><label>Find</label><div>{BODY}</div></form>", TEXT),
+    "header": (f"<body><div class='fixed-header'><div>{BODY}</div></div>", TEXT),
+    "inline": (f"<body><div class='layout-sidebar-right'><h1>Title</h1><p>{P1} <span class=ad>Buy</span></p><p>{P2}</p></div>", TEXT),
+    "long comments": (f"<body><div class=content>{BODY}</div><div id=comments><p>{LONG}</p></div>", TEXT),
+    "long comments beside an article": (f"<body><article>{BODY}</article><div class=widget><h1>x</h1><p>{LONG}</p></div>", TEXT),
+    "long notice": (f"<body><div class=content>{BODY}</div><div class=cookie-notice><p>{LONG}</p></div>", TEXT),
+    "hidden": (f"<body><div class=content>{BODY}</div><div class=widget hidden><p>{LONG}</p></div>", TEXT),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrapped_pages(name):
+    source, wanted = WRAPPED[name]
+    assert main_text(source) == wanted
+
+
 @pytest.mark.parametrize("source", [None, "", " \n", "<", "<p", "</p>", "<!", "<!--", "<script>x", "<a <b <c>", "</html></body></div>"])
 def test_scraps_do_not_break_it(source):
     assert main_text(source) in ("", "<")
