@@ -7,7 +7,9 @@ or ``main`` outside them has a paragraph: then they wrap the article. An ``artic
 or the like is never left out. Each remaining block earns one point, one for each comma and one for every
 hundred characters; its nearest container gets all of them, the container around that a half, the next a third and so on. A
 container's points are reduced by the share of its text that lies in links. The best container is the article, together
-with siblings that score well for themselves or are real paragraphs.
+with siblings that score well for themselves or are real paragraphs. Where it is not itself an ``article`` or ``main``, what
+stands beside it in its wrapper belongs to it whatever its tag and length, unless half of its text is links; so do headings,
+lists, tables, short paragraphs and well-scoring containers beside the wrappers further out, up to an ``article`` or ``main``.
 
 Blocks are cut at block elements; ``br`` is white space. Lists and sections that are nearly all links are left out.
 
@@ -162,7 +164,7 @@ class _Page:
             section = isinstance(words, frozenset) and not words.isdisjoint(SECTIONS)
             if not most or live and most <= total * (MOST if marked else 1.0 if section else NEARLY_ALL):
                 break
-            accepted.update([n for n in nodes if held[n] > MOST * most] or nodes)
+            accepted.update(nodes)
             for node, (around, own) in self.doubted.items():  # the same words again, or nothing else, close around the text
                 if around in accepted and around >= 0 and (
                     own == words and inside[node] > MOST * inside[around] or inside[node] == inside[around]
@@ -325,16 +327,32 @@ def main_text(source: str | None) -> str:
                 best, most = node, points[node]
     if best < 0:
         return "\n".join(page.blocks[b][1] for b in blocks)
-    kept = [(best, end[best])]
-    if best:
-        for node in range(parent[best] + 1, end[parent[best]]):
-            if parent[node] == parent[best] and node != best and (
-                points[node] >= SIBLING_SHARE * most
-                or page.tag[node] == "p" and length[node] >= PARAGRAPH and 4 * linked[node] < length[node]
-                or page.tag[node] in HEADINGS and page.tag[parent[best]] in ("article", "main")
+    kept, loose = [False] * n, set()
+    kept[best : end[best]] = [True] * (end[best] - best)
+    node = best
+    while node > 0:
+        around, first = parent[node], node == best
+        article = page.tag[best] in ("article", "main")
+        page_root = page.tag[around] in ("html", "body")
+        if not article:
+            loose.add(around)  # text that stands directly in the wrapper
+        child = around + 1
+        while child < end[around]:
+            tag, few_links = page.tag[child], 2 * linked[child] <= length[child]
+            if child != node and (
+                points[child] >= SIBLING_SHARE * most
+                or tag == "p" and length[child] >= PARAGRAPH and 4 * linked[child] < length[child]
+                or tag in HEADINGS and page.tag[around] in ("article", "main")
+                or not article and few_links and (tag not in CONTAINERS or page.tag[around] == "article" or first and not page_root)
             ):
-                kept.append((node, end[node]))
-    return "\n".join(page.blocks[b][1] for b in blocks if any(a <= page.blocks[b][0] < z for a, z in kept))
+                kept[child : end[child]] = [True] * (end[child] - child)
+            child = end[child]
+        node = around
+        if article or page.tag[node] in ("article", "main"):
+            break
+    return "\n".join(
+        text for owner, text, links in (page.blocks[b] for b in blocks) if kept[owner] or owner in loose and 2 * links <= len(text)
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -55,6 +55,10 @@ WRAPPED = {
     "article without other words": (f"<body><article class='widget'>{BODY}</article><div><a href=x>end</a></div>", TEXT),
     "layout": (f"<body><div class='layout-sidebar-right'><div class=content>{BODY}</div><div class=sidebar><p>Side, side</p></div></div>", TEXT),
     "widget": (f"<body><div class=content><div class='elementor-widget-container'>{BODY}</div></div>", TEXT),
+    "widgets": (
+        f"<body><div class=elementor-widget><div class=elementor-widget-container><p>{P1}</p></div></div>"
+        f"<div class=elementor-widget><div class=elementor-widget-container><p>{P2}</p></div></div>", f"{T1}\n{T2}",
+    ),
     "form": (f"<body><form id='aspnetForm'><input><div class=content>{BODY}</div><div class=comments><p>No, no!</p></div></form>", TEXT),
     "form with words": (f"<body><form class='search-form'><label>Find</label><div>{BODY}</div></form>", TEXT),
     "header": (f"<body><div class='fixed-header'><div>{BODY}</div></div>", TEXT),
@@ -72,6 +76,33 @@ def test_wrapped_pages(name):
     assert main_text(source) == wanted
 
 
+POINTS = "<ul><li>a real point</li><li>another</li></ul>"
+REST, REST_TEXT = f"{POINTS}<p>Short end.</p>", "a real point\nanother\nShort end."
+TEASERS = "<div><a href=/1>Read this as well</a> <a href=/2>and that</a></div>"
+MUCH, MUCH_TEXT = f"<p>{P1}</p><p>{P2}</p>" * 5, "\n".join([T1, T2] * 5)
+LAYOUTS = {
+    "div": (f"<body><div id=post><h1>Title</h1><div class=text>{MUCH}</div>{REST}</div>", f"Title\n{MUCH_TEXT}\n{REST_TEXT}"),
+    "two wrappers": (
+        f"<body><div id=post><h1>Title</h1><div><div class=text>{MUCH}</div></div>{REST}</div>{TEASERS}", f"Title\n{MUCH_TEXT}\n{REST_TEXT}",
+    ),
+    "body": (f"<body>{MENU}<h1>Title</h1><div class=text>{MUCH}</div>{REST}{TEASERS}", f"Title\n{MUCH_TEXT}\n{REST_TEXT}"),
+    "table and code": (
+        f"<div id=post><div class=text>{MUCH}</div><table><tr><td>1<td>2</table><pre>x = 1</pre><blockquote>So.</blockquote>"
+        f"<figure><figcaption>Fig.</figcaption></figure><div>Short.</div>{TEASERS}{MENU}</div>", f"{MUCH_TEXT}\n1\n2\nx = 1\nSo.\nFig.\nShort.",
+    ),
+    "loose text": (f"<div id=post>Before it.<div class=text>{MUCH}</div>After it. <a href=x>y</a></div>", f"Before it.\n{MUCH_TEXT}\nAfter it. y"),
+    "in an article": (
+        f"<article><h1>Title</h1><div><div class=text>{MUCH}</div></div>{POINTS}<div>Short end.</div></article>{TEASERS}", f"Title\n{MUCH_TEXT}\n{REST_TEXT}",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_blocks_beside_the_best_container(name):
+    source, wanted = LAYOUTS[name]
+    assert main_text(source) == wanted
+
+
 @pytest.mark.parametrize("source", [None, "", " \n", "<", "<p", "</p>", "<!", "<!--", "<script>x", "<a <b <c>", "</html></body></div>"])
 def test_scraps_do_not_break_it(source):
     assert main_text(source) in ("", "<")
