@@ -3,7 +3,7 @@
 A given rule is a host and a path prefix; it fits the host and its subdomains, and the longest fitting rule decides. Urls
 that no rule fits are judged by rules that Spark's FP-growth mines from the labelled pages: a page's tokens (host suffixes
 and words, path segments, query names) form a basket, with one more item if the page is labelled bad. Itemsets must be
-frequent, rules that imply "bad" must be confident and clearly above the share of bad pages, and a rule is dropped if a
+on ``MIN_COUNT`` bad pages, however many pages are labelled, rules that imply "bad" must be confident and clearly above the share of bad pages, and a rule is dropped if a
 shorter one that it contains is as confident. Rules are found again through an inverted index: each is filed under its
 rarest token, urls look up their tokens there and must hold all of a rule's tokens.
 
@@ -19,11 +19,11 @@ from dataclasses import dataclass
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_ascii, written
+from .common import lower_ascii, small, written
 
 BAD = "label=bad"
-MIN_SUPPORT = 0.002  # of the labelled pages that hold a rule's tokens and are bad
-MIN_COUNT = 10
+MIN_SUPPORT = 0.0  # no share of the labelled pages is asked for: it would hide small hosts in large tables
+MIN_COUNT = 10  # bad labelled pages that hold a rule's tokens
 MIN_CONFIDENCE = 0.8
 MIN_LIFT = 1.5
 BROADCAST_ROWS = 1_000_000  # counted before a broadcast; a rule is a few short strings
@@ -77,16 +77,37 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
     marked = labels.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), bad.alias("bad"))
-    baskets = written(
+    labelled = written(
         pages.select(F.col("page_id"), tokens(F.col("url")).alias("tokens")).join(marked, F.col("page_id") == F.col("_id")).select(
-            F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")
+            F.uuid().alias("basket"), "bad", "tokens"
         ), "baskets"
     )
-    total = baskets.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("items", BAD)).alias("bad")).collect()[0]
+    total = labelled.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).collect()[0]
+    nothing = spark.createDataFrame([], "tokens array<string>, n_tokens int, support bigint, confidence double, anchor string")
     if total["bad"] < MIN_COUNT:
-        return spark.createDataFrame([], "tokens array<string>, n_tokens int, support bigint, confidence double, anchor string")
+        return nothing
+    # Two steps that change no rule keep the baskets thin. A token on too few bad pages is in no rule. Tokens on exactly the
+    # same pages (two hashes over them agree) are one item: a rule with two of them holds a shorter one that is as confident,
+    # and a rule with one of them stands for the same rule with each other.
+    held = labelled.select("basket", "bad", F.explode("tokens").alias("token"))
+    same = [F.bit_xor(F.xxhash64("basket")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "basket")).alias("h2")]
+    frequent = written(
+        held.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.count_if("bad").alias("bad"), *same).filter(F.col("bad") >= MIN_COUNT), "tokens"
+    )
+    classes = written(
+        frequent.groupBy("held", "h1", "h2").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("members")), "items"
+    )
+    item = small(classes.select("item"))
+    baskets = written(
+        held.join(item, F.col("token") == F.col("item")).groupBy("basket").agg(F.first("bad").alias("bad"), F.collect_list("item").alias("items")).select(
+            F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")
+        ), "thin-baskets"
+    )
+    n = baskets.count()
+    if not n:
+        return nothing
     model = FPGrowth(
-        itemsCol="items", minSupport=max(MIN_SUPPORT, MIN_COUNT / total["n"]), minConfidence=0.0,
+        itemsCol="items", minSupport=max(MIN_SUPPORT, (MIN_COUNT - 0.5) / n), minConfidence=0.0,  # rounded up to MIN_COUNT pages
         numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")),
     ).fit(baskets)
     itemsets = written(model.freqItemsets, "itemsets")
@@ -108,11 +129,17 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
         & (F.size(F.array_intersect("part", "tokens")) == F.size("part"))
     ).select("tokens").distinct()
     kept = sure.join(needless, "tokens", "left_anti")
-    frequency = alone.filter(F.size("tokens") == 1).select(F.get("tokens", F.lit(0)).alias("token"), "held")
-    anchors = kept.select("tokens", F.explode("tokens").alias("token")).join(frequency, "token").groupBy("tokens").agg(
+    members = kept.select("tokens", "support", "confidence", F.explode("tokens").alias("item")).join(classes.select("item", "members"), "item")
+    lists = members.groupBy("tokens", "support", "confidence").agg(F.collect_list("members").alias("lists"))
+    ways = F.aggregate(
+        "lists", F.expr("array(cast(array() AS array<string>))"),
+        lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda t: F.concat(d, F.array(t))))),
+    )
+    rules = written(lists.select(F.explode(ways).alias("tokens"), "support", "confidence").withColumn("tokens", F.array_sort("tokens")), "all-rules")
+    anchors = rules.select("tokens", F.explode("tokens").alias("token")).join(frequent.select("token", "held"), "token").groupBy("tokens").agg(
         F.min_by("token", F.struct("held", "token")).alias("anchor")
     )
-    return kept.join(anchors, "tokens").select("tokens", F.size("tokens").alias("n_tokens"), "support", "confidence", "anchor")
+    return rules.join(anchors, "tokens").select("tokens", F.size("tokens").alias("n_tokens"), "support", "confidence", "anchor")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -106,6 +106,18 @@ def test_mined_rules(spark, seed, broadcast, monkeypatch):
         assert (r.verdict == "block") == any(set(c) <= plain_tokens(r.url) for c in wanted) == (r.mined is not None)
 
 
+def test_small_hosts_are_mined_in_large_tables(spark):
+    """Fifteen bad pages make a rule also where they are less than a thousandth of the labelled pages."""
+    urls = [(i, f"http://{'small.bad' if i < 15 else f'h{i % 40}.good'}.net/{i}") for i in range(20_000)]
+    pages = _pages(spark, urls)
+    labels = _labels(spark, [(i, int(i >= 15 and i % 7 > 0), 0) for i, _ in urls])
+    found = u.mine(pages, labels).collect()
+    assert {tuple(r.tokens) for r in found} == {(t,) for t in ("host=bad.net", "host=small.bad.net", "word=bad", "word=small")}
+    assert {(r.support, r.confidence, r.n_tokens, r.anchor == r.tokens[0]) for r in found} == {(15, 1.0, 1, True)}
+    blocked = u.judge(pages, labels, RULES).filter("verdict = 'block'").collect()
+    assert {r.page_id for r in blocked} == set(range(15))
+
+
 def test_empty_tables_and_plan(spark):
     pages, labels = _pages(spark, [(1, "http://x.net/a")]), _labels(spark, [(1, 0, 0)])
     assert u.judge(pages.limit(0), labels, RULES).count() == 0
