@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .curve_search import nearest
 from .decontamination import contamination
 from .language_id import fifth, identify
+from .language_model import score_texts, tenth
 from .license_scan import license_labels
 from .main_text import extract
 from .packing import pack_documents
@@ -17,6 +18,8 @@ from .simhash import hexadecimal, near_duplicates
 from .token_counts import new_cache, token_counts
 from .token_records import token_records
 from .url_rules import judge, rule
+from .vector_codes import compress
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,6 +100,21 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return compress(table(spark, folder, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+@query
+def op12_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"), tenth(F.col("doc_id")))
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"), components=4, scale=256)
+
+
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 ORACLE["op10_decontamination"] = f"""
@@ -113,3 +131,31 @@ ORACLE["op10_decontamination"] = f"""
     SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
     FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds of assignment and floored means, each round two steps of one long statement."""
+    steps = [
+        """k AS (SELECT row_number() OVER () AS r, vec_id, label, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        "x AS MATERIALIZED (SELECT r, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM k, (SELECT unnest(range(4)) AS p))",
+        """c0 AS MATERIALIZED (SELECT p, e, x AS c FROM x JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM k
+              ORDER BY e LIMIT 256) USING (r))""",
+    ]
+    for k in range(rounds + 1):
+        far = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, p, m % 256 AS e, m // 256 AS far FROM (
+              SELECT r, p, min(({far})::BIGINT * 256 + e) AS m FROM x JOIN c{k} USING (p) GROUP BY r, p))""")
+        steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean, c) AS c FROM c{k} LEFT JOIN (
+              SELECT p, e, list(floor(s / n) ORDER BY i) AS mean FROM (
+              SELECT p, e, i, sum(y) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{k} JOIN x USING (r, p))
+              GROUP BY p, e, i) GROUP BY p, e) USING (p, e))""")
+    return f"""WITH {", ".join(steps[:-1])},
+    codes AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY r),
+    books AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+              FROM (SELECT p, e, unnest(c) AS c, unnest(range(len(c))) AS i FROM c{rounds}))
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM codes JOIN k USING (r), books"""
+
+
+ORACLE["op11_vector_codes"] = _codes_sql()

@@ -13,9 +13,11 @@ from checks.compare import canonical, connect
 from eventide.llm.main_text import main_text
 from eventide.llm.queries import ORACLE, QUERIES
 from llm.test_decontamination import plain as plain_contamination
+from llm.test_language_model import plain as plain_scores
 from llm.test_license_scan import plain as plain_phrases
 from llm.test_simhash import plain_fingerprint, plain_labels
 from llm.test_url_rules import RULES
+from llm.test_whitening import plain as plain_whitening
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,7 +36,7 @@ def _crc(ids):
 
 
 def test_each_operator_has_its_query():
-    assert [name.split("_")[0] for name in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -141,3 +143,26 @@ def test_op10(spark, docs):
         n, hit, ids, bad, _ = plain_contamination(text, items)
         wanted.append((i, n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bad))
     assert sorted(map(tuple, QUERIES["op10_decontamination"](spark, FOLDER).collect())) == sorted(wanted)
+
+
+def test_op12(spark, docs):
+    wanted = plain_scores([(i, docs[i]) for i in sorted(docs)], lambda i: zlib.crc32(str(i).encode()) % 10 == 0)
+    found = QUERIES["op12_lm_scores"](spark, FOLDER).drop("perplexity").orderBy("doc_id").collect()
+    assert [tuple(r)[:5] for r in found] == [w[:5] for w in wanted]
+    assert np.allclose([tuple(r)[5:] for r in found], [w[5:] for w in wanted], rtol=1e-12)
+
+
+def test_op12_held_out_texts_are_scored_better_than_by_single_words(spark):
+    found = [r for r in QUERIES["op12_lm_scores"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in found) > 0.85 * sum(r.base_score for r in found)
+
+
+def test_op13(spark):
+    rows = [(r.vec_id, r.embedding) for r in _rows(spark, "embeddings")]
+    found = QUERIES["op13_whitening"](spark, FOLDER).orderBy("vec_id", "component").collect()
+    exact, values = plain_whitening(rows)
+    assert [(r.vec_id, r.component, r.n, r.deviation) for r in found] == [e[:4] for e in exact]
+    sign = {c: np.sign(sum(r.whitened * e[4] for r, e in zip(found, exact) if r.component == c)) for c in range(1, 5)}
+    assert np.allclose([r.whitened * sign[r.component] for r in found], [e[4] for e in exact], atol=1e-9)
+    assert np.allclose([r.explained for r in found], [values[r.component - 1] for r in found], rtol=1e-12)
+    assert {r.identity_error for r in found} == {found[0].identity_error} and found[0].identity_error < 1e-10

@@ -1,0 +1,117 @@
+"""Whitening against a dense eigensolver, and each part of the bidiagonal solver by itself."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from eventide.llm import whitening
+from eventide.llm.whitening import bidiagonal, directions, squared_singular_values, whiten
+
+SCHEMA = "vec_id bigint, embedding array<float>"
+
+
+def plain(rows, most=4):
+    """(vec_id, component, n, deviation, whitened) of each finite row, and each component's share of the variance."""
+    kept = [(i, np.floor(256 * np.asarray(v, float)).astype(int)) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()]
+    fit = np.unique(np.asarray([x for _, x in kept]), axis=0)
+    n, sums = len(fit), fit.sum(0)
+    centred = fit - sums / n
+    covariance = centred.T @ centred / n
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    result = [
+        (i, c + 1, n, int(np.square(n * x - sums).sum()), float((x - sums / n) @ vectors[:, c] / np.sqrt(values[c])))
+        for i, x in sorted(kept, key=lambda r: r[0]) for c in range(most)
+    ]
+    return result, values / np.trace(covariance)
+
+
+def _identity(found, n):
+    """Covariance of the whitened values of distinct rows."""
+    w = np.asarray([r.whitened for r in found]).reshape(n, -1)
+    return np.cov(w.T, bias=True)
+
+
+@pytest.mark.parametrize("shape", ["even", "graded", "clustered", "equal", "low_rank"])
+def test_solver_equals_dense(shape):
+    rng = np.random.default_rng(3)
+    n = 40
+    basis = np.linalg.qr(rng.normal(size=(n, n)))[0]
+    sizes = {
+        "even": rng.uniform(1, 2, n), "graded": 10.0 ** -np.arange(n), "clustered": np.r_[5, 5 - 1e-13, 5 - 2e-13, 5 - 3e-9, np.ones(n - 4)],
+        "equal": np.full(n, 3.0), "low_rank": np.r_[3.0, 2.0, 1.0, np.zeros(n - 3)],
+    }[shape]
+    r = np.linalg.qr(np.linalg.qr(rng.normal(size=(n, n)))[0] * sizes @ basis.T, mode="r")
+    diagonal, above, _ = bidiagonal(r)
+    assert np.allclose(np.sqrt(np.maximum(squared_singular_values(diagonal, above), 0)), np.linalg.svd(r, compute_uv=False), atol=1e-13)
+    found = directions(r, 1, 4)
+    wanted = np.sort(sizes)[::-1][: len(found.variances)] ** 2
+    assert len(found.variances) == {"low_rank": 3}.get(shape, 4)
+    assert np.allclose(found.variances, wanted, rtol=1e-12)
+    assert np.allclose(found.vectors @ found.vectors.T, np.eye(len(wanted)), atol=1e-12)
+    assert np.allclose(r.T @ (r @ found.vectors.T), found.vectors.T * wanted, atol=1e-11)
+
+
+def test_values_are_relatively_accurate():
+    diagonal, above = 10.0 ** -np.arange(0, 12), 10.0 ** -np.arange(1, 12) / 3
+    b = np.diag(diagonal) + np.diag(above, 1)
+    small = np.sqrt(squared_singular_values(diagonal, above))
+    # The product of all singular values is that of the diagonal, down to the smallest of them.
+    assert np.prod(small / diagonal) == pytest.approx(1, rel=1e-12)
+    assert small[:5] == pytest.approx(np.linalg.svd(b, compute_uv=False)[:5], rel=1e-12)
+
+
+def test_exact_zeros_split():
+    assert np.allclose(squared_singular_values(np.asarray([2.0, 0.0, 1.0, 0.0]), np.asarray([0.0, 1.0, 0.0])), [4, 2, 0, 0])
+    found = directions(np.diag([3.0, 0.0, 3.0, 1.0]), 1, 4)
+    assert np.allclose(found.variances, [9, 9, 1]) and np.allclose(found.vectors @ found.vectors.T, np.eye(3))
+
+
+def test_equals_plain(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 9)) * np.linspace(2, 0.3, 9)
+    rows = [(i, base[i % 250].astype(np.float32).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(40)
+    found = whiten(table).orderBy("vec_id", "component").collect()
+    exact, shares = plain(rows)
+    assert [(r.vec_id, r.component, r.n, r.deviation) for r in found] == [e[:4] for e in exact] and found[0].n == 250
+    for c in range(1, 5):
+        mine, other = [r.whitened for r in found if r.component == c], [e[4] for e in exact if e[1] == c]
+        assert np.allclose(np.multiply(mine, np.sign(np.dot(mine, other))), other, atol=1e-10)
+    assert [r.explained for r in found[:4]] == pytest.approx(shares[:4], rel=1e-12) and found[0].identity_error < 1e-12
+
+
+def test_many_tasks_are_reduced_in_spark(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "FACTORS_AT_ONCE", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(200)]
+    found = whiten(spark.createDataFrame(rows, SCHEMA).repartition(30)).orderBy("vec_id", "component").collect()
+    assert np.allclose(_identity(found, 200), np.eye(4), atol=1e-12)
+
+
+def test_odd_rows(spark):
+    nan = float("nan")
+    bad = [(50, None), (51, [1.0, None]), (52, [nan, 1.0]), (53, [float("inf"), 1.0])]
+    good = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (None, [-1.0, 0.5])]
+    found = whiten(spark.createDataFrame(good + bad, SCHEMA)).collect()
+    assert sorted((r.vec_id or 0, r.component) for r in found) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (2, 1), (2, 2), (2, 2)]
+    assert {r.n for r in found} == {3} and found[0].identity_error < 1e-12
+    assert whiten(spark.createDataFrame(bad, SCHEMA)).count() == 0 and whiten(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert whiten(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], SCHEMA)).count() == 0  # no variance
+    assert whiten(spark.createDataFrame([(1, [])], SCHEMA)).count() == 0
+    filled = whiten(spark.createDataFrame([(1, [1.0]), (2, [1.0, 1.0]), (3, [0.5, 1.0])], SCHEMA)).collect()
+    assert len(filled) == 6 and np.isfinite([r.whitened for r in filled]).all()
+
+
+def test_deviation_beyond_a_long_is_null(spark):
+    rows = [(1, [4e6, 0.0]), (2, [-4e6, 1.0]), (3, [0.0, 5.0])]
+    found = {r.vec_id: r.deviation for r in whiten(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1] is None and found[2] is None and found[3] is not None
+
+
+def test_clashing_names(spark):
+    rows = [(i, [float(i % 5), float(i * i % 7), 1.0]) for i in range(20)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    clashing = table.withColumns({c: F.lit(c) for c in ("x", "vector", "component", "n", "part", "factor", "label")})
+    wanted = whiten(table).orderBy("vec_id", "component").collect()
+    assert whiten(clashing).orderBy("vec_id", "component").collect() == wanted
