@@ -53,6 +53,22 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
+_RADIX = 0x9E3779B97F4A7C15  # odd, so that it can be divided by
+_POWERS: list[np.ndarray] = []
+
+
+def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of many spans of one sequence of 64-bit values: polynomials from running sums, spread by ``mix``."""
+    if not _POWERS or len(_POWERS[0]) < len(values):
+        n = 1 << max(16, (len(values) - 1).bit_length())
+        radix = (_RADIX, pow(_RADIX, -1, 1 << 64))
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n, r, np.uint64)], dtype=np.uint64) for r in radix]
+    power, back = _POWERS
+    running = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], out=running[1:])
+    return mix((running[end] - running[begin]) * back[begin] + (end - begin).astype(np.uint64))
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and how often each occurs."""
     keys = np.sort(keys)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import scratch_path
-from .hash_arrays import PACKED, Files, Tally, columns_of, counted, find, merge_slices, mix, packed_slices, slice_bits, summed, unmix
+from .hash_arrays import PACKED, Files, Tally, columns_of, counted, find, merge_slices, mix, packed_slices, slice_bits, span_hashes, summed, unmix
 
 PIECE = 1 << 21  # bytes of text worked on at once
 SMOOTHING = 0.1  # of the base score
@@ -37,21 +37,12 @@ _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[32, 9, 10, 11, 12, 13]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RADIX = 0x9E3779B97F4A7C15  # odd, so that it can be divided by
 _BYTE_VALUE = mix(_LOWER.astype(np.uint64) + np.uint64(1))
-_POWERS: list[np.ndarray] = []
 WORD_FILE = ["<u8", "<u8"]  # hash, count
 USE_FILE = ["<u4", "<u8", "<u4", "<u4", "<u4"]  # words before; times first; seconds met once, twice, more often
 SCORED = "n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        back = pow(_RADIX, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n, r, np.uint64)], dtype=np.uint64) for r in (_RADIX, back)]
-    return _POWERS
-
-
 @dataclass
 class Piece:
     """Tokens of neighbouring rows: the row and hash of each, whether it is its row's first, and the word before the piece."""
@@ -87,14 +78,11 @@ def pieces(texts: pa.Array) -> Iterator[Piece]:
         begins[1:] &= ~inside[:-1] | cut[1:-1]
         finishes[:-1] &= ~inside[1:] | cut[1:-1]
         begin, finish = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-        power, back = _powers(max(PIECE, to - at))
-        running = np.zeros(to - at + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[part] * power[: to - at], out=running[1:])
         text = np.searchsorted(stops, begin, "right")
         stop_at = np.searchsorted(begin, stops) + np.arange(closed)
         word_at = np.arange(len(begin)) + text
         word, of = np.empty(len(begin) + closed, np.uint64), np.empty(len(begin) + closed, np.int64)
-        word[word_at], word[stop_at] = mix((running[finish] - running[begin]) * back[begin] + (finish - begin).astype(np.uint64)), END
+        word[word_at], word[stop_at] = span_hashes(_BYTE_VALUE[part], begin, finish), END
         of[word_at], of[stop_at] = row + text, row + np.arange(closed)
         first = np.zeros(len(word) + 1, bool)
         first[0] = before == START

@@ -38,8 +38,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, with_i
         encoder = loaded(BpeEncoder, tokenizer)
         for batch in batches:
             found = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text) + end
+            texts = (cell.as_py() for cell in batch.column(1))
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), encoder.encode_many(texts)):
+                ids = encoded.astype("<u4").tobytes() + end
                 for at in range(0, len(ids), step):
                     piece = ids[at : at + step]
                     row = (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)

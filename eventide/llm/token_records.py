@@ -90,8 +90,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int) ->
         try:
             for batch in batches:
                 index = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = np.concatenate((np.frombuffer(encoder.encode(text), "<u4"), end))
+                texts = (cell.as_py() for cell in batch.column(1))
+                for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode_many(texts)):
+                    ids = np.concatenate((found, end))
                     record = frame(pack_ids(doc_id, ids, compressor))
                     if out is None or at + len(record) > SHARD_BYTES:
                         if out is not None:

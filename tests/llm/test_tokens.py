@@ -6,10 +6,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from hypothesis import example, given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from eventide.llm import token_records as records
-from eventide.llm.tokenizing import BpeEncoder, PieceCounter
+from eventide.llm import token_records as records, tokenizing
+from eventide.llm.tokenizing import BpeEncoder, KnownPieces, PieceCounter
 
 TEXTS = [
     "", " ", "\n", "a", "Plain words, with stops. And more!\nNext line here.", "two  spaces", " lead", "trail ", "a \n b", "x\n\ny",
@@ -35,6 +36,32 @@ def test_ids_of_given_documents(path, spark):
         assert np.frombuffer(encoder.encode(row[0]), "<u4").tolist() == library.encode(row[0], add_special_tokens=False).ids
 
 
+_LOADED = {path: (Tokenizer.from_file(path), BpeEncoder(path)) for path in BPE}
+_BITS = st.sampled_from([*"aBzÉßÿ'09.,!#-_(\n", " ", " word", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "ª", "µ", "²", "×", "ā", "þ", "´", "\u0301"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(_BITS, max_size=12).map("".join), min_size=1, max_size=4))
+@example(["it's", "x''s", "5's", "('s)", " 's", "a.'s", "O'Brien's", "abc123def", "x\ny", "x\n\ny", "\nx", "x\n"])
+def test_any_signs_side_by_side(texts):
+    for library, encoder in _LOADED.values():
+        found = list(encoder.encode_many(texts))
+        assert [f.tolist() for f in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("path", BPE)
+def test_groups_and_forgetting_change_nothing(path, monkeypatch):
+    library, encoder = Tokenizer.from_file(path), BpeEncoder(path)
+    monkeypatch.setattr(tokenizing, "GROUP", 50)
+    monkeypatch.setattr(tokenizing, "RECENT", 8)
+    encoder.known = KnownPieces(kept=20)
+    texts = [t[:5000] for t in TEXTS] + ["one two, three's " * 40 + "end", "", "x" * 200, "a " * 100 + "<|endoftext|>"]
+    for _ in range(2):
+        found = list(encoder.encode_many(iter(texts)))
+        assert [f.tolist() for f in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encoder.known.tables[0][0]) <= 40 and list(encoder.encode_many([])) == []
+
+
 def test_counts_of_pieces(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library, counter = sentencepiece.SentencePieceProcessor(model_file=path), PieceCounter(path)
