@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_ascii, written
+from .common import free_names, lower_ascii, written
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -124,8 +124,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """``docs`` without contaminated documents; columns stay."""
+    """``docs`` without contaminated documents; columns stay, whatever their names."""
     judged = contamination(docs, items, window, share)
-    bad = _small(written(judged.filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "contaminated"))
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (_key(docs["text"]) == F.col("_k"))
-    return docs.join(bad, same, "left_anti")
+    key, bad_id, bad_key = free_names(docs, "_key", "_d", "_k")
+    bad = _small(
+        written(judged.filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key)).distinct(), "contaminated")
+    )
+    keyed = docs.withColumn(key, _key(F.col("text")))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(key) == F.col(bad_key)), "left_anti").drop(key)

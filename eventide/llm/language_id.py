@@ -16,18 +16,21 @@ to these the spread of a mean of so few symbols is added. So every language has
 languages stay.
 
 Nulls: a null text or one without a letter is ``und`` with score 0; a row without language or text does not train. Without
-training rows all texts are ``und``. Repeated rows count each time, whole texts of any length are read.
+training rows all texts are ``und``. Repeated rows count each time, whole texts of any length are read, a long one in pieces, so that
+a task holds the symbols of one piece at a time. Models take 12 bytes a key and context in each task, whatever the number of
+rows; a language has at most 2**24 keys of four symbols.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small, written
+from .common import free_names, small, written
 
 ORDER, BITS = 4, 6
 KEYS = 1 << (ORDER * BITS)
@@ -39,7 +42,9 @@ LENGTH_CLASSES = 17
 FEW = 30  # fewer training rows of a length class share the next shorter one's figures, or else those of all lengths
 SYMBOL_SPREAD = 2.0  # nats by which single symbols scatter, for classes shorter than any with figures of its own
 SCORE_SYMBOLS = 64  # a score weighs the evidence of at most this many symbols
-BATCH_SYMBOLS = 1 << 21
+COUNTED_AT_ONCE = 1 << 20
+BATCH_SYMBOLS = 1 << 18  # scored at once
+PIECE = 1 << 18  # characters of a text turned into symbols at once
 
 
 def _symbol(code: int) -> int:
@@ -52,8 +57,8 @@ def _symbol(code: int) -> int:
 _TABLE: list[np.ndarray] = []
 
 
-def symbols(text: str) -> np.ndarray:
-    """Symbols of a text between two gaps; empty if it has no letter."""
+def _raw(text: str) -> np.ndarray:
+    """A symbol for every character, each gap by itself."""
     if not _TABLE:
         _TABLE.append(np.fromiter(map(_symbol, range(1 << 16)), np.uint8, 1 << 16))
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
@@ -61,24 +66,47 @@ def symbols(text: str) -> np.ndarray:
         far = codes >= 1 << 16
         found = _TABLE[0][np.where(far, 0, codes)]
         found[far] = np.fromiter(map(_symbol, codes[far].tolist()), np.uint8)
-    else:
-        found = _TABLE[0][codes]
-    if not found.any():
-        return found[:0]
-    found = np.concatenate(([0], found, [0])).astype(np.uint32)
-    return found[~((found == 0) & np.r_[False, found[:-1] == 0])]
+        return found
+    return _TABLE[0][codes]
 
 
-def keys(found: np.ndarray) -> np.ndarray:
-    """Key of each symbol after the first with the three symbols before it (gaps before the start)."""
-    padded = np.concatenate((np.zeros(ORDER - 2, np.uint32), found))
-    n = len(found) - 1
-    result = np.zeros(n, np.uint32)
+def _joined(found: np.ndarray, before: int) -> np.ndarray:
+    """Symbols with neighbouring gaps made one, after the symbol ``before``."""
+    return found[~((found == 0) & (np.r_[np.uint8(before), found[:-1]] == 0))].astype(np.uint32)
+
+
+def symbols(text: str) -> np.ndarray:
+    """Symbols of a text between two gaps; empty if it has no letter."""
+    found = _raw(text)
+    return np.r_[np.uint32(0), _joined(np.r_[found, np.uint8(0)], 0)] if found.any() else np.zeros(0, np.uint32)
+
+
+def _keys_after(tail: np.ndarray, found: np.ndarray) -> np.ndarray:
+    padded = np.concatenate((tail, found))
+    result = np.zeros(len(found), np.uint32)
     for k in range(ORDER):
-        result = (result << BITS) | padded[k : k + n]
+        result = (result << BITS) | padded[k : k + len(found)]
     return result
 
 
+def keys(found: np.ndarray) -> np.ndarray:
+    """Key of each symbol after the first with the three symbols before it (gaps before the start)."""
+    return _keys_after(np.r_[np.zeros(ORDER - 2, np.uint32), found[:1]], found[1:])
+
+
+def key_pieces(text: str | None) -> Iterator[np.ndarray]:
+    """``keys(symbols(text))`` in pieces; nothing for a text without a letter."""
+    tail = np.zeros(ORDER - 1, np.uint32)
+    for at in range(0, len(text or ""), PIECE):
+        found = _raw(text[at : at + PIECE])
+        if at + PIECE >= len(text):
+            found = np.r_[found, np.uint8(0)]
+        found = _joined(found, int(tail[-1]))
+        if len(found):
+            yield _keys_after(tail, found)
+            tail = np.concatenate((tail, found))[1 - ORDER :]
+
+
 def count_keys(rows: DataFrame) -> DataFrame:
     """(lang, key, n) over all rows with lang and text."""
 
@@ -98,12 +126,11 @@ def count_keys(rows: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = symbols(text)
-                if len(found):
-                    held.setdefault(lang, []).append(keys(found))
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for found in key_pieces(text.as_py()):
+                    held.setdefault(lang, []).append(found)
                     size += len(found)
-                    if size >= BATCH_SYMBOLS:
+                    if size >= COUNTED_AT_ONCE:
                         settle()
                         size = 0
         settle()
@@ -146,17 +173,17 @@ class KneserNey:
                 lower[1][np.searchsorted(lower[0], gram & ((1 << ((order - 1) * BITS)) - 1))]
             )
             lower = gram, np.log(np.maximum(seen - discount, 0) / total[of] + weight[of] * below)
-            model.grams.append(lower)
-            model.backoff.append((context, np.log(weight)))
+            model.grams.append((gram.astype(np.uint32), lower[1]))
+            model.backoff.append((context.astype(np.uint32), np.log(weight)))
         return model
 
     def log_probability(self, asked: np.ndarray) -> np.ndarray:
         """Of each key: its last symbol after those before it."""
-        asked = asked.astype(np.int64)
+        asked = asked.astype(np.uint32)
         result = np.zeros(len(asked))
         open_ = np.arange(len(asked))
         for order in range(ORDER, 0, -1):
-            key = asked[open_] & ((1 << (order * BITS)) - 1)
+            key = asked[open_] & np.uint32((1 << (order * BITS)) - 1)
             gram, value = self.grams[order - 1]
             at = np.minimum(np.searchsorted(gram, key), len(gram) - 1)
             hit = gram[at] == key
@@ -182,27 +209,30 @@ def fit_models(counts: DataFrame) -> dict[str, KneserNey]:
 SCORED = "best int, entropy double, score double, n_symbols bigint"
 
 
-def cross_entropies(texts: list[str | None], models: list[KneserNey]) -> tuple[np.ndarray, np.ndarray]:
-    """Nats per symbol of each text (rows) under each model (columns), and the number of symbols."""
-    parts = [symbols(t) if t else np.zeros(0, np.uint32) for t in texts]
-    sizes = np.asarray([max(0, len(p) - 1) for p in parts], np.int64)
-    sums = np.zeros((len(texts), len(models)))
-    lookup = np.zeros(KEYS, np.int32)
-    at = 0
-    while at < len(texts):
-        to = at + 1
-        while to < len(texts) and sizes[at : to + 1].sum() <= BATCH_SYMBOLS:
-            to += 1
-        full = [i for i in range(at, to) if sizes[i]]
-        if full:
-            every = np.concatenate([keys(parts[i]) for i in full])
-            mark = np.zeros(KEYS, bool)
-            mark[every] = True
-            some = np.flatnonzero(mark)
-            lookup[some] = np.arange(len(some))
-            each = np.stack([m.log_probability(some) for m in models], 1)[lookup[every]]
-            sums[full] = -np.add.reduceat(each, np.r_[0, np.cumsum(sizes[full])[:-1]], axis=0)
-        at = to
+def cross_entropies(texts: Iterable[str | None], n: int, models: list[KneserNey]) -> tuple[np.ndarray, np.ndarray]:
+    """Nats per symbol of each of n texts (rows) under each model (columns), and the number of symbols."""
+    sums, sizes = np.zeros((n, len(models))), np.zeros(n, np.int64)
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+
+    def settle():
+        if held:
+            some, at = np.unique(np.concatenate([k for _, k in held]), return_inverse=True)
+            rows, lengths = [row for row, _ in held], [len(k) for _, k in held]
+            starts = np.r_[0, np.cumsum(lengths)[:-1]]
+            for k, model in enumerate(models):
+                np.subtract.at(sums[:, k], rows, np.add.reduceat(model.log_probability(some)[at], starts))
+            held.clear()
+
+    for row, text in enumerate(texts):
+        for found in key_pieces(text):
+            held.append((row, found))
+            sizes[row] += len(found)
+            size += len(found)
+            if size >= BATCH_SYMBOLS:
+                settle()
+                size = 0
+    settle()
     return sums / np.maximum(sizes, 1)[:, None], sizes
 
 
@@ -213,7 +243,7 @@ def score_rows(rows: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            entropy, sizes = cross_entropies(batch.column(at).to_pylist(), shared.value)
+            entropy, sizes = cross_entropies((cell.as_py() for cell in batch.column(at)), batch.num_rows, shared.value)
             best = entropy.argmin(1)
             lowest = entropy[np.arange(len(best)), best]
             weight = np.minimum(sizes, SCORE_SYMBOLS)[:, None]
@@ -294,12 +324,13 @@ def identify(docs: DataFrame, held_out: Column, keep: list[str] | None = None) -
 
 
 def without_rejected(docs: DataFrame, held_out: Column) -> DataFrame:
-    """``docs`` without the rows that ``identify`` rejects; columns stay."""
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    found = identify(docs.withColumn("_key", key), held_out, ["doc_id", "_key"])
-    bad = small(written(found.filter("rejected").select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct(), "rejected"))
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_k"))
-    return docs.join(bad, same, "left_anti")
+    """``docs`` without the rows that ``identify`` rejects; columns stay, whatever their names."""
+    content = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    key, bad_id, bad_key = free_names(docs, "_key", "_d", "_k")
+    found = identify(docs.select("doc_id", "text", "lang", content.alias("key")), held_out, ["doc_id", "key"])
+    bad = small(written(found.filter("rejected").select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key)).distinct(), "rejected"))
+    keyed = docs.withColumn(key, content)
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(key) == F.col(bad_key)), "left_anti").drop(key)
 
 
 def fifth(doc_id: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
-from .common import written
+from .common import free_names, written
 from .components import components
 
 BITS = 64
@@ -206,12 +206,13 @@ def hexadecimal(column: str):
 def one_of_each(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest doc_id, then of the smallest content hash.
 
-    Rows without an id come last. Of repeated rows one stays.
+    Rows without an id come last. Of repeated rows one stays. Columns stay, whatever their names.
     """
     found = near_duplicates(docs, shingle, radius)
     chosen = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    kept = chosen.select(F.col("first.doc_id").alias("_d"), F.col("first.key").alias("_k")).distinct()
-    keyed = docs.withColumn("_key", _key())
-    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
-    repeats = Window.partitionBy("doc_id", "_key").orderBy("_key")
-    return rows.withColumn("_n", F.row_number().over(repeats)).filter("_n = 1").drop("_n", "_key")
+    key, number, kept_id, kept_key = free_names(docs, "_key", "_n", "_d", "_k")
+    kept = chosen.select(F.col("first.doc_id").alias(kept_id), F.col("first.key").alias(kept_key)).distinct()
+    keyed = docs.withColumn(key, _key())
+    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    repeats = Window.partitionBy("doc_id", key).orderBy(key)
+    return rows.withColumn(number, F.row_number().over(repeats)).filter(F.col(number) == 1).drop(number, key)

@@ -1,6 +1,7 @@
 """Character models: their arithmetic, held-out accuracy, rejection."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -54,6 +55,32 @@ def test_symbols():
     assert ids.keys(ids.symbols("ab")).tolist() == [1, 1 << 6 | 2, 1 << 12 | 2 << 6]
 
 
+def test_pieces_of_a_text_change_nothing(monkeypatch):
+    rng = random.Random(5)
+    texts = ["", "1 2 3", "a", " a", "12345678 a 1234567", "word " * 9] + ["".join(rng.choices("ab é1-", k=n)) for n in range(1, 60)]
+    whole = [ids.keys(ids.symbols(t)).tolist() if len(ids.symbols(t)) else [] for t in texts]
+    monkeypatch.setattr(ids, "PIECE", 7)
+    assert [[int(k) for piece in ids.key_pieces(t) for k in piece] for t in texts] == whole
+    assert list(ids.key_pieces(None)) == []
+
+
+def test_twenty_languages_need_little_memory(spark):
+    rng = random.Random(7)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(60)] for _ in range(20)]
+    some = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    rows = [(100 * lang + i, some(lang, 60), f"l{lang:02d}") for lang in range(20) for i in range(20)]
+    asked = [(10_000 + lang, some(lang, 40), None) for lang in range(20)]
+    found = {r.doc_id: r.lang_pred for r in ids.identify(_frame(spark, rows + asked), F.col("doc_id") >= 10_000).collect()}
+    assert all(found[10_000 + lang] == f"l{lang:02d}" for lang in range(20))
+    models = [ids.KneserNey.fit(*np.unique(ids.keys(ids.symbols(some(lang, 400))), return_counts=True)) for lang in range(20)]
+    long = [" ".join(some(lang, 20_000) for lang in range(20))] + ["short text"] * 100
+    tracemalloc.start()
+    ids.cross_entropies(long, len(long), models)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(long[0]) > 2_000_000 and peak < 60e6
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = ids.identify(docs, ids.fifth(F.col("doc_id"))).join(docs, "doc_id").filter("held_out").collect()

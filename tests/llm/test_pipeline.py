@@ -66,6 +66,18 @@ def test_stages_and_result(spark):
         assert at <= 1024
 
 
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names = ["_d", "_K", "_key", "_key_", "_n", "key", "fp", "held_out", "best", "entropy", "w", "piece", "length", "h"]
+    clashing = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for (name, stage), columns in zip(corpus_pipeline.STAGES, [clashing.columns] * 3 + [None]):
+        wanted, found = stage(spark, docs, FOLDER), stage(spark, clashing, FOLDER)
+        assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in wanted.collect()), name
+        if columns:
+            assert found.columns == columns
+            assert all(r[c] == f"{c}{r.doc_id}" for r in found.collect() for c in names), name
+
+
 def test_run(spark):
     found = corpus_pipeline.run(spark, FOLDER)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(found.columns) and found.count() > 100
