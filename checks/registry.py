@@ -27,7 +27,7 @@ from eventide.plans.catalog import register_views, time_arguments
 from eventide.plans.market import LiveViews, Market
 from eventide.plans.store import DERIVED, StoredViews, TableStore, refresh
 from eventide.schemas import EVENT_KINDS, PRIMARY_KEYS
-from eventide.session import shared_folder, with_scratch
+from eventide.session import input_state, shared_folder, with_scratch
 from eventide.sources import ingest, quality
 from eventide.sources.event_log import load_market, market_from_log
 
@@ -522,11 +522,11 @@ _STORES: dict[tuple, TableStore] = {}
 
 
 def _store(spark: SparkSession, folder: str, market: Market, since: bool) -> TableStore:
-    """All stored tables, refreshed once per folder; with ``since``, grown from an earlier state.
+    """All stored tables, refreshed once per state of the folder's log; with ``since``, grown from an earlier state.
 
     The earlier state lacks the rows from ``SINCE`` on and has others in their place, on days that vanish.
     """
-    key = (spark.sparkContext.applicationId, folder, since)
+    key = (spark.sparkContext.applicationId, folder, input_state(spark, f"{folder}/events.parquet"), since)
     if key not in _STORES:
         store = TableStore(spark, f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}")
         if since:
@@ -741,3 +741,9 @@ def data_quality_tier(market: Market) -> DataFrame:
 def leaderboard_rank(market: Market) -> DataFrame:
     moves = questions.positive_moves_60m(LiveViews(market), START, END)
     return rounded(summaries.leaderboard(moves, "n_positive_moves"), 6, "pct_of_leader")
+
+
+@over_market
+def leaderboard_top(market: Market) -> DataFrame:
+    moves = questions.positive_moves_60m(LiveViews(market), START, END)
+    return rounded(summaries.leaderboard(moves, "n_positive_moves", rows=3), 6, "pct_of_leader")

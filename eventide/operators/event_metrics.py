@@ -76,15 +76,13 @@ def event_volatility_levels(events: DataFrame, returns: DataFrame) -> DataFrame:
 
 def with_vol_regime(levels: DataFrame) -> DataFrame:
     """Add ``vol_regime``: tercile of rv_1h over all rows, NULL volatility in the highest."""
-    order = [F.col("rv_1h").asc_nulls_last(), F.col("symbol").asc(), F.col("event_ts").asc()]
-    return ranking.tile(levels, TERCILES, order, (), "vol_regime")
+    return ranking.tile(levels, TERCILES, "rv_1h", ["symbol", "event_ts"], (), "vol_regime")
 
 
 def daily_deciles(funding: DataFrame) -> DataFrame:
     """(symbol, ts, rate, rate_decile, event_date): decile of the rate among all prints of its day."""
-    order = [F.col("rate").asc_nulls_last(), F.col("symbol").asc(), F.col("ts").asc()]
     dated = funding.select("symbol", "ts", "rate", F.to_date("ts").alias("event_date"))
-    tiled = ranking.tile(dated, DECILES, order, ["event_date"], "rate_decile")
+    tiled = ranking.tile(dated, DECILES, "rate", ["symbol", "ts"], ["event_date"], "rate_decile")
     return tiled.select("symbol", "ts", "rate", "rate_decile", "event_date")
 
 

@@ -3,21 +3,25 @@
 Groups here are bounded by the calendar: a day holds at most one print per symbol and point of its time grid, a symbol and
 day at most one per point. They use Spark's own window and aggregate functions.
 
-Over all rows nothing bounds the group, so it never meets in one task: rows are range-partitioned by the order, which spreads
-even a single repeated value, and every row learns its position from its place in the sorted partitions. Partition bounds
-are sampled, and the sorted rows are read twice (for the partition sizes and for the rows), so they are persisted on disk:
-both readers see the same partitions, and a lost one is sorted again from the same shuffle. Persisting is lazy, so building
-a result starts no job; ``spark.catalog.clearCache()`` releases the space.
+Over all rows nothing bounds the group, so it is never sorted. Wanted positions are found by histograms that are refined:
+rows are counted by ranges of the value (buckets of its logarithm, so that they suit any scale), the running count
+tells which range holds each position, only that range is counted again by fine steps, and only the values of one step
+one by one. A few thousand counts, not rows, meet in one task; the values left in the last round are about a twenty
+millionth of evenly spread ones. Where equal values straddle the border between two tiles, the rows with that value are counted by the
+columns that break the tie. Tiles and percentiles are then a comparison of each row with a few cut rows. Nothing is stored,
+and building a result starts no job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in these low bits
+LOG_STEPS = 1000  # ranges for every factor of e
+FINE_STEPS = 4096
+# Fixed places of what has no logarithm, outside those of all numbers (below 2e6 either way).
+_INFINITE, _NAN, _NULL = 3_000_000, 4_000_000, 5_000_000
 
 
 def interpolate(low, high, position, floor, ceil):
@@ -25,63 +29,110 @@ def interpolate(low, high, position, floor, ceil):
     return (ceil - position) * low + (position - floor) * high
 
 
-def rank_rows(df: DataFrame, order: Sequence[Column], valid: str | None = None) -> DataFrame:
-    """Add ``_ix`` (position among all rows, from 0) and ``_n`` (their number).
+def _range_of(value: Column) -> Column:
+    """Number of the range a value lies in; grows with the value, NaN and then NULL last."""
+    scale = F.floor(F.log(F.abs(value)) * LOG_STEPS) + 1_000_000
+    infinite = F.abs(value) == F.lit(float("inf"))
+    size = F.when(value == 0, F.lit(0)).when(infinite, F.lit(_INFINITE)).otherwise(scale)
+    return F.when(value.isNull(), F.lit(_NULL)).when(F.isnan(value), F.lit(_NAN)).when(value < 0, -size).otherwise(size).cast("bigint")
 
-    ``order`` must break all ties. With ``valid``, ``_n`` counts only the rows where that column is
-    not NULL; order NULLs last for the two to agree.
-    """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).persist(StorageLevel.DISK_ONLY)
-    placed = ranged.withColumn("_mid", F.monotonically_increasing_id())
-    partition = F.shiftright("_mid", _ROW_BITS).alias("_part")
-    counted = F.count(F.lit(1) if valid is None else F.col(valid))
-    sizes = placed.groupBy(partition).agg(F.count(F.lit(1)).alias("_size"), counted.alias("_valid"))
-    # One row per partition: bounded by the number of partitions, never by the data.
-    through = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(through), F.lit(0)).alias("_offset"), F.sum("_valid").over(Window.partitionBy()).alias("_n")
-    )
-    return (
-        placed.withColumn("_part", partition)
-        .join(offsets, "_part")
-        .withColumn("_ix", F.col("_offset") + F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-        .drop("_mid", "_part", "_offset")
-    )
+
+def _step_of(value: Column, low: Column, high: Column) -> Column:
+    """Number of the fine step between the lowest and highest value of a range."""
+    return F.when(low < high, F.floor((value - low) / (high - low) * FINE_STEPS)).otherwise(F.lit(0)).cast("bigint")
+
+
+def _holding(counts: DataFrame, order: str, keys: Sequence[str], before: Column | None = None) -> DataFrame:
+    """With ``_before``, the rows counted in earlier ranges; of each position only the range that holds it."""
+    run = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_n").over(run), F.lit(0))
+    placed = counts.withColumn("_before", earlier if before is None else before + earlier)
+    return placed.filter((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_n")))
 
 
-def tile(df: DataFrame, tiles: int, order: Sequence[Column], keys: Sequence[str] = (), name: str = "tile") -> DataFrame:
-    """NTILE: sizes differ by at most one, larger tiles first; fewer rows than tiles leave tiles out.
+def values_at(df: DataFrame, value: str, positions: Callable[[Column], Column]) -> DataFrame:
+    """(_k, _total, _value, _before): the value at each wanted position of the ascending order (from 0), and how many rows
+    come before the first of equal ones.
+
+    ``positions`` turns the number of rows into an array of positions; those beyond the last row give nothing.
+    """
+    distinct = df.select(F.col(value).cast("double").alias("_value")).groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = distinct.withColumn("_range", _range_of(F.col("_value")))
+    ranges = distinct.groupBy("_range").agg(F.sum("_n").alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    ranges = ranges.withColumn("_total", F.sum("_n").over(Window.partitionBy()))
+    ranges = ranges.withColumn("_before", F.coalesce(
+        F.sum("_n").over(Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    ))
+    own = F.filter(positions(F.col("_total")), lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")))
+    chosen = F.broadcast(ranges.select("_range", "_total", "_low", "_high", "_before", F.explode(own).alias("_k")))  # a row per position
+    held = ["_k", "_total", "_range", "_low", "_high", "_start"]
+    step = _step_of(F.col("_value"), F.col("_low"), F.col("_high"))
+    inside = distinct.join(chosen.withColumnRenamed("_before", "_start"), "_range").withColumn("_step", step)
+    steps = inside.groupBy(*held, "_step").agg(F.sum("_n").alias("_n"))
+    fine = _holding(steps, "_step", held, F.col("_start")).select("_k", "_total", "_range", "_low", "_high", "_step", F.col("_before").alias("_start"))
+    left = distinct.join(F.broadcast(fine), "_range").filter(step == F.col("_step"))
+    found = _holding(left.select("_k", "_total", "_start", "_value", "_n"), "_value", ["_k", "_total", "_start"], F.col("_start"))
+    return found.select("_k", "_total", "_value", "_before")
+
+
+def _borders(total: Column, tiles: int) -> Column:
+    """Position of the first row of every tile but the first."""
+    small = F.floor(total / tiles)
+    return F.transform(F.sequence(F.lit(1), F.lit(tiles - 1)), lambda j: j * small + F.least(j, total % tiles))
+
+
+def _same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def _tied_cuts(df: DataFrame, cuts: DataFrame, value: str, ties: Sequence[str]) -> DataFrame:
+    """The cuts with the first row's tie columns, where rows with the cut's value also come before it.
+
+    The columns are counted one after the other, each only where all before it equal the cut's. The window runs over the
+    distinct values of one column, a row for each.
+    """
+    rows = df.select(F.col(value).cast("double").alias("_of"), *[F.col(c).alias(f"_own_{c}") for c in ties])
+    cut = cuts.select("_k", "_value", "_before")
+    for i, column in enumerate(ties):
+        equal = _same("_of", "_value")
+        for done in ties[:i]:
+            equal = equal & _same(f"_own_{done}", f"_cut_{done}")
+        keys = ["_k", "_value", "_start", *[f"_cut_{c}" for c in ties[:i]]]
+        wanted = F.broadcast(cut.withColumnRenamed("_before", "_start"))  # a row per border
+        counts = rows.join(wanted, equal).groupBy(*keys, F.col(f"_own_{column}").alias(f"_cut_{column}")).agg(F.count(F.lit(1)).alias("_n"))
+        cut = _holding(counts, f"_cut_{column}", keys, F.col("_start")).drop("_start", "_n")
+    return cut
+
+
+def tile(df: DataFrame, tiles: int, value: str, ties: Sequence[str], keys: Sequence[str] = (), name: str = "tile") -> DataFrame:
+    """NTILE by ``value`` (NULLs last) and then ``ties``, which tell all rows apart: sizes differ by at most one, larger
+    tiles first; fewer rows than tiles leave tiles out.
 
     Groups of ``keys`` must be bounded; without keys all rows are one group of any size.
     """
+    order = [F.col(value).asc_nulls_last(), *[F.col(c).asc() for c in ties]]
     if keys:
         return df.withColumn(name, F.ntile(tiles).over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    ranked = rank_rows(df, order)
-    small = F.floor(F.col("_n") / tiles)
-    extra = F.col("_n") % tiles
-    in_large = extra * (small + 1)
-    number = F.when(F.col("_ix") < in_large, F.floor(F.col("_ix") / (small + 1))).otherwise(
-        extra + F.floor((F.col("_ix") - in_large) / F.greatest(small, F.lit(1)))
+    cuts = _tied_cuts(df, values_at(df, value, lambda total: _borders(total, tiles)), value, ties)
+    place = F.struct("_range", "_value", *[f"_cut_{c}" for c in ties])
+    listed = cuts.withColumn("_range", _range_of(F.col("_value"))).agg(F.collect_list(place).alias("_cuts"))  # one row, a cut per border
+    own = F.struct(
+        _range_of(F.col(value)).alias("_range"), F.col(value).cast("double").alias("_value"), *[F.col(c).alias(f"_cut_{c}") for c in ties]
     )
-    return ranked.withColumn(name, (number + 1).cast("bigint")).drop("_ix", "_n")
+    # Ranges order NULL last; structs compare field by field, NaN as the largest number.
+    passed = F.size(F.filter("_cuts", lambda cut: cut <= own))
+    return df.crossJoin(F.broadcast(listed)).withColumn(name, (passed + 1).cast("bigint")).drop("_cuts")
 
 
-def _ranked_values(df: DataFrame, value: str) -> DataFrame:
-    # Equal values are interchangeable here; the hash only spreads a hot value, the same on every run.
-    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
-    return rank_rows(tied, [F.col(value).asc_nulls_last(), F.col("_tie").asc()], valid=value).drop("_tie")
-
-
-def _percentile_of_ranked(ranked: DataFrame, value: str, share: float, name: str) -> DataFrame:
-    position = (F.col("_n") - 1) * F.lit(share)
-    floor, ceil = F.floor(position), F.ceil(position)
-    neighbours = ranked.filter((F.col("_ix") == floor) | (F.col("_ix") == ceil)).agg(
-        F.max(F.when(F.col("_ix") == floor, F.col(value))).alias("low"), F.max(F.when(F.col("_ix") == ceil, F.col(value))).alias("high"),
-        F.max(position).alias("position"),
-    )
-    low, high, at = F.col("low"), F.col("high"), F.col("position")
-    between = interpolate(low, high, at, F.floor(at), F.ceil(at))
-    return neighbours.select(F.when(low == high, low).otherwise(between).alias(name))
+def _overall_percentile(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
+    """One row; NULL if there is no value."""
+    position = lambda total: (total - 1) * F.lit(share)
+    both = lambda total: F.array_distinct(F.array(F.floor(position(total)), F.ceil(position(total))))
+    found = values_at(df.filter(F.col(value).isNotNull()), value, both).withColumn("_at", position(F.col("_total")))
+    at_end = lambda side: F.max(F.when(F.col("_k") == side("_at"), F.col("_value")))
+    ends = found.agg(at_end(F.floor).alias("_low"), at_end(F.ceil).alias("_high"), F.max("_at").alias("_at"))
+    low, high, at = F.col("_low"), F.col("_high"), F.col("_at")
+    return ends.select(F.when(low == high, low).otherwise(interpolate(low, high, at, F.floor(at), F.ceil(at))).alias(name))
 
 
 def exact_percentile(
@@ -93,11 +144,9 @@ def exact_percentile(
     """
     if keys:
         return df.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias(name), *extra)
-    return _percentile_of_ranked(_ranked_values(df, value), value, share, name)
+    return _overall_percentile(df, value, share, name)
 
 
 def with_percentile(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
-    """Add the overall percentile of ``value`` to every row, computing ``df`` only once."""
-    ranked = _ranked_values(df, value)
-    overall = _percentile_of_ranked(ranked, value, share, name)
-    return ranked.drop("_ix", "_n").crossJoin(F.broadcast(overall))  # a single row
+    """Add the overall percentile of ``value`` to every row."""
+    return df.crossJoin(F.broadcast(_overall_percentile(df, value, share, name)))  # a single row

@@ -20,6 +20,7 @@ class Market:
     open_interest: DataFrame
     premium_index: DataFrame
     event_markers: DataFrame | None = None
+    bar_days: DataFrame | None = None  # (symbol, day, n_bars) of all bars, where klines lie in folders by day
 
     def between(self, name: str, column: str, start: TimeLike | None, end: TimeLike | None) -> DataFrame:
         """Rows of a base table in a closed time range."""
@@ -48,10 +49,11 @@ class LiveViews:
 
     def returns(self, start=None, end=None, reach: Reach = Reach(), symbol: str | None = None) -> DataFrame:
         """Log returns from ``reach.before`` ahead of the range to ``reach.after`` behind it."""
-        klines = self.market.between("klines", "open_time", None, shift(end, reach.after))
+        klines, bar_days = self.market.between("klines", "open_time", None, shift(end, reach.after)), self.market.bar_days
         if symbol is not None:
             klines = klines.filter(F.col("symbol") == symbol)
-        return log_returns(klines, shift(start, -reach.before), shift(end, reach.after))
+            bar_days = None if bar_days is None else bar_days.filter(F.col("symbol") == symbol)
+        return log_returns(klines, shift(start, -reach.before), shift(end, reach.after), bar_days)
 
     def stats(self, start, end, measures: list[Measure]) -> DataFrame:
         reach = Reach.hull([m.reach for m in measures])

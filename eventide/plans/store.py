@@ -23,6 +23,7 @@ from eventide.operators.event_windows import Measure, Reach, window_stats
 from eventide.operators.returns import VOL_PRECEDING, minute_returns
 from eventide.plans.market import LiveViews, Market
 from eventide.schemas import STORED
+from eventide.session import table_bytes
 from eventide.sources.ingest import insert_ignore
 
 # Order of a refresh: a table comes after the ones it is built from.
@@ -38,6 +39,9 @@ DERIVED = (
     "symbol_daily_stats",
 )
 
+BAR_DAYS = "bar_days"  # bars per symbol and day, kept with every write of klines
+MOST_LIVE = 16  # versions of a table that count at once, before the newer ones are merged
+
 
 class TableStore:
     """Parquet tables under one root folder that all executors share.
@@ -46,6 +50,9 @@ class TableStore:
     table: the versions that count and the day before which each does. Readers take the last state when they are
     planned, so they see a table as it was before a write or after it, and a write that fails changes nothing.
     One writer per table at a time.
+
+    Appending adds a version, so a table's newer versions are merged into one as soon as more than ``MOST_LIVE`` count: all
+    that are outweighed by those after them, so each row is rewritten about as often as its table doubles.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -65,7 +72,7 @@ class TableStore:
         return sorted(s.getPath().getName() for s in files.listStatus(folder) if s.getPath().getName().endswith(".json"))
 
     def exists(self, name: str) -> bool:
-        return bool(self._states(name))
+        return bool(self._states(name)) and bool(self._versions(name))
 
     def _versions(self, name: str) -> list[dict]:
         states = self._states(name)
@@ -91,16 +98,28 @@ class TableStore:
 
     def read(self, name: str) -> DataFrame:
         """The table with its ``day`` column; the layout is declared, so no file is opened to plan a query."""
+        return self._rows_of(name, self._versions(name))
+
+    def _rows_of(self, name: str, versions: list[dict]) -> DataFrame:
         folders = [T.StructField("version", T.StringType()), T.StructField("day", T.DateType())]
         table = self.spark.read.schema(T.StructType([*STORED[name][1].fields, *folders])).parquet(self.path(name))
         counts = F.lit(False)
-        for entry in self._versions(name):
+        for entry in versions:
             valid = F.col("version") == entry["version"]
             if entry["before"] is not None:
                 valid = valid & (F.col("day") < F.lit(entry["before"]).cast("date"))
             counts = counts | valid
         return table.filter(counts).drop("version")
 
+    def _put(self, name: str, dated: DataFrame) -> str:
+        """Rows with their ``day`` as a new version, which does not count yet."""
+        time, layout = STORED[name]
+        order = ["day", "symbol", *([time] if time else []), *(["ts"] if name == "event_car" else [])]
+        laid_out = dated.select(*layout.fieldNames(), "day").hint("rebalance", "day").sortWithinPartitions(*order)
+        version = f"v{uuid.uuid4().hex}"
+        laid_out.write.partitionBy("day").parquet(f"{self.path(name)}/version={version}")
+        return version
+
     def write(self, name: str, rows: DataFrame, since: date | None = None, append: bool = False) -> None:
         """Replace the table, or with ``since`` all its days from then on, also those that have no rows any more."""
         time, layout = STORED[name]
@@ -110,11 +129,50 @@ class TableStore:
         if since is not None:
             dated = dated.filter(F.col("day") >= F.lit(since.isoformat()).cast("date"))
             kept = [e | {"before": min(e["before"] or "9999-12-31", since.isoformat())} for e in kept]
-        order = ["day", "symbol", *([time] if time else []), *(["ts"] if name == "event_car" else [])]
-        laid_out = dated.hint("rebalance", "day").sortWithinPartitions(*order)
-        version = f"v{uuid.uuid4().hex}"
-        laid_out.write.partitionBy("day").parquet(f"{self.path(name)}/version={version}")
+        version = self._put(name, dated)
+        counted = self._withdraw_counts() if name == "klines" else []
         self._commit(name, [*kept, {"version": version, "before": None}])
+        if name == "klines":
+            self._count_days(version, counted, since, append)
+        self._merge_versions(name)
+
+    def _withdraw_counts(self) -> list[dict]:
+        """From here until they are renewed no counts are there, so a write that breaks off leaves none that are wrong."""
+        counted = self._versions(BAR_DAYS) if self.exists(BAR_DAYS) else []
+        if counted:
+            self._commit(BAR_DAYS, [])
+        return counted
+
+    def _count_days(self, version: str, counted: list[dict], since: date | None, append: bool) -> None:
+        """Bars of every symbol and day that the version touches; of all days where none are counted yet."""
+        bars = self.read("klines")
+        if counted and append:
+            files, folder = self._files(f"{self.path('klines')}/version={version}")
+            days = [s.getPath().getName().removeprefix("day=") for s in files.listStatus(folder) if "day=" in s.getPath().getName()]
+            bars = bars.filter(F.col("day").isin([date.fromisoformat(d) for d in days]))
+        elif counted and since is not None:
+            bars = bars.filter(F.col("day") >= F.lit(since.isoformat()).cast("date"))
+            counted = [e | {"before": min(e["before"] or "9999-12-31", since.isoformat())} for e in counted]
+        else:
+            counted = []
+        counts = bars.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("n_bars")).withColumn("d", F.col("day"))
+        self._commit(BAR_DAYS, [*counted, {"version": self._put(BAR_DAYS, counts), "before": None}])
+        self._merge_versions(BAR_DAYS)
+
+    def bar_days(self) -> DataFrame | None:
+        """(symbol, day, n_bars) of all stored bars; days counted again have their newest, largest count."""
+        if not self.exists(BAR_DAYS):
+            return None
+        return self.read(BAR_DAYS).groupBy("symbol", "day").agg(F.max("n_bars").alias("n_bars"))
+
+    def _merge_versions(self, name: str) -> None:
+        versions = self._versions(name)
+        if len(versions) <= MOST_LIVE:
+            return
+        sizes = [table_bytes(self.spark, f"{self.path(name)}/version={e['version']}") for e in versions]
+        first = next((i for i in range(len(sizes) - 1) if sizes[i] <= sum(sizes[i + 1 :])), len(sizes) - 2)
+        merged = self._put(name, self._rows_of(name, versions[first:]))
+        self._commit(name, [*versions[:first], {"version": merged, "before": None}])
 
     def vacuum(self, name: str) -> int:
         """Delete the versions and states that no longer count; no reader planned earlier may still run."""
@@ -150,6 +208,7 @@ class TableStore:
         symbols = self.read("symbols").drop("day") if symbols is None else symbols
         if "event_markers" not in options and self.exists("event_markers"):
             options["event_markers"] = self.read("event_markers").drop("day")
+        options.setdefault("bar_days", self.bar_days())
         return Market(symbols, *[self.read(name) for name in base], **options)
 
 

@@ -82,6 +82,7 @@ STORED = {
     "funding": ("ts", FUNDING),
     "open_interest": ("ts", OPEN_INTEREST),
     "premium_index": ("ts", PREMIUM_INDEX),
+    "bar_days": ("d", _layout(*_DATED, *_long("n_bars"))),
     "minute_returns": ("ts", _layout(*_TIMED, *_double("r1m", "rv_30m"))),
     "event_markouts": ("event_ts", _layout(*_KEYED, *_double("rate", "markout_60m"), *_long("n_minutes"))),
     "event_car": ("event_ts", _layout(*_KEYED, ("ts", T.TimestampNTZType(), True), *_double("car"))),

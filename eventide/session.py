@@ -83,3 +83,13 @@ def table_bytes(spark: SparkSession, *paths: str) -> int:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         total += place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
     return total
+
+
+def input_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size of a file or folder and when it last changed, to tell whether what was derived from it still holds."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    changed = [files.getFileStatus(place).getModificationTime()]
+    if files.getFileStatus(place).isDirectory():
+        changed += [s.getModificationTime() for s in files.listStatus(place)]
+    return table_bytes(spark, path), max(changed)

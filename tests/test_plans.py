@@ -48,18 +48,20 @@ def test_bars_cross_the_network_once_for_returns_and_window_join(large):
 def test_no_pairwise_join_except_with_one_row(large, name):
     text = plan(QUERIES[name](large, FOLDER))
     assert "CartesianProduct" not in text
-    if "BroadcastNestedLoopJoin" in text:
-        assert name == "join_cross_scalar"
+    for join in re.finditer(r"BroadcastNestedLoopJoin|BroadcastExchange IdentityBroadcastMode", text):
+        if "Identity" in join[0]:  # what is paired with every row is one row: a single aggregate of all rows
+            below = text[join.end() :].split("\n")[1:4]
+            assert any(re.search(r"Aggregate\(keys=\[\]", line) for line in below), below
 
 
 def test_tiles_and_percentiles_over_all_rows_do_not_use_one_task(large):
     views = LiveViews(load_market(large, FOLDER))
     for df in (views.event_volatility(), views.vol_regime_events(), questions.low_vol_safe_symbols(views, START, END)):
         text = plan(df)
-        # The one window without partition keys runs over the partition sizes.
-        for order in re.findall(r"Window \[.*?\], \[(.*)\]", text):
-            assert "_part" in order or "symbol" in order, order
-        assert "ntile" not in text
+        # What meets in one task are counts: of ranges, steps, and the few values of one step.
+        for below in re.findall(r"Exchange SinglePartition[^\n]*\n([^\n]*\n[^\n]*)", text):
+            assert "HashAggregate" in below, below
+        assert "ntile" not in text and not re.search(r"rangepartitioning\(rv_", text) and "InMemoryTableScan" not in text
 
 
 def test_a_range_reaches_the_scan_of_the_log(large):
@@ -108,3 +110,43 @@ def test_scan_reads_only_what_is_needed(large):
     text = plan(LiveViews(load_market(large, FOLDER)).funding().filter("symbol = 'click'"))
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in text
     assert "EqualTo(event_type,click)" in text
+
+
+def test_live_returns_prune_older_days_while_they_run(large, tmp_path):
+    """Every scan of the bars is cut by day: by the range itself, or by the days that hold lead-in rows."""
+    store = TableStore(large, str(tmp_path))
+    market = load_market(large, FOLDER)
+    for name in ("klines", "funding", "open_interest", "premium_index"):
+        store.write(name, getattr(market, name))
+    views = LiveViews(store.market(market.symbols))
+    context = large.sparkContext
+    large.conf.set("spark.sql.maxMetadataStringLength", "3000")
+    context.setJobGroup("pruning", "planned, not run")
+    try:
+        question = questions.hourly_markouts(views, "2024-01-10", "2024-01-12")
+        text = plan(question)
+        assert list(context.statusTracker().getJobIdsForGroup("pruning")) == []
+    finally:
+        large.conf.unset("spark.sql.maxMetadataStringLength")
+        context.setLocalProperty("spark.jobGroup.id", None)
+    scans = [line for line in text.splitlines() if "FileScan" in line and "close_price" in line]
+    filters = [re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", line)[1] for line in scans]
+    assert len(filters) >= 3 and all("dynamicpruningexpression(day" in f or "day#" in f and ">= 2024-01-10" in f for f in filters), filters
+    assert any("dynamicpruningexpression(day" in f for f in filters)
+    read = _files_read(large, question)
+    assert read < _files_read(large, questions.hourly_markouts(LiveViews(store.market(market.symbols, bar_days=None)), "2024-01-10", "2024-01-12"))
+
+
+def _files_read(spark, df) -> int:
+    """Files that the scans of bars opened when the query ran."""
+    execution = df._jdf.queryExecution()
+    execution.executedPlan().executeCollect()
+    found = 0
+    pending = [execution.executedPlan()]
+    while pending:
+        node = pending.pop()
+        if node.nodeName().startswith("Scan parquet") and "close_price" in node.simpleString(100):
+            found += node.metrics().apply("numFiles").value()
+        children = node.children()
+        pending += [children.apply(i) for i in range(children.size())]
+    return found

@@ -172,7 +172,8 @@ def test_summaries_of_small_results(spark):
     assert rows(summaries.regime_summary(regimes)) == [(pytest.approx(0.000125), 26, 2, 2)]
     assert rows(summaries.regime_summary(regimes.limit(0))) == [(0.0, 0, 0, 0)]
     board = spark.createDataFrame([(f"S{i:02d}", 100 - i) for i in range(30)], "symbol string, n bigint")
-    top = rows(summaries.leaderboard(board, "n"), "place")
+    assert len(rows(summaries.leaderboard(board, "n"))) == 30  # uncut unless asked
+    top = rows(summaries.leaderboard(board, "n", rows=20), "place")
     assert len(top) == 20 and top[1] == ("S01", 99, 2, pytest.approx(99.0))
 
 

@@ -30,19 +30,19 @@ def test_tiles_equal_ntile(spark, keys, tiles):
     df = sample(spark)
     window = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*ORDER())
     expected = rows(df.select("k", F.ntile(tiles).over(window).cast("bigint")), "k")
-    assert rows(ranking.tile(df, tiles, ORDER(), keys, "tile").select("k", "tile"), "k") == expected
+    assert rows(ranking.tile(df, tiles, "v", ["k"], keys, "tile").select("k", "tile"), "k") == expected
 
 
 @pytest.mark.parametrize("keys", [(), ("g",)])
 def test_fewer_rows_than_tiles(spark, keys):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(6)], SCHEMA)
-    assert [r[0] for r in rows(ranking.tile(df, 10, ORDER(), keys, "tile").select("tile"), "tile")] == [1, 2, 3, 4, 5, 6]
-    assert ranking.tile(df.limit(0), 10, ORDER(), keys, "tile").count() == 0
+    assert [r[0] for r in rows(ranking.tile(df, 10, "v", ["k"], keys, "tile").select("tile"), "tile")] == [1, 2, 3, 4, 5, 6]
+    assert ranking.tile(df.limit(0), 10, "v", ["k"], keys, "tile").count() == 0
 
 
 def test_nulls_go_to_the_last_tile(spark):
     df = spark.createDataFrame([("a", i, None if i < 2 else float(i)) for i in range(6)], SCHEMA)
-    tiled = dict(rows(ranking.tile(df, 3, ORDER(), (), "tile").select("k", "tile")))
+    tiled = dict(rows(ranking.tile(df, 3, "v", ["k"], (), "tile").select("k", "tile")))
     assert tiled == {2: 1, 3: 1, 4: 2, 5: 2, 0: 3, 1: 3}
 
 
@@ -78,7 +78,30 @@ def test_percentile_of_nothing_is_null(spark):
     assert rows(ranking.exact_percentile(df.limit(0), "v", 0.5, (), "p")) == [(None,)]
 
 
-def test_positions_cover_all_rows(spark):
-    ranked = ranking.rank_rows(sample(spark, seed=9), ORDER())
-    found = rows(ranked.agg(F.min("_ix"), F.max("_ix"), F.countDistinct("_ix"), F.first("_n")))
-    assert found == [(0, 2999, 3000, 3000)]
+@pytest.mark.parametrize("tiles", [2, 3, 7])
+def test_borders_inside_equal_values(spark, tiles):
+    """Ties of values, NaN and NULL over several tie columns, one of them hot."""
+    draw = random.Random(tiles)
+    values = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -1e300, 2.5]
+    data = [("hot" if draw.random() < 0.5 else draw.choice("abc"), k, draw.choice(values)) for k in range(700)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    order = Window.partitionBy().orderBy(F.col("v").asc_nulls_last(), "g", "k")
+    expected = rows(df.select("k", F.ntile(tiles).over(order).cast("bigint")), "k")
+    assert rows(ranking.tile(df, tiles, "v", ["g", "k"], (), "tile").select("k", "tile"), "k") == expected
+
+
+def test_values_at_positions(spark):
+    draw = random.Random(9)
+    values = sorted(draw.choice([draw.gauss(0, 1), draw.uniform(1e-3, 1.001e-3), 4.0]) for _ in range(2000))
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], SCHEMA).repartition(7)
+    asked = [0, 1, 600, 1000, 1999, 2000]
+    found = rows(ranking.values_at(df, "v", lambda total: F.array(*[F.lit(k).cast("bigint") for k in asked])), "_k")
+    assert found == [(k, 2000, values[k], values.index(values[k])) for k in asked if k < 2000]
+
+
+def test_nothing_is_sorted_or_stored(spark):
+    df = sample(spark)
+    for result in (ranking.tile(df, 3, "v", ["k"]), ranking.with_percentile(df, "v", 0.5, "p")):
+        text = result._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" not in text and "RepartitionByExpression" not in text and not any(
+            line.lstrip("+-: ").startswith("Sort ") for line in text.splitlines())
