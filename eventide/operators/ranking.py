@@ -3,12 +3,12 @@
 Groups here are bounded by the calendar: a day holds at most one print per symbol and point of its time grid, a symbol and
 day at most one per point. They use Spark's own window and aggregate functions.
 
-Over all rows nothing bounds the group, so it is never sorted. Wanted positions are found by histograms that are refined:
-rows are counted by ranges of the value (buckets of its logarithm, so that they suit any scale), the running count
-tells which range holds each position, only that range is counted again by fine steps, and only the values of one step
-one by one. A few thousand counts, not rows, meet in one task; the values left in the last round are about a twenty
-millionth of evenly spread ones. Where equal values straddle the border between two tiles, the rows with that value are counted by the
-columns that break the tie. Tiles and percentiles are then a comparison of each row with a few cut rows. Nothing is stored,
+Over all rows nothing bounds the group, so it is never sorted. A wanted position is found by counting twice. The first pass
+is a quantile sketch: a bounded summary that tells between which two values the position must lie, to within a few
+ten-thousandths of the rows. The second counts everything outside these ranges as a whole and the values inside one by one;
+their running count holds the exact value. So of n rows the counts of a thousandth or so meet in one task, and equal values,
+however many, as one count. Where equal values straddle the border between two tiles, they are counted by the columns
+that break the tie. Tiles and percentiles are then a comparison of each row with a few cut rows. Nothing is stored,
 and building a result starts no job.
 """
 
@@ -18,10 +18,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-LOG_STEPS = 1000  # ranges for every factor of e
-FINE_STEPS = 4096
-# Fixed places of what has no logarithm, outside those of all numbers (below 2e6 either way).
-_INFINITE, _NAN, _NULL = 3_000_000, 4_000_000, 5_000_000
+ACCURACY = 10_000  # the sketch is off by at most a ten-thousandth of the rows
+MARGIN = 4 / ACCURACY
+FEW = 20_000  # up to so many rows the margin is less than a few of them, and all are counted one by one
 
 
 def interpolate(low, high, position, floor, ceil):
@@ -29,50 +28,48 @@ def interpolate(low, high, position, floor, ceil):
     return (ceil - position) * low + (position - floor) * high
 
 
-def _range_of(value: Column) -> Column:
-    """Number of the range a value lies in; grows with the value, NaN and then NULL last."""
-    scale = F.floor(F.log(F.abs(value)) * LOG_STEPS) + 1_000_000
-    infinite = F.abs(value) == F.lit(float("inf"))
-    size = F.when(value == 0, F.lit(0)).when(infinite, F.lit(_INFINITE)).otherwise(scale)
-    return F.when(value.isNull(), F.lit(_NULL)).when(F.isnan(value), F.lit(_NAN)).when(value < 0, -size).otherwise(size).cast("bigint")
+def _proxy(value: Column) -> Column:
+    """What the sketch sees: NaN and NULL as infinity, which they follow."""
+    return F.when(value.isNull() | F.isnan(value), F.lit(float("inf"))).otherwise(value)
 
 
-def _step_of(value: Column, low: Column, high: Column) -> Column:
-    """Number of the fine step between the lowest and highest value of a range."""
-    return F.when(low < high, F.floor((value - low) / (high - low) * FINE_STEPS)).otherwise(F.lit(0)).cast("bigint")
+def _kind(value: Column) -> Column:
+    """0 for numbers, 1 for NaN, 2 for NULL: their order among equal proxies."""
+    return F.when(value.isNull(), F.lit(2)).when(F.isnan(value), F.lit(1)).otherwise(F.lit(0))
 
 
-def _holding(counts: DataFrame, order: str, keys: Sequence[str], before: Column | None = None) -> DataFrame:
-    """With ``_before``, the rows counted in earlier ranges; of each position only the range that holds it."""
-    run = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("_n").over(run), F.lit(0))
-    placed = counts.withColumn("_before", earlier if before is None else before + earlier)
-    return placed.filter((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_n")))
-
-
-def values_at(df: DataFrame, value: str, positions: Callable[[Column], Column]) -> DataFrame:
-    """(_k, _total, _value, _before): the value at each wanted position of the ascending order (from 0), and how many rows
-    come before the first of equal ones.
+def values_at(
+    df: DataFrame, value: str, shares: Sequence[float], positions: Callable[[Column], Column], ties: Sequence[str] = ()
+) -> DataFrame:
+    """(_k, _total, _value, ties..., _before): the row at each wanted position (from 0) of the order by ``value`` (NaN and
+    then NULL last) and ``ties``, and how many rows come before the first with the same of these.
 
-    ``positions`` turns the number of rows into an array of positions; those beyond the last row give nothing.
+    ``positions`` turns the number of rows into an array of positions near ``shares`` of them; those beyond the last row give
+    nothing.
     """
-    distinct = df.select(F.col(value).cast("double").alias("_value")).groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
-    distinct = distinct.withColumn("_range", _range_of(F.col("_value")))
-    ranges = distinct.groupBy("_range").agg(F.sum("_n").alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
-    ranges = ranges.withColumn("_total", F.sum("_n").over(Window.partitionBy()))
-    ranges = ranges.withColumn("_before", F.coalesce(
-        F.sum("_n").over(Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    ))
-    own = F.filter(positions(F.col("_total")), lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")))
-    chosen = F.broadcast(ranges.select("_range", "_total", "_low", "_high", "_before", F.explode(own).alias("_k")))  # a row per position
-    held = ["_k", "_total", "_range", "_low", "_high", "_start"]
-    step = _step_of(F.col("_value"), F.col("_low"), F.col("_high"))
-    inside = distinct.join(chosen.withColumnRenamed("_before", "_start"), "_range").withColumn("_step", step)
-    steps = inside.groupBy(*held, "_step").agg(F.sum("_n").alias("_n"))
-    fine = _holding(steps, "_step", held, F.col("_start")).select("_k", "_total", "_range", "_low", "_high", "_step", F.col("_before").alias("_start"))
-    left = distinct.join(F.broadcast(fine), "_range").filter(step == F.col("_step"))
-    found = _holding(left.select("_k", "_total", "_start", "_value", "_n"), "_value", ["_k", "_total", "_start"], F.col("_start"))
-    return found.select("_k", "_total", "_value", "_before")
+    number = F.col(value).cast("double")
+    rows = df.select(number.alias("_value"), _proxy(number).alias("_u"), *[F.col(c).alias(f"_tie_{c}") for c in ties])
+    bounds = [min(max(share + side * MARGIN, 0.0), 1.0) for share in sorted(shares) for side in (-1, 1)]
+    sketch = F.percentile_approx("_u", F.array(*[F.lit(b) for b in bounds]), F.lit(ACCURACY))
+    summary = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_total"), sketch.alias("_bounds")))  # one row
+    u, bound = F.col("_u"), lambda i: F.get("_bounds", F.lit(i))
+    between = [(bound(2 * i) <= u) & (u <= bound(2 * i + 1)) for i in range(len(shares))]
+    beyond = sum(((bound(2 * i + 1) < u).cast("int") for i in range(len(shares))), F.lit(0))
+    placed = rows.crossJoin(summary).withColumn("_inside", (F.col("_total") <= FEW) | F.greatest(*between, F.lit(False)))
+    own = ["_value", *[f"_tie_{c}" for c in ties]]
+    counts = (
+        placed.withColumn("_gap", F.when(~F.col("_inside"), beyond))
+        .withColumns({c: F.when(F.col("_inside"), F.col(c)) for c in own})
+        .withColumn("_order", F.when(F.col("_inside"), _kind(F.col("_value"))).otherwise(F.lit(0)))
+        .groupBy("_total", "_inside", "_gap", "_order", *own).agg(F.count(F.lit(1)).alias("_n"), F.min("_u").alias("_u"))
+    )
+    run = Window.partitionBy().orderBy("_u", "_order", *own).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0)))
+    held = F.filter(positions(F.col("_total")), lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")))
+    sure = F.when(F.col("_inside"), held).otherwise(
+        F.when(F.size(held) > 0, F.raise_error(F.lit("a position lies outside its range"))).otherwise(held)
+    )
+    return ranked.select(F.explode(sure).alias("_k"), "_total", *own, "_before")
 
 
 def _borders(total: Column, tiles: int) -> Column:
@@ -81,27 +78,17 @@ def _borders(total: Column, tiles: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(tiles - 1)), lambda j: j * small + F.least(j, total % tiles))
 
 
-def _same(left: str, right: str) -> Column:
-    return F.col(left).eqNullSafe(F.col(right))
-
-
-def _tied_cuts(df: DataFrame, cuts: DataFrame, value: str, ties: Sequence[str]) -> DataFrame:
-    """The cuts with the first row's tie columns, where rows with the cut's value also come before it.
-
-    The columns are counted one after the other, each only where all before it equal the cut's. The window runs over the
-    distinct values of one column, a row for each.
-    """
-    rows = df.select(F.col(value).cast("double").alias("_of"), *[F.col(c).alias(f"_own_{c}") for c in ties])
-    cut = cuts.select("_k", "_value", "_before")
-    for i, column in enumerate(ties):
-        equal = _same("_of", "_value")
-        for done in ties[:i]:
-            equal = equal & _same(f"_own_{done}", f"_cut_{done}")
-        keys = ["_k", "_value", "_start", *[f"_cut_{c}" for c in ties[:i]]]
-        wanted = F.broadcast(cut.withColumnRenamed("_before", "_start"))  # a row per border
-        counts = rows.join(wanted, equal).groupBy(*keys, F.col(f"_own_{column}").alias(f"_cut_{column}")).agg(F.count(F.lit(1)).alias("_n"))
-        cut = _holding(counts, f"_cut_{column}", keys, F.col("_start")).drop("_start", "_n")
-    return cut
+def _cut_rows(df: DataFrame, value: str, ties: Sequence[str], tiles: int) -> DataFrame:
+    """(_value, _tie_...): the first row of every tile but the first. Rows that only the last tie column tells apart, such
+    as the times of one symbol, are numbered in one task."""
+    *groups, last = ties
+    found = values_at(df, value, [j / tiles for j in range(1, tiles)], lambda total: _borders(total, tiles), groups)
+    own = {"_value": F.col(value).cast("double"), **{f"_tie_{c}": F.col(c) for c in groups}}
+    rows = df.select(*[c.alias(f"_own{n}") for n, c in own.items()], F.col(last).alias(f"_tie_{last}"))
+    same = [F.col(f"_own{n}").eqNullSafe(F.col(n)) for n in own]
+    number = F.row_number().over(Window.partitionBy("_k").orderBy(f"_tie_{last}"))
+    tied = rows.join(F.broadcast(found), same).withColumn("_place", F.col("_before") + number - 1)  # a row per border
+    return tied.filter("_place = _k").select(*own, f"_tie_{last}")
 
 
 def tile(df: DataFrame, tiles: int, value: str, ties: Sequence[str], keys: Sequence[str] = (), name: str = "tile") -> DataFrame:
@@ -113,22 +100,23 @@ def tile(df: DataFrame, tiles: int, value: str, ties: Sequence[str], keys: Seque
     order = [F.col(value).asc_nulls_last(), *[F.col(c).asc() for c in ties]]
     if keys:
         return df.withColumn(name, F.ntile(tiles).over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    cuts = _tied_cuts(df, values_at(df, value, lambda total: _borders(total, tiles)), value, ties)
-    place = F.struct("_range", "_value", *[f"_cut_{c}" for c in ties])
-    listed = cuts.withColumn("_range", _range_of(F.col("_value"))).agg(F.collect_list(place).alias("_cuts"))  # one row, a cut per border
-    own = F.struct(
-        _range_of(F.col(value)).alias("_range"), F.col(value).cast("double").alias("_value"), *[F.col(c).alias(f"_cut_{c}") for c in ties]
+    # Structs compare field by field, NaN as the largest number; the first field puts NULL after it.
+    place = lambda number, tie: F.struct(
+        number.isNull().alias("no_value"), number.alias("value"), *[tie(c).alias(c) for c in ties]
+    )
+    cuts = _cut_rows(df, value, ties, tiles).agg(  # one row, a cut per border
+        F.collect_list(place(F.col("_value"), lambda c: F.col(f"_tie_{c}"))).alias("_cuts")
     )
-    # Ranges order NULL last; structs compare field by field, NaN as the largest number.
+    own = place(F.col(value).cast("double"), F.col)
     passed = F.size(F.filter("_cuts", lambda cut: cut <= own))
-    return df.crossJoin(F.broadcast(listed)).withColumn(name, (passed + 1).cast("bigint")).drop("_cuts")
+    return df.crossJoin(F.broadcast(cuts)).withColumn(name, (passed + 1).cast("bigint")).drop("_cuts")
 
 
 def _overall_percentile(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
     """One row; NULL if there is no value."""
     position = lambda total: (total - 1) * F.lit(share)
     both = lambda total: F.array_distinct(F.array(F.floor(position(total)), F.ceil(position(total))))
-    found = values_at(df.filter(F.col(value).isNotNull()), value, both).withColumn("_at", position(F.col("_total")))
+    found = values_at(df.filter(F.col(value).isNotNull()), value, [share], both).withColumn("_at", position(F.col("_total")))
     at_end = lambda side: F.max(F.when(F.col("_k") == side("_at"), F.col("_value")))
     ends = found.agg(at_end(F.floor).alias("_low"), at_end(F.ceil).alias("_high"), F.max("_at").alias("_at"))
     low, high, at = F.col("_low"), F.col("_high"), F.col("_at")

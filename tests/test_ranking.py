@@ -95,10 +95,27 @@ def test_values_at_positions(spark):
     values = sorted(draw.choice([draw.gauss(0, 1), draw.uniform(1e-3, 1.001e-3), 4.0]) for _ in range(2000))
     df = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], SCHEMA).repartition(7)
     asked = [0, 1, 600, 1000, 1999, 2000]
-    found = rows(ranking.values_at(df, "v", lambda total: F.array(*[F.lit(k).cast("bigint") for k in asked])), "_k")
+    found = rows(ranking.values_at(df, "v", [0.5], lambda total: F.array(*[F.lit(k).cast("bigint") for k in asked])), "_k")
     assert found == [(k, 2000, values[k], values.index(values[k])) for k in asked if k < 2000]
 
 
+@pytest.mark.parametrize("shape", ["even", "ties", "nulls", "narrow"])
+def test_many_rows_are_cut_by_the_sketch(spark, shape):
+    """More rows than are counted one by one: most are outside the ranges, and the values are still exact."""
+    value = {
+        "even": "rand(1)", "ties": "IF(rand(1) < 0.4, 7D, rand(2) * 20 - 5)", "nulls": "IF(rand(1) < 0.5, NULL, IF(rand(2) < 0.3, double('nan'), rand(3)))",
+        "narrow": "1 + rand(1) * 1e-9",
+    }[shape]
+    df = spark.range(0, 90_000, 1, 6).selectExpr("concat('s', hash(id) % 7) AS g", "CAST(id AS int) AS k", f"{value} AS v").cache()
+    order = Window.partitionBy().orderBy(F.col("v").asc_nulls_last(), "g", "k")
+    expected = df.select("k", F.ntile(3).over(order).cast("bigint").alias("t"))
+    tiled = ranking.tile(df, 3, "v", ["g", "k"], (), "tile").select("k", "tile")
+    assert expected.exceptAll(tiled).count() == 0
+    own = df.agg(F.percentile("v", F.lit(0.5))).collect()[0][0]
+    assert repr(ranking.exact_percentile(df, "v", 0.5, (), "p").collect()[0].p) == repr(own)
+    df.unpersist()
+
+
 def test_nothing_is_sorted_or_stored(spark):
     df = sample(spark)
     for result in (ranking.tile(df, 3, "v", ["k"]), ranking.with_percentile(df, "v", 0.5, "p")):
