@@ -1,15 +1,18 @@
 """URL filtering by given host and path rules and by association rules mined from labelled pages.
 
 A given rule is a host and a path prefix; it fits the host and its subdomains, and the longest fitting rule decides. Urls
-that no rule fits are judged by rules that Spark's FP-growth mines from the labelled pages: a page's tokens (host suffixes
-and words, path segments, query names) form a basket, with one more item if the page is labelled bad. Itemsets must be
-on ``MIN_COUNT`` bad pages, however many pages are labelled, rules that imply "bad" must be confident and clearly above the share of bad pages, and a rule is dropped if a
-shorter one that it contains is as confident. Rules are found again through an inverted index: each is filed under its
-rarest token, urls look up their tokens there and must hold all of a rule's tokens.
+that no rule fits are judged by rules mined from the labelled pages: a page's tokens (host suffixes
+and words, path segments, query names) form a basket. Tokens on exactly the same labelled pages are one item, named by the first
+of them, and a page has an item if it has any of its tokens. Spark's FP-growth mines the baskets of the bad pages alone for the
+sets of items that at least ``MIN_COUNT`` of them share, however many pages are labelled. An inverted index, which files each set under its
+rarest item, then counts the labelled pages that hold it, good ones too. Sets that imply "bad" confidently and clearly above
+the share of bad pages are rules; one that contains another as confident is dropped. Urls find their rules through the same
+kind of index and must hold all of a rule's items.
 
 Without enough labelled pages there are no mined rules, and urls without a given rule are allowed. A null url, or one
 without ``://``, has an empty host and path and no tokens. Null ids and labels stay; several labels of one page each count
-as a basket. Repeated rows get a row each. All steps are DataFrame functions; FP-growth runs in the JVM.
+as a basket. Repeated rows get a row each. Very long urls are read whole; their tokens are as many as their parts. Other
+columns, whatever their names, are left out. All steps are DataFrame functions; FP-growth runs in the JVM.
 """
 
 from __future__ import annotations
@@ -19,11 +22,9 @@ from dataclasses import dataclass
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_ascii, small, written
+from .common import lower_ascii, written
 
-BAD = "label=bad"
-MIN_SUPPORT = 0.0  # no share of the labelled pages is asked for: it would hide small hosts in large tables
-MIN_COUNT = 10  # bad labelled pages that hold a rule's tokens
+MIN_COUNT = 10  # bad labelled pages that hold a rule's items; no share is asked for: it would hide small hosts in large tables
 MIN_CONFIDENCE = 0.8
 MIN_LIFT = 1.5
 BROADCAST_ROWS = 1_000_000  # counted before a broadcast; a rule is a few short strings
@@ -72,8 +73,20 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(every)
 
 
-def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rules that imply a bad page: tokens, n_tokens, support (pages), confidence, anchor (the rarest token)."""
+RULES = "items array<string>, n_items int, support bigint, confidence double, anchor string"
+MEMBERS = "token string, item string"
+
+
+def _held_by(baskets: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of a basket (basket, items) and a set (set, anchor, n_items) whose items it holds, met by the set's anchor."""
+    sets = F.broadcast(sets) if sets.count() <= BROADCAST_ROWS else sets
+    met = baskets.select("basket", "items", F.explode("items").alias("anchor")).join(sets, "anchor")
+    return met.filter(F.size(F.array_intersect("set", "items")) == F.col("n_items"))
+
+
+def mine(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules that imply a bad page (items, n_items, support in bad pages, confidence, anchor: the rarest item), and the
+    tokens that stand for each of their items (token, item)."""
     spark = pages.sparkSession
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
     marked = labels.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), bad.alias("bad"))
@@ -83,75 +96,70 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
         ), "baskets"
     )
     total = labelled.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).collect()[0]
-    nothing = spark.createDataFrame([], "tokens array<string>, n_tokens int, support bigint, confidence double, anchor string")
+    nothing = spark.createDataFrame([], RULES), spark.createDataFrame([], MEMBERS)
     if total["bad"] < MIN_COUNT:
         return nothing
-    # Two steps that change no rule keep the baskets thin. A token on too few bad pages is in no rule. Tokens on exactly the
-    # same pages (two hashes over them agree) are one item: a rule with two of them holds a shorter one that is as confident,
-    # and a rule with one of them stands for the same rule with each other.
+    # A token on too few bad pages is in no rule. Tokens on exactly the same pages (two hashes over them agree) are one item:
+    # a set with two of them is as frequent as with one.
     held = labelled.select("basket", "bad", F.explode("tokens").alias("token"))
     same = [F.bit_xor(F.xxhash64("basket")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "basket")).alias("h2")]
     frequent = written(
         held.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.count_if("bad").alias("bad"), *same).filter(F.col("bad") >= MIN_COUNT), "tokens"
     )
-    classes = written(
-        frequent.groupBy("held", "h1", "h2").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("members")), "items"
-    )
-    item = small(classes.select("item"))
-    baskets = written(
-        held.join(item, F.col("token") == F.col("item")).groupBy("basket").agg(F.first("bad").alias("bad"), F.collect_list("item").alias("items")).select(
-            F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")
+    items = written(frequent.groupBy("held", "h1", "h2").agg(F.min("token").alias("item")), "items")
+    thin = written(
+        held.join(items.select("item"), F.col("token") == F.col("item")).groupBy("basket").agg(
+            F.first("bad").alias("bad"), F.collect_list("item").alias("items")
         ), "thin-baskets"
     )
-    n = baskets.count()
+    bad_baskets = thin.filter("bad").select("items")
+    n = bad_baskets.count()
     if not n:
         return nothing
     model = FPGrowth(
-        itemsCol="items", minSupport=max(MIN_SUPPORT, (MIN_COUNT - 0.5) / n), minConfidence=0.0,  # rounded up to MIN_COUNT pages
+        itemsCol="items", minSupport=(MIN_COUNT - 0.5) / n, minConfidence=0.0,  # rounded up to MIN_COUNT pages
         numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")),
-    ).fit(baskets)
-    itemsets = written(model.freqItemsets, "itemsets")
-    with_bad = itemsets.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(
-        F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("support")
+    ).fit(bad_baskets)
+    found = model.freqItemsets.select(F.array_sort("items").alias("set"), F.col("freq").alias("support"))
+    rarest = found.select("set", "support", F.explode("set").alias("item")).join(items.select("item", "held"), "item")
+    sets = written(
+        rarest.groupBy("set").agg(
+            F.max("support").alias("support"), F.min("held").alias("least"), F.min_by("item", F.struct("held", "item")).alias("anchor")
+        ).withColumn("n_items", F.size("set")), "item-sets"
     )
-    alone = itemsets.filter(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("held"))
-    share = total["bad"] / total["n"]
+    # A set of one item is held by the item's pages; no set is held by more pages than its rarest item.
+    share = max(MIN_CONFIDENCE, MIN_LIFT * total["bad"] / total["n"])
+    counted = _held_by(thin, sets.filter("n_items > 1").select("set", "anchor", "n_items")).groupBy("set").agg(F.count(F.lit(1)).alias("pages"))
     sure = written(
-        with_bad.join(alone, "tokens").withColumn("confidence", F.col("support") / F.col("held")).filter(
-            (F.col("confidence") >= MIN_CONFIDENCE) & (F.col("confidence") >= MIN_LIFT * share)
-        ).drop("held"), "rules"
-    )
-    # A rule is needless if one of the same or higher confidence needs one or more of its tokens less. Going down one
-    # token at a time is not enough, since a step between may be less confident, so all shorter rules are looked up by a token.
-    shorter = sure.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"), F.get("tokens", F.lit(0)).alias("token"))
-    needless = sure.select("tokens", "confidence", F.explode("tokens").alias("token")).join(shorter, "token").filter(
-        (F.size("part") < F.size("tokens")) & (F.col("part_confidence") >= F.col("confidence"))
-        & (F.size(F.array_intersect("part", "tokens")) == F.size("part"))
-    ).select("tokens").distinct()
-    kept = sure.join(needless, "tokens", "left_anti")
-    members = kept.select("tokens", "support", "confidence", F.explode("tokens").alias("item")).join(classes.select("item", "members"), "item")
-    lists = members.groupBy("tokens", "support", "confidence").agg(F.collect_list("members").alias("lists"))
-    ways = F.aggregate(
-        "lists", F.expr("array(cast(array() AS array<string>))"),
-        lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda t: F.concat(d, F.array(t))))),
-    )
-    rules = written(lists.select(F.explode(ways).alias("tokens"), "support", "confidence").withColumn("tokens", F.array_sort("tokens")), "all-rules")
-    anchors = rules.select("tokens", F.explode("tokens").alias("token")).join(frequent.select("token", "held"), "token").groupBy("tokens").agg(
-        F.min_by("token", F.struct("held", "token")).alias("anchor")
+        sets.join(counted, "set", "left").withColumn("confidence", F.col("support") / F.coalesce("pages", "least")).filter(
+            F.col("confidence") >= share
+        ).select("set", "support", "confidence", "anchor", "n_items"), "rules"
     )
-    return rules.join(anchors, "tokens").select("tokens", F.size("tokens").alias("n_tokens"), "support", "confidence", "anchor")
+    # A rule is needless if one of the same or higher confidence needs only some of its items. Going down one
+    # item at a time is not enough, since a step between may be less confident, so shorter rules are looked up by their anchors.
+    shorter = sure.select(F.col("set").alias("part"), F.col("confidence").alias("part_confidence"), F.col("anchor").alias("item"))
+    needless = sure.select("set", "confidence", F.explode("set").alias("item")).join(shorter, "item").filter(
+        (F.size("part") < F.size("set")) & (F.col("part_confidence") >= F.col("confidence"))
+        & (F.size(F.array_intersect("part", "set")) == F.size("part"))
+    ).select("set").distinct()
+    rules = written(sure.join(needless, "set", "left_anti").select(F.col("set").alias("items"), "n_items", "support", "confidence", "anchor"), "kept-rules")
+    used = rules.select(F.explode("items").alias("item")).distinct()
+    named = items.join(used, "item").select("held", "h1", "h2", "item")
+    return rules, frequent.join(named, ["held", "h1", "h2"]).select("token", "item")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule]) -> DataFrame:
-    """page_id, url, host, path, rule, verdict, mined (tokens of the surest mined rule that fits) of every row."""
-    mined = written(mine(pages, labels), "mined-rules")
-    urls = pages.select(F.col("url").alias("_url")).filter("_url IS NOT NULL").distinct().select("_url", tokens(F.col("_url")).alias("held"))
-    postings = mined.select(F.col("anchor").alias("token"), "tokens", "n_tokens", "confidence")
-    postings = F.broadcast(postings) if mined.count() <= BROADCAST_ROWS else postings
-    matched = urls.select("_url", "held", F.explode("held").alias("token")).join(postings, "token").filter(
-        F.size(F.array_intersect("tokens", "held")) == F.col("n_tokens")
+    """page_id, url, host, path, rule, verdict, mined (items of the surest mined rule that fits) of every row."""
+    rules_mined, members = mine(pages, labels)
+    rules_mined, members = written(rules_mined, "mined-rules"), written(members, "members")
+    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    urls = pages.select(F.col("url").alias("basket")).filter("basket IS NOT NULL").distinct()
+    held = urls.select("basket", F.explode(tokens(F.col("basket"))).alias("token")).join(members, "token")
+    baskets = held.groupBy("basket").agg(F.collect_set("item").alias("items"))
+    fitting = _held_by(baskets, rules_mined.select(F.col("items").alias("set"), "anchor", "n_items", "confidence"))
+    surest = fitting.groupBy("basket").agg(F.max(F.struct("confidence", "set")).alias("best")).select(
+        F.col("basket").alias("_url"), F.col("best.set").alias("mined")
     )
-    surest = matched.groupBy("_url").agg(F.max(F.struct("confidence", "tokens")).alias("best")).select("_url", F.col("best.tokens").alias("mined"))
     host, path = F.col("host"), F.col("path")
     by_length = sorted(rules, key=lambda r: (-len(r.text), r.text))
     found = F.coalesce(*[F.when(r.fits(host, path), F.lit(r.text)) for r in by_length], F.lit(None).cast("string"))

@@ -2,7 +2,7 @@
 
 import random
 import re
-from itertools import combinations
+from itertools import combinations, product
 
 import pytest
 
@@ -59,7 +59,7 @@ def test_tokens(spark):
 def plain_rules(baskets):
     """All confident token sets, without those that contain another as confident."""
     n, bad = len(baskets), sum(b for _, b in baskets)
-    least = max(u.MIN_SUPPORT * n, u.MIN_COUNT)
+    least = u.MIN_COUNT
     if bad < u.MIN_COUNT:
         return {}
     counts, bads = {}, {}
@@ -75,6 +75,15 @@ def plain_rules(baskets):
     }
 
 
+def expanded(mined):
+    """Rules over tokens: each item written out as any of the tokens that stand for it."""
+    rules, members = mined
+    tokens = {}
+    for r in members.collect():
+        tokens.setdefault(r.item, []).append(r.token)
+    return {tuple(sorted(way)): r for r in rules.collect() for way in product(*(tokens[i] for i in r["items"]))}
+
+
 @pytest.mark.parametrize("seed, broadcast", [(1, 10**6), (2, 0)])
 def test_mined_rules(spark, seed, broadcast, monkeypatch):
     monkeypatch.setattr(u, "BROADCAST_ROWS", broadcast)
@@ -97,9 +106,9 @@ def test_mined_rules(spark, seed, broadcast, monkeypatch):
     wanted = plain_rules(baskets)
     assert wanted
     pages, marks = _pages(spark, urls), _labels(spark, labels)
-    found = {tuple(r.tokens): r for r in u.mine(pages, marks).collect()}
+    found = expanded(u.mine(pages, marks))
     assert found.keys() == wanted.keys()
-    assert all(r.confidence == pytest.approx(wanted[c]) and r.anchor in c for c, r in found.items())
+    assert all(r.confidence == pytest.approx(wanted[c]) and r.anchor in r["items"] for c, r in found.items())
     judged = u.judge(pages, marks, RULES).collect()
     assert len(judged) == len(urls)
     for r in judged:
@@ -111,9 +120,9 @@ def test_small_hosts_are_mined_in_large_tables(spark):
     urls = [(i, f"http://{'small.bad' if i < 15 else f'h{i % 40}.good'}.net/{i}") for i in range(20_000)]
     pages = _pages(spark, urls)
     labels = _labels(spark, [(i, int(i >= 15 and i % 7 > 0), 0) for i, _ in urls])
-    found = u.mine(pages, labels).collect()
-    assert {tuple(r.tokens) for r in found} == {(t,) for t in ("host=bad.net", "host=small.bad.net", "word=bad", "word=small")}
-    assert {(r.support, r.confidence, r.n_tokens, r.anchor == r.tokens[0]) for r in found} == {(15, 1.0, 1, True)}
+    found = expanded(u.mine(pages, labels))
+    assert found.keys() == {(t,) for t in ("host=bad.net", "host=small.bad.net", "word=bad", "word=small")}
+    assert {(r.support, r.confidence, r.n_items, r.anchor) for r in found.values()} == {(15, 1.0, 1, "host=bad.net")}
     blocked = u.judge(pages, labels, RULES).filter("verdict = 'block'").collect()
     assert {r.page_id for r in blocked} == set(range(15))
 
@@ -124,3 +133,25 @@ def test_empty_tables_and_plan(spark):
     judged = u.judge(pages, labels.limit(0), [])
     assert [(r.rule, r.verdict) for r in judged.collect()] == [(None, "allow")]
     assert not re.search("Python|Pandas|Arrow", judged._jdf.queryExecution().executedPlan().toString())
+
+
+def test_tokens_that_always_come_together_make_no_products(spark):
+    """Three groups of 5, 20 and 50 path segments; a page is bad if it has all three."""
+    groups = [[f"{'pqr'[k]}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)] for k, n in enumerate((5, 20, 50))]
+    has = lambda i: [bool(i & 1), bool(i & 2), bool(i & 4)]
+    urls = [(i, "http://x.net/" + "/".join(s for g, h in zip(groups, has(i)) if h for s in g)) for i in range(160)]
+    pages, labels = _pages(spark, urls), _labels(spark, [(i, int(not all(has(i))), 0) for i, _ in urls])
+    rules, members = u.mine(pages, labels)
+    assert [(len(r["items"]), r.support, r.confidence) for r in rules.collect()] == [(3, 20, 1.0)] and members.count() == 75
+    some = [(1000 + i, f"http://y.org/{a}/{b}/{c}") for i, (a, b, c) in enumerate(zip(*[g[-5:] for g in groups]))]
+    some += [(2000, f"http://y.org/{groups[0][0]}/{groups[1][0]}"), (2001, "http://y.org/")]
+    judged = u.judge(_pages(spark, urls + some), labels, []).collect()
+    assert {r.page_id for r in judged if r.verdict == "block"} == {i for i, _ in urls if all(has(i))} | {1000, 1001, 1002, 1003, 1004}
+
+
+def test_clashing_names_in_labels(spark):
+    labels = _labels(spark, [(i, 0, 0) for i in range(20)])
+    clashing = labels.withColumns({c: u.F.lit(c) for c in ("bad", "basket", "items", "token", "_id", "url", "page_id", "set")})
+    pages = _pages(spark, [(i, f"http://x{i % 2}.net/{i}") for i in range(20)])
+    read = lambda marks: sorted((r.page_id, r.verdict) for r in u.judge(pages, marks, []).collect())
+    assert read(clashing) == read(labels)
