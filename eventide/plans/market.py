@@ -56,8 +56,9 @@ class LiveViews:
         return log_returns(klines, shift(start, -reach.before), shift(end, reach.after), bar_days)
 
     def stats(self, start, end, measures: list[Measure]) -> DataFrame:
+        """One join for all measures: what a question asks about is a range of events, so its windows are met row by row."""
         reach = Reach.hull([m.reach for m in measures])
-        return window_stats(self.events(start, end), self.returns(start, end, reach), measures)
+        return window_stats(self.events(start, end), self.returns(start, end, reach), measures, by_hours=False)
 
     def event_markouts(self, start=None, end=None) -> DataFrame:
         return self.markouts_of(self.events(start, end), start, end)

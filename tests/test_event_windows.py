@@ -105,3 +105,64 @@ def test_anti_join_keeps_events_without_rows(spark):
     expected = sorted(set(rows(events)) - hit)
     assert rows(without_window_rows(events, series, reach), "symbol", "event_ts") == expected
     assert 0 < len(expected) < events.count()
+
+
+def _wanted(events, series, measure):
+    """By definition, from all pairs."""
+    kinds = {
+        "sum": F.sum("r1m"), "count": F.count("r1m"), "rows": F.count(F.lit(1)), "negatives": F.count_if(F.col("r1m") < 0), "stddev": F.stddev_samp("r1m"),
+    }
+    return {tuple(r)[:2]: r[2] for r in naive(events, series, measure.reach).groupBy("symbol", "event_ts").agg(kinds[measure.kind]).collect()}
+
+
+LONG = [
+    Reach(before=timedelta(days=1)), Reach(before=timedelta(days=1), closed_left=False, closed_right=False),
+    Reach(before=timedelta(hours=7), after=timedelta(hours=3), closed_left=False), Reach(after=timedelta(hours=6, minutes=20), closed_right=False),
+]
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_long_windows_by_hours_equal_all_pairs(spark, seed):
+    """Values next to each hour's ends, NULLs and negative ones; events on the hour and a microsecond beside it."""
+    draw = random.Random(seed)
+    step = timedelta(microseconds=1)
+    times = sorted({minutes("2024-01-01", 60 * draw.randrange(96) + draw.choice([0, 0, 59, 30]))[0] + draw.choice([0, 1, -1]) * step for _ in range(400)})
+    series = [(s, t, draw.choice([None, draw.uniform(-1, 1), 0.25])) for s in "AB" for t in times if draw.random() < 0.8]
+    moments = {minutes("2024-01-01", 60 * draw.randrange(110))[0] + draw.choice([0, 0, 1, -1]) * step for _ in range(40)}
+    series = spark.createDataFrame(series, "symbol string, ts timestamp_ntz, r1m double")
+    events = spark.createDataFrame([(s, t) for s in "AB" for t in sorted(moments)], "symbol string, event_ts timestamp_ntz")
+    short = Reach(before=timedelta(hours=1), after=timedelta(minutes=30), closed_left=False)
+    measures = [Measure(f"m{i}_{kind}", kind, reach) for i, reach in enumerate([*LONG, short]) for kind in ("sum", "count", "rows", "negatives", "stddev")]
+    found = {tuple(r)[:2]: r.asDict() for r in window_stats(events, series, measures).collect()}
+    for measure in measures:
+        wanted = _wanted(events, series, measure)
+        for key, row in found.items():
+            value = wanted.get(key, 0 if measure.kind in ("count", "rows", "negatives") else None)
+            assert row[measure.name] == pytest.approx(value, abs=1e-12), (measure, key)
+        assert wanted.keys() <= found.keys()
+
+
+def test_equal_values_have_no_deviation_by_hours(spark):
+    series = spark.createDataFrame([("A", minutes("2024-01-01", 7 * i)[0], 0.1) for i in range(400)], "symbol string, ts timestamp_ntz, r1m double")
+    events = spark.createDataFrame([("A", at("2024-01-02 12:34:56"))], "symbol string, event_ts timestamp_ntz")
+    assert rows(window_stats(events, series, [Measure("s", "stddev", Reach(before=timedelta(days=1)))]).select("s")) == [(0.0,)]
+
+
+def test_long_windows_meet_few_rows(spark):
+    """A day's window of minute rows meets about 24 hours and the rows of two, not 1440 rows."""
+    series = spark.range(5 * 1440).selectExpr("'A' AS symbol", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) AS ts", "rand(1) AS r1m")
+    events = spark.createDataFrame([("A", at(f"2024-01-0{d} 10:20:30")) for d in (2, 3, 4)], "symbol string, event_ts timestamp_ntz")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stats = window_stats(events, series, [Measure("s", "stddev", Reach(before=timedelta(days=1)))])
+        plan = stats._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    met, pending = [], [plan]
+    while pending:
+        node = pending.pop()
+        if "Join" in node.nodeName():
+            met.append(node.metrics().apply("numOutputRows").value())
+        pending += [node.children().apply(i) for i in range(node.children().size())]
+    assert sorted(met) == [3 * 23, 3 * 60]  # 23 whole hours, and a part of two others
