@@ -5,7 +5,8 @@ footers, scripts, hidden parts) are left out with all they contain. So are forms
 an advert, menu, notice, comment section and the like, unless such elements hold most of the page's text and no ``article``
 or ``main`` outside them has a paragraph: then they wrap the article. An ``article`` that is also called a post, an entry
 or the like is never left out. Each remaining block earns one point, one for each comma and one for every
-hundred characters; its nearest container gets all of them, the container around that a half, the next a third and so on. A
+hundred characters; its nearest container gets all of them, the container around that a half, the next a third and so on
+up to the eighth container, which gets an eighth (what lies farther out holds the whole page and must not win by depth alone). A
 container's points are reduced by the share of its text that lies in links. The best container is the article, together
 with siblings that score well for themselves or are real paragraphs. Where it is not itself an ``article`` or ``main``, what
 stands beside it in its wrapper belongs to it whatever its tag and length, unless half of its text is links; so do headings,
@@ -14,11 +15,14 @@ lists, tables, short paragraphs and well-scoring containers beside the wrappers
 Blocks are cut at block elements; ``br`` is white space. Lists and sections that are nearly all links are left out.
 
 Nulls: null or empty html gives an empty text. Broken markup is read as far as it goes (open elements end with the page,
-an unfinished tag is dropped, unknown references stay as written). Repeated rows stay; an empty table gives an empty result.
+an unfinished tag is dropped, unknown references stay as written). Repeated rows stay; an empty table gives an empty result. Pages of
+any length are read whole, in time that grows with their length, however many elements are left out or nested. Other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as references
 import re
 
@@ -66,6 +70,7 @@ LINKS_ONLY = 0.7
 SIBLING_SHARE = 0.2
 PARAGRAPH = 80
 MOST, NEARLY_ALL = 1 / 2, 3 / 4  # of the text of a page
+REACH = 8  # containers that get points of a block
 
 
 def _names(text: str) -> list[str]:
@@ -126,54 +131,9 @@ class _Page:
         """Blocks without those of doubted elements, but for doubted elements that hold most of the text.
 
         The outermost are judged first, those with the same words together. They stay left out beside an ``article`` or
-        ``main`` with a paragraph of text.
+        ``main`` with a paragraph of text. Sums by group are carried along, so that each element is looked at a few times only.
         """
-        counted = self.doubted and [(owner, [(len(t.strip()), doubt) for t, link, doubt in parts if not link]) for owner, parts in self.pieces]
-        inside = dict.fromkeys([-1, *self.doubted], 0)
-        for _, sizes in counted or ():
-            for size, doubt in sizes:
-                inside[doubt] += size
-        for node in reversed(self.doubted):
-            inside[self.doubted[node][0]] += inside[node]
-        accepted = {-1}
-        while self.doubted:
-            outermost = {-1: -1}  # the outermost element left out around each doubted one
-            groups: dict[object, list[int]] = {}
-            for node, (around, words) in self.doubted.items():
-                out = outermost[around]
-                outermost[node] = out if out >= 0 or node in accepted else node
-                if outermost[node] == node:
-                    groups.setdefault(words or node, []).append(node)
-            held, live, landmarks = dict.fromkeys(outermost, 0), 0, [0] * len(self.tag)
-            for owner, sizes in counted:
-                for size, doubt in sizes:
-                    out = outermost[doubt]
-                    held[out] += size
-                    if out < 0:
-                        live += size
-                        landmarks[owner] += size
-            for node in range(len(self.tag) - 1, 0, -1):
-                landmarks[self.parent[node]] += landmarks[node]
-            if not groups or any(self.tag[n] in ("article", "main") and landmarks[n] >= PARAGRAPH for n in range(len(self.tag))):
-                break
-            total = sum(held.values())
-            words, nodes = max(groups.items(), key=lambda g: sum(held[n] for n in g[1]))
-            most = sum(held[n] for n in nodes)
-            marked = any(self.tag[k] in ("article", "main", "h1") and k not in self.doubted or k == n and self.tag[k] == "article"
-                         for n in nodes for k in range(n, self.end[n]))
-            section = isinstance(words, frozenset) and not words.isdisjoint(SECTIONS)
-            if not most or live and most <= total * (MOST if marked else 1.0 if section else NEARLY_ALL):
-                break
-            accepted.update(nodes)
-            for node, (around, own) in self.doubted.items():  # the same words again, or nothing else, close around the text
-                if around in accepted and around >= 0 and (
-                    own == words and inside[node] > MOST * inside[around] or inside[node] == inside[around]
-                ):
-                    accepted.add(node)
-        kept = {-1}
-        for node, (around, _) in self.doubted.items():
-            if node in accepted and around in kept:
-                kept.add(node)
+        kept = self._accepted() if self.doubted else {-1}
         for owner, parts in self.pieces:
             parts = [(p, link) for p, link, doubt in parts if doubt in kept]
             text = " ".join("".join(p for p, _ in parts).split())
@@ -181,6 +141,69 @@ class _Page:
                 linked = len(" ".join("".join(p for p, link in parts if link).split()))
                 self.blocks.append((owner, text, linked))
 
+    def _accepted(self) -> set[int]:
+        """The doubted elements that are kept (and -1 for what lies outside all)."""
+        n = len(self.tag)
+        own: dict[int, list[tuple[int, int]]] = {d: [] for d in (-1, *self.doubted)}  # element and length of the text directly inside
+        inside = dict.fromkeys(own, 0)  # length of all text inside
+        for owner, parts in self.pieces:
+            for text, link, doubt in parts:
+                if not link:
+                    own[doubt].append((owner, len(text.strip())))
+                    inside[doubt] += len(text.strip())
+        children: dict[int, list[int]] = {d: [] for d in own}
+        for node, (around, _) in self.doubted.items():
+            children[around].append(node)
+        for node in reversed(self.doubted):
+            inside[self.doubted[node][0]] += inside[node]
+        # The outermost article or main around each element, and the number of marks of an article before it.
+        landmark, marks = [-1] * n, [0] * (n + 1)
+        for node in range(n):
+            around = landmark[self.parent[node]] if node else -1
+            landmark[node] = around if around >= 0 else node if self.tag[node] in ("article", "main") else -1
+            marks[node + 1] = marks[node] + (self.tag[node] in ("article", "main", "h1") and node not in self.doubted)
+        accepted: set[int] = set()
+        groups: dict[object, list[int]] = {}  # outermost elements still left out, by their words
+        sums: dict[object, int] = {}
+        largest: list[tuple[int, int, int, object]] = []
+        live, in_landmark, found = 0, [0] * n, False
+
+        def accept(nodes: list[int], words: object) -> None:
+            nonlocal live, found
+            changed, waiting = {}, list(nodes)
+            for node in waiting:
+                accepted.add(node)
+                for owner, size in own[node]:
+                    live += size
+                    if landmark[owner] >= 0:
+                        in_landmark[landmark[owner]] += size
+                        found = found or in_landmark[landmark[owner]] >= PARAGRAPH
+                for child in children[node]:
+                    # The same words again, or nothing else, close around the text.
+                    if node >= 0 and (self.doubted[child][1] == words and inside[child] > MOST * inside[node] or inside[child] == inside[node]):
+                        waiting.append(child)
+                        continue
+                    group = self.doubted[child][1] or child
+                    groups.setdefault(group, []).append(child)
+                    sums[group] = sums.get(group, 0) + inside[child]
+                    changed[group] = True
+            for group in changed:
+                heapq.heappush(largest, (-sums[group], min(groups[group]), len(groups[group]), group))
+
+        accept([-1], None)
+        while groups and not found:
+            most, _, size, words = heapq.heappop(largest)
+            if words not in groups or (-most, size) != (sums[words], len(groups[words])):
+                continue  # the group has grown since, or is accepted
+            nodes, most = groups[words], -most
+            marked = any(marks[self.end[k]] > marks[k] or self.tag[k] == "article" for k in nodes)
+            section = isinstance(words, frozenset) and not words.isdisjoint(SECTIONS)
+            if not most or live and most <= inside[-1] * (MOST if marked else 1.0 if section else NEARLY_ALL):
+                break
+            del groups[words], sums[words]
+            accept(nodes, words)
+        return accepted
+
     def _text(self, text: str) -> None:
         if text and not self.skipping:
             if "header" in self.open and not any(t in self.open for t in HEADINGS):
@@ -311,14 +334,18 @@ def main_text(source: str | None) -> str:
         if not (k < len(menus) and menus[k][0] <= owner):
             blocks.append(block)
     blocks.sort()
+    container, outer = [-1] * n, [-1] * n  # the nearest container, the element itself included, and the one around it
+    for node in range(n):
+        around = container[parent[node]] if node else -1
+        container[node], outer[node] = (node, around) if page.tag[node] in CONTAINERS else (around, -1)
     for block in blocks:
         node, text, _ = page.blocks[block]
-        earned, share = 1 + text.count(",") + text.count("，") + text.count("、") + len(text) / 100, 1
-        while node >= 0 and share <= 8:
-            if page.tag[node] in CONTAINERS:
-                points[node] += earned / share
-                share += 1
-            node = parent[node]
+        earned, node = 1 + text.count(",") + text.count("，") + text.count("、") + len(text) / 100, container[node]
+        for share in range(1, REACH + 1):
+            if node < 0:
+                break
+            points[node] += earned / share
+            node = outer[node]
     best, most = -1, 0.0
     for node in range(n):
         if points[node]:

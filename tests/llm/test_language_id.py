@@ -38,6 +38,57 @@ def plain_model(texts):
     return grams, probability
 
 
+def plain_languages(rows):
+    """{id: (language, score)} of rows (id, text, language or None): dictionaries of four-symbol windows, one per language."""
+    def windows(text):
+        found = []
+        for c in (x.lower()[0] for x in text or ""):
+            s = 0 if not c.isalpha() else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37
+            found += [s] if s or not found or found[-1] else []
+        if not any(found):
+            return []
+        found = [0, 0, 0, *(found[1:] if found[0] == 0 else found), *([0] if found[-1] else [])]
+        return [tuple(found[i : i + 4]) for i in range(len(found) - 3)]
+
+    cut = {i: windows(t) for i, t, _ in rows}
+    models = {}
+    for lang in sorted({lang for _, t, lang in rows if lang is not None and cut}):
+        levels = {4: Counter(w for i, _, known in rows if known == lang for w in cut[i])}
+        for order in (3, 2, 1):
+            levels[order] = Counter(w[1:] for w in levels[order + 1])
+        totals = {o: Counter() for o in levels}
+        kinds = {o: Counter() for o in levels}
+        discounts = {}
+        for order, counts in levels.items():
+            for w, n in counts.items():
+                totals[order][w[:-1]] += n
+                kinds[order][w[:-1]] += 1
+            ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+            discounts[order] = ones / (ones + 2 * twos) if ones and twos else 0.5
+        known = {}
+
+        def p(w):
+            if not w:
+                return 1 / 64
+            if w not in known:
+                order, below = len(w), p(w[1:])
+                total = totals[order][w[:-1]]
+                d = discounts[order]
+                known[w] = (max(levels[order][w] - d, 0) + d * kinds[order][w[:-1]] * below) / total if total else below
+            return known[w]
+
+        models[lang] = {w: -np.log(p(w)) for w in {w for found in cut.values() for w in found}}
+    result = {}
+    for i, found in cut.items():
+        if not found:
+            result[i] = "und", 0.0
+            continue
+        entropy = {lang: sum(m[w] for w in found) / len(found) for lang, m in models.items()}
+        best = min(entropy, key=entropy.get)
+        result[i] = best, 1 / sum(np.exp((entropy[best] - e) * min(len(found), 64)) for e in entropy.values())
+    return result
+
+
 def test_probabilities_are_those_of_the_definition():
     texts = ["the cat sat on the mat", "that hat and the bat", "Über Öl", "x"]
     grams, probability = plain_model(texts)

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -122,9 +123,40 @@ def test_every_page_gives_a_row(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+def plain(source):
+    """Main text of a page that marks its article and cuts blocks at p and h1 only."""
+    article = re.search(r"<article>(.*?)(?:</article>|\Z)", source, re.S)[1]
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]*(>|\Z)", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article))
+    return "\n".join(b for b in blocks if b)
+
+
 def test_given_pages(spark):
-    """These pages mark their article; its blocks are cut at p and h1."""
     for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toLocalIterator():
-        article = re.search(r"<article>(.*?)(?:</article>|\Z)", row.html, re.S)[1]
-        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*(>|\Z)", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article))
-        assert main_text(row.html) == "\n".join(b for b in blocks if b)
+        assert main_text(row.html) == plain(row.html)
+
+
+N = 20_000
+LARGE = {
+    "one word": "<div class='ad x'>text, here " * N,
+    "many words": "".join(f"<div class='{a} w{i}'>some text {i}" for i in range(N // 5) for a in ("ad", "promo", "menu", "widget", "sidebar")),
+    "closed": "".join(f"<form>text {i}</form>" for i in range(N)),
+    "nested": "<form>" * N + "text",
+    "containers": "<div><p>abc, d" * N,
+    "inside an article": f"<article><p>{P1}</p>" + "<div class=related>more, more" * N,
+}
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_time_grows_with_the_page_only(name):
+    begun = time.process_time()
+    text = main_text(LARGE[name])
+    assert time.process_time() - begun < 2
+    assert name != "inside an article" or text == T1
+
+
+def test_points_reach_eight_containers():
+    """Two long paragraphs at the ends of deep wrappers; a menu beside the outermost does not come with them."""
+    deep = f"<div><p>{P1 * 4}</p><p>{P2}</p></div>"
+    for _ in range(12):
+        deep = f"<div>{deep}</div>"
+    assert main_text(f"<body>{deep}<div><a href=x>one</a> <a href=y>two</a></div></body>") == f"{T1 * 4}\n{T2}"

@@ -10,13 +10,14 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from checks.compare import canonical, connect
-from eventide.llm.main_text import main_text
 from eventide.llm.queries import ORACLE, QUERIES
 from llm.test_decontamination import plain as plain_contamination
+from llm.test_language_id import plain_languages
 from llm.test_language_model import plain as plain_scores
 from llm.test_license_scan import plain as plain_phrases
+from llm.test_main_text import plain as plain_page
 from llm.test_simhash import plain_fingerprint, plain_labels
-from llm.test_url_rules import RULES
+from llm.test_url_rules import RULES, plain_rules, plain_tokens
 from llm.test_whitening import plain as plain_whitening
 
 FOLDER = "/root/testdata/sf0.001"
@@ -59,21 +60,28 @@ def test_op2(spark):
     found = QUERIES["op2_url_rules"](spark, FOLDER).collect()
     urls = {r.page_id: r.url for r in _rows(spark, "pages")}
     assert {r.page_id for r in found} == set(urls)
+    tokens = {i: plain_tokens(url) for i, url in urls.items()}
+    marks = [(r.doc_id, r.quality == 0 or r.toxic == 1) for r in _rows(spark, "labels")]
+    rules = plain_rules([(tokens[i], bad) for i, bad in marks if i in tokens])
+    blocked = {i for i, t in tokens.items() if any(set(c) <= t for c in rules)}
     for r in found:
         host = urls[r.page_id].split("://", 1)[1].split("/")[0].split("?")[0].split("#")[0].lower()
         path = urls[r.page_id].split("://", 1)[1][len(host):].split("?")[0].split("#")[0]
         fits = [u for u in RULES if (host == u.host or host.endswith("." + u.host)) and path.startswith(u.path)]
         best = max(fits, key=lambda u: len(u.text), default=None)
         assert (r.host, r.path, r.rule) == (host, path, best and best.text)
-        assert r.verdict == best.verdict if best else r.verdict in ("allow", "block")
+        assert r.verdict == (best.verdict if best else "block" if r.page_id in blocked else "allow")
 
 
 def test_op3(spark):
-    found = {r.doc_id: r for r in QUERIES["op3_language_id"](spark, FOLDER).collect()}
     rows = _rows(spark, "documents")
-    assert len(found) == len(rows) and all(found[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
-    held = [r for r in rows if found[r.doc_id].held_out]
-    assert sum(found[r.doc_id].lang_pred == r.lang for r in held) >= 0.95 * len(held)
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows}
+    wanted = plain_languages([(r.doc_id, r.text, None if held[r.doc_id] else r.lang) for r in rows])
+    found = {r.doc_id: r for r in QUERIES["op3_language_id"](spark, FOLDER).collect()}
+    assert {i: (r.held_out, r.lang_pred) for i, r in found.items()} == {i: (held[i], w[0]) for i, w in wanted.items()}
+    assert [found[i].score for i in wanted] == pytest.approx([w[1] for w in wanted.values()], rel=1e-9)
+    asked = [r for r in rows if held[r.doc_id]]
+    assert sum(found[r.doc_id].lang_pred == r.lang for r in asked) >= 0.95 * len(asked)
 
 
 def test_op4(spark):
@@ -102,7 +110,7 @@ def test_op5(spark, docs):
 
 def test_op6(spark):
     found = sorted(map(tuple, QUERIES["op6_main_text"](spark, FOLDER).collect()))
-    assert found == sorted((r.page_id, r.url, main_text(r.html), len(main_text(r.html))) for r in _rows(spark, "pages"))
+    assert found == sorted((r.page_id, r.url, plain_page(r.html), len(plain_page(r.html))) for r in _rows(spark, "pages"))
 
 
 def test_op7(spark, docs):
