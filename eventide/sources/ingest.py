@@ -2,68 +2,28 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from eventide.functions import parsing
+from eventide.sources import archives
 
 KLINE_FIELDS = 12  # columns of an archive row; the ones after the ninth are not used
 # First cell of an optional header line.
 HEADER_CELLS = ("open_time", "open time")
-_LINES_PER_BATCH = 20_000
 
 
 # ---- kline archives -----------------------------------------------------------------------
 
-def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, content) -> (path, line_no, line): lines of the first member, streamed in batches."""
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            archive = zipfile.ZipFile(io.BytesIO(content.as_buffer()))
-            with archive.open(archive.namelist()[0]) as member:
-                lines, first = [], 0
-                for raw in member:
-                    lines.append(raw.decode("utf-8").rstrip("\r\n"))
-                    if len(lines) == _LINES_PER_BATCH:
-                        yield _line_batch(path, first, lines)
-                        first, lines = first + len(lines), []
-                if lines:
-                    yield _line_batch(path, first, lines)
-
-
-def _line_batch(path: str, first: int, lines: list[str]) -> pa.RecordBatch:
-    numbers = pa.array(range(first, first + len(lines)), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([path] * len(lines), pa.string()), numbers, pa.array(lines, pa.string())],
-        names=["path", "line_no", "line"],
-    )
-
-
-def archive_symbol(path: Column) -> Column:
-    """Symbol from a file name such as ``abcusdt-1m-2024-01.zip``."""
-    name = F.element_at(F.split(path, "/"), -1)
-    return parsing.clean_symbol(F.split(name, "-")[0])
+def read_archive_lines(spark: SparkSession, folder: str, symbols: Sequence[str], months: tuple[str, str] | None = None) -> DataFrame:
+    """(path, symbol, month, line_no, line) of every archive whose symbol is wanted, and whose month lies between the two given.
 
-
-def read_archive_lines(spark: SparkSession, folder: str, symbols: Sequence[str]) -> DataFrame:
-    """(path, symbol, line_no, line) of every archive whose symbol is wanted.
-
-    zip cannot be split, so a task unpacks whole archives; they are spread over all tasks.
+    Symbols and months are read off the file names, so no other archive is opened.
     """
     wanted = [s.strip().upper() for s in symbols]
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.zip")
-        .load(folder)
-        .filter(archive_symbol(F.col("path")).isin(wanted))
-        .select("path", "content")
-    )
-    lines = files.mapInArrow(_unzip, "path string, line_no bigint, line string")
-    return lines.withColumn("symbol", archive_symbol(F.col("path")))
+    lines = archives.register(spark).read.format(archives.FORMAT).option("path", folder).load().filter(F.col("symbol").isin(wanted))
+    return lines if months is None else lines.filter(F.col("month").between(*months))
 
 
 def parse_kline_lines(lines: DataFrame) -> DataFrame:
@@ -139,8 +99,8 @@ def quality_counts(flagged: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def load_klines(spark: SparkSession, folder: str, symbols: Sequence[str]) -> DataFrame:
-    return parse_kline_lines(read_archive_lines(spark, folder, symbols))
+def load_klines(spark: SparkSession, folder: str, symbols: Sequence[str], months: tuple[str, str] | None = None) -> DataFrame:
+    return parse_kline_lines(read_archive_lines(spark, folder, symbols, months).drop("month"))
 
 
 def load_funding(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventide import schemas
 from eventide.functions import parsing
-from eventide.sources import ingest, quality
+from eventide.sources import archives, ingest, quality
 
 ROW = "1704067200000,10,12,9,11,{volume},1704067259999,0,{trades},0,0,0"
 
@@ -45,6 +45,48 @@ def test_archive_longer_than_one_batch(spark, tmp_path, monkeypatch):
         (50_001, 50_001, 50_001)]
 
 
+def _opened(df):
+    """Archives that the scan makes partitions of."""
+    return df.rdd.getNumPartitions()
+
+
+def test_names_choose_the_archives_that_are_opened(spark, tmp_path):
+    for symbol in ("AAAUSDT", "bbbusdt", "CCCUSDT"):
+        for month in ("2023-12", "2024-01", "2024-02", "2024-02-03"):
+            archive(tmp_path, f"{symbol}-1m-{month}.zip", [f"{symbol} {month}"])
+    archive(tmp_path, "AAAUSDT-all.zip", ["no month"])
+    (tmp_path / "AAAUSDT-1m-2024-03.zip").write_bytes(b"damaged, and never opened")
+    every = archives.register(spark).read.format(archives.FORMAT).option("path", tmp_path.as_uri()).load()
+    for test, lines in {
+        "symbol = 'BBBUSDT' AND month = '2024-01'": {"bbbusdt 2024-01"},
+        "symbol IN ('AAAUSDT', 'CCCUSDT') AND month < '2024-01'": {"AAAUSDT 2023-12", "CCCUSDT 2023-12"},
+        "month BETWEEN '2024-02' AND '2024-02' AND symbol > 'B'": {f"{s} 2024-02{d}" for s in ("bbbusdt", "CCCUSDT") for d in ("", "-03")},
+        "symbol = 'NONE'": set(),
+        "symbol = 'AAAUSDT' AND month <= '2024-01' AND line LIKE '%12'": {"AAAUSDT 2023-12"},
+    }.items():
+        found = every.filter(test)
+        assert {r.line for r in found.collect()} == lines, test
+        assert _opened(found) == (2 if "LIKE" in test else max(1, len(lines))), test
+    january = ingest.read_archive_lines(spark, tmp_path.as_uri(), ["aaausdt "], ("2024-01", "2024-02"))
+    assert sorted(r.month for r in january.collect()) == ["2024-01", "2024-02", "2024-02"]
+
+
+def test_archives_are_inflated_as_a_stream(spark, tmp_path, monkeypatch):
+    """An archive larger than a cell of a file table may be."""
+    lines = [f"{i},{hash(str(i))}" for i in range(30_000)]
+    archive(tmp_path, "ABCUSDT-1m-2024-01.zip", lines)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "10000")
+    try:
+        with pytest.raises(Exception, match="maxLength|exceeds"):
+            spark.read.format("binaryFile").load(str(tmp_path)).select("content").collect()
+        found = ingest.read_archive_lines(spark, str(tmp_path), ["ABCUSDT"])
+        assert [r.line for r in found.orderBy("line_no").collect()] == lines
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    sizes = [b.num_rows for b in archives.ArchiveReader(str(tmp_path)).read(archives.ArchiveReader(str(tmp_path)).partitions()[0])]
+    assert sizes == [20_000, 10_000]
+
+
 def test_csv_tables(spark, tmp_path):
     path = tmp_path / "rates.csv"
     path.write_bytes(b"symbol,ts,rate\r\n btcusdt ,2024-01-01 08:00:00,-1.5e-05\r\n,2024-01-01 08:00:00,1\r\n"
