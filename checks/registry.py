@@ -20,15 +20,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventide.functions import parsing
 from eventide.functions.times import epoch_seconds, floor_time, in_range, span
-from eventide.operators import event_metrics as metrics
+from eventide.operators import event_metrics as metrics, mergeable
 from eventide.operators.event_windows import Measure, Reach, window_stats, without_window_rows
 from eventide.plans import questions, summaries
+from eventide.plans.bucketed import write_bucketed
 from eventide.plans.catalog import register_views, time_arguments
 from eventide.plans.market import LiveViews, Market
-from eventide.plans.store import DERIVED, StoredViews, TableStore, refresh
+from eventide.plans.store import DERIVED, StoredViews, TableStore, refresh, refresh_summaries
 from eventide.plans.table_functions import register_functions
 from eventide.schemas import EVENT_KINDS, PRIMARY_KEYS
-from eventide.session import input_state, shared_folder, with_scratch
+from eventide.session import input_state, shared_folder, tune, with_scratch
 from eventide.sources import ingest, quality
 from eventide.sources.event_log import load_market, market_from_log
 
@@ -572,6 +573,43 @@ over_store("q6_stored", lambda v: rounded(questions.vol_regime_markouts(v, STORE
 over_store("q7_stored", lambda v: rounded(questions.symbol_overview(v, STORED_START, STORED_END), MEAN_DIGITS, "avg_kline_volume"))
 
 
+def _with_summaries(views: StoredViews) -> TableStore:
+    if not views.store.exists("return_sketches"):
+        refresh_summaries(views.store, views.market)
+    return views.store
+
+
+over_store("stored_count_distinct", lambda v: mergeable.distinct_counts(_with_summaries(v).read("bar_minutes")))
+
+
+def _sketch_check(views: StoredViews) -> DataFrame:
+    """Whether the sketched percentile of each symbol's returns has the rank it should, by counting the returns around it."""
+    store, share = _with_summaries(views), 0.9
+    found = mergeable.sketched_percentile(store.read("return_sketches"), share, ["symbol"], "p")
+    returns = store.read("minute_returns").filter("r1m IS NOT NULL").select("symbol", "r1m")
+    ranks = returns.join(found, "symbol").groupBy("symbol", "n").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("r1m") < F.col("p")).alias("below"), F.count_if(F.col("r1m") <= F.col("p")).alias("upto")
+    )
+    off = F.greatest(F.col("below") / F.col("n_rows") - share, share - F.col("upto") / F.col("n_rows"))
+    within = (off <= 2 * mergeable.rank_error(mergeable.DEFAULT_K)) & (F.col("n") == F.col("n_rows"))
+    return ranks.select("symbol", "n_rows", within.alias("is_within_bound"))
+
+
+over_store("sketched_percentile", _sketch_check)
+
+
+def _markouts_bucketed(views: StoredViews) -> DataFrame:
+    """Markouts from a bucketed copy of the stored returns: only the events are shuffled."""
+    spark = views.store.spark
+    tune(spark)
+    name = uuid.uuid4().hex
+    returns = write_bucketed(views.store.read("minute_returns"), f"returns_{name}", f"{shared_folder(spark)}/bucketed-{name}", buckets=8)
+    return rounded(rounded(metrics.event_markouts(views.events(), returns), RATE_DIGITS, "rate"), 9, "markout_60m")
+
+
+over_store("markouts_bucketed", _markouts_bucketed)
+
+
 @over_market
 def sql_over_views(market: Market) -> DataFrame:
     """Top volatility and total return by symbol and day, in SQL over the registered views with bound parameters."""

@@ -18,7 +18,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from eventide.functions.times import TimeLike, clip, naive_utc, shift
-from eventide.operators import event_metrics as metrics
+from eventide.operators import event_metrics as metrics, mergeable
 from eventide.operators.event_windows import Measure, Reach, window_stats
 from eventide.operators.returns import VOL_PRECEDING, minute_returns
 from eventide.plans.market import LiveViews, Market
@@ -285,6 +285,15 @@ def refresh(store: TableStore, market: Market, since: TimeLike | None = None) ->
                 done.result()
 
 
+def refresh_summaries(store: TableStore, market: Market, since: TimeLike | None = None) -> None:
+    """Daily bitmaps of the bars and daily sketches of the stored returns; with ``since``, of the days from then on."""
+    day = None if since is None else naive_utc(since).date()
+    start = None if day is None else datetime.combine(day, datetime.min.time())
+    store.write("bar_minutes", mergeable.minute_bitmaps(clip(market.klines, "open_time", start, None)), day)
+    returns = clip(store.read("minute_returns"), "ts", start, None)
+    store.write("return_sketches", mergeable.daily_sketches(returns, "r1m"), day)
+
+
 class StoredViews:
     """The frames of :class:`LiveViews`, read from the store; as fresh as the last refresh."""
 

@@ -83,6 +83,8 @@ STORED = {
     "open_interest": ("ts", OPEN_INTEREST),
     "premium_index": ("ts", PREMIUM_INDEX),
     "bar_days": ("d", _layout(*_DATED, *_long("n_bars"))),
+    "bar_minutes": ("d", _layout(*_DATED, *_long("off_grid"), ("minutes", T.BinaryType(), True))),
+    "return_sketches": ("d", _layout(*_DATED, *_long("n"), ("sketch", T.BinaryType(), True))),
     "minute_returns": ("ts", _layout(*_TIMED, *_double("r1m", "rv_30m"))),
     "event_markouts": ("event_ts", _layout(*_KEYED, *_double("rate", "markout_60m"), *_long("n_minutes"))),
     "event_car": ("event_ts", _layout(*_KEYED, ("ts", T.TimestampNTZType(), True), *_double("car"))),
