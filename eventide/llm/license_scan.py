@@ -6,7 +6,11 @@ document, template and diagonal. Neighbouring diagonals, as left by words put in
 template parts follow one another, and a span with votes for enough of its template is verified word by word. Phrases are
 templates that must stand exactly. The template index is the only broadcast; its size is that of the given templates.
 
-Nulls: a null text has no words; a null doc_id stays null. Repeated rows get a row each. Empty tables give empty results.
+A short notice that only names a licence ("licensed under the mit license") does not count if one of the three words before it
+denies it ("not", "no longer", "isn't"). Sentences of a licence itself count wherever they stand, and so do phrases.
+
+Nulls: a null text has no words; a null doc_id stays null. Repeated rows get a row each. Empty tables give empty results. Very long
+texts are scanned whole; a row's words and grams are in memory at once. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from .decontamination import BROADCAST_ROWS, words
 GRAM = 3
 SLACK = 4  # diagonals this close belong together
 VOTED, VERIFIED = 0.6, 0.75  # share of a template's grams that must vote, and be found again in the span
+NAMING = 12  # notices of fewer words may be denied by the words before them
+DENIAL = 3
+# Words that deny a notice; "isn't" and the like are cut into two words, of which the second is the t.
+DENYING = ["not", "no", "never", "neither", "nor", "without", "cannot", "t"]
 
 # Phrases that label a document by standing anywhere in it.
 PHRASES = {"cc-by": ["cc by"], "gpl": ["general public license"], "reserved": ["all rights reserved"]}
@@ -38,19 +46,44 @@ NOTICES = {
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
         "documentation files to deal in the software without restriction including without limitation the rights to use "
         "copy modify merge publish distribute sublicense and or sell copies of the software",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the "
         "following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+        "disclaimer in the documentation and or other materials provided with the distribution",
     ],
     "gpl-notice": [
         "licensed under the gnu general public license version",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
         "license as published by the free software foundation",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied "
+        "warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    ],
+    "lgpl-notice": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+        "public license as published by the free software foundation",
+    ],
+    "mpl-2.0": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
+        "with this file you can obtain one at",
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
     ],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
     "cc-by-nc": ["licensed under cc by nc"],
-    "cc-licence": ["this work is licensed under a creative commons attribution 4 0 international license"],
+    "cc-licence": [
+        "this work is licensed under a creative commons attribution 4 0 international license",
+        "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit",
+    ],
+    "cc0": [
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    ],
 }
 
 
@@ -149,9 +182,15 @@ def license_spans(docs: DataFrame, cast: DataFrame, given: list[Template]) -> Da
     asked = F.broadcast(asked) if spans.count() <= BROADCAST_ROWS else asked
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     met = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
+    before = lambda s: F.slice("w", F.greatest(s["start"] - DENIAL, F.lit(0)) + 1, F.least(s["start"], F.lit(DENIAL)))
+    place = lambda s: F.struct(
+        s.alias("s"), F.slice("w", s["start"] + 1, s["end"] - s["start"]).alias("w"),
+        F.arrays_overlap(before(s), F.array(*[F.lit(word) for word in DENYING])).alias("denied"),
+    )
     cut = met.select("doc_id", "key", "spans", words(F.col("text")).alias("w")).select(
-        "doc_id", "key", F.explode(F.transform("spans", lambda s: F.struct(s.alias("s"), F.slice("w", s["start"] + 1, s["end"] - s["start"]).alias("w")))).alias("s")
-    ).select("doc_id", "key", "s.s.*", "s.w").join(F.broadcast(table), "template")
+        "doc_id", "key", F.explode(F.transform("spans", place)).alias("s")
+    ).select("doc_id", "key", "s.s.*", "s.w", "s.denied").join(F.broadcast(table), "template")
+    cut = cut.filter(F.col("exact") | ~F.col("denied") | (F.size("t") >= NAMING))
     runs = lambda c: F.transform(
         F.sequence(F.lit(0), F.size(c) - F.col("gram")), lambda i: F.concat_ws(" ", F.slice(c, i + 1, F.col("gram")))
     )

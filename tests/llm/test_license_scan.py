@@ -19,6 +19,76 @@ def plain(text):
     )
 
 
+def plain_labels(text):
+    """(labels, score) of a text: every hit of every template by comparing words, diagonals, spans, verification."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    labels, best = set(), 0.0
+    for label, phrase in BASE.items():
+        if any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words))):
+            labels.add(label)
+            best = 1.0
+    for label, notices in scan.NOTICES.items():
+        for notice in notices:
+            wanted = notice.split()
+            grams = [tuple(wanted[i : i + 3]) for i in range(len(wanted) - 2)]
+            diagonals = {}
+            for at in range(len(words) - 2):
+                for place, gram in enumerate(grams):
+                    if tuple(words[at : at + 3]) == gram:
+                        diagonals.setdefault(at - place, set()).add(place)
+            spans, last = [], None  # places voted for, first word, word after the last
+            for diagonal in sorted(diagonals):
+                voted = diagonals[diagonal]
+                begin, end = diagonal + min(voted), diagonal + max(voted) + 3
+                if last is not None and diagonal - last[0] <= scan.SLACK and begin - (last[1] - 3) <= len(grams) + scan.SLACK:
+                    spans[-1] = spans[-1][0] | voted, min(spans[-1][1], begin), max(spans[-1][2], end)
+                else:
+                    spans.append((voted, begin, end))
+                last = diagonal, end
+            for voted, begin, end in spans:
+                part = words[begin:end]
+                found = {tuple(part[i : i + 3]) for i in range(len(part) - 2)} & set(grams)
+                score = len(found) / len(set(grams))
+                denied = len(wanted) < scan.NAMING and not set(words[max(0, begin - 3) : begin]).isdisjoint(scan.DENYING)
+                if len(voted) >= scan.VOTED * len(grams) and score >= scan.VERIFIED and not denied:
+                    labels.add(label)
+                    best = max(best, score)
+    return ",".join(sorted(labels)), best
+
+
+def _damaged():
+    """Notices with words put in, left out, exchanged and repeated, in filler."""
+    rng = random.Random(6)
+    notices = [n for group in scan.NOTICES.values() for n in group]
+    texts = []
+    for k in range(150):
+        words = rng.choice(notices).split()
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[], [words[i], "really"], ["other"], [words[i]] * 2])
+        texts.append(" ".join(["some", "text"] * rng.randrange(3) + rng.choice([[], ["not"], ["no", "longer"], ["isn't"], ["was", "not", "x", "y", "z"]]) + words
+                              + ["end"] * rng.randrange(2) + (rng.choice(notices).split() if rng.random() < 0.3 else [])))
+    return texts
+
+
+def test_labels_and_scores_equal_plain(spark):
+    rows = list(enumerate([*_damaged(), *_texts(), *(n for group in scan.NOTICES.values() for n in group)]))
+    found = {r.doc_id: (r.labels, r.score) for r in scan.license_labels(_frame(spark, rows)).collect()}
+    assert found == {i: plain_labels(t) for i, t in rows}
+    assert len({labels for labels, _ in found.values()}) > 12
+
+
+def test_denied_notices(spark):
+    texts = {
+        "It is not licensed under the MIT license.": "", "It isn't released under the MIT license": "", "No longer licensed under the MIT License": "",
+        "It is licensed under the MIT license, not BSD": "mit", "Not all rights reserved": "reserved", "No: this is not CC BY": "cc-by",
+        "Why not? Parts of it are licensed under the MIT license": "mit", "not " + scan.NOTICES["mit"][2]: "mit",
+    }
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r.labels for r in scan.license_labels(_frame(spark, rows)).collect()}
+    assert [found[i] for i, _ in rows] == list(texts.values())
+
+
 def _texts():
     rng = random.Random(4)
     bits = ["CC BY", "cc-by", "General\nPublic, License", "all rights reserved", "ALL RIGHTS", "reserved", "public license", "cc", "by", "é", "x9"]

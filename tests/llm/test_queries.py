@@ -14,7 +14,7 @@ from eventide.llm.queries import ORACLE, QUERIES
 from llm.test_decontamination import plain as plain_contamination
 from llm.test_language_id import plain_languages
 from llm.test_language_model import plain as plain_scores
-from llm.test_license_scan import plain as plain_phrases
+from llm.test_license_scan import plain as plain_phrases, plain_labels as plain_license_labels
 from llm.test_main_text import plain as plain_page
 from llm.test_simhash import plain_fingerprint, plain_labels
 from llm.test_url_rules import RULES, plain_rules, plain_tokens
@@ -116,6 +116,7 @@ def test_op6(spark):
 def test_op7(spark, docs):
     found = {r.doc_id: r for r in QUERIES["op7_license_scan"](spark, FOLDER).collect()}
     assert {i: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for i, r in found.items()} == {i: plain_phrases(t) for i, t in docs.items()}
+    assert {i: (r.labels, r.score) for i, r in found.items()} == {i: plain_license_labels(t) for i, t in docs.items()}
 
 
 def test_op8(spark, docs):
