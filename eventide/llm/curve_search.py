@@ -12,7 +12,8 @@ are indexed and all queries are answered whatever the sample. Equal vectors are
 ids, which is all a result of k can need, so a vector that many rows share costs no more than one.
 
 Vectors that are null, zero, hold null or non-finite components or have not the most common length take no part, nor do null
-ids. Rows that repeat an id with the same vector count once; a query never finds its own id. Ties go to the smaller id.
+ids. Rows that repeat an id with the same vector count once; a query never finds its own id. Ties go to the smaller id. An empty table
+gives an empty result. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ with one go on to the hashes of all their windows, and every hit is verified wor
 with the row's key (document id and content hash), never texts.
 
 Nulls: a null text has no words; null items and ids stay null and hit nothing. Repeated rows get a row each, items with
-equal texts all count. Without items nothing is contaminated.
+equal texts all count. Without items nothing is contaminated. Very long texts are read whole; a row's words are in memory at once.
+Other columns, whatever their names, are left out, and kept by ``without_contaminated``.
 """
 
 from __future__ import annotations

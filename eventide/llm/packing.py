@@ -8,7 +8,8 @@ row per length), so it is solved on the driver and sent to all tasks; pieces fin
 of the same length.
 
 Nulls: a null text counts as empty, a null doc_id stays null. Repeated rows are packed separately. No documents, no
-sequences.
+sequences. A very long text gives many windows; it is encoded in parts of a bounded length. Pieces of equal length take
+their places in order of document id and start; those of repeated rows are alike. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

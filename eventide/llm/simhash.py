@@ -9,7 +9,8 @@ many fingerprints are dealt into blocks and compared block by block. Each compar
 forest of its links, never all pairs.
 
 Nulls: a null text has no words (fingerprint zero, linked like any other); a null doc_id is linked too, and is its own
-component id only if nothing with an id is reachable. Repeated rows stay. An empty table gives an empty result.
+component id only if nothing with an id is reachable. Repeated rows stay. An empty table gives an empty result. Very long
+texts are read whole, one at a time. Other columns, whatever their names, are left out, and kept by ``one_of_each``.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ contents without a stored count are encoded, one row each, and their counts are
 An append that is repeated or made by two jobs at once stores equal rows; reading keeps one.
 
 Normalisation turns null into empty and nothing else, as the tokenizers count white space and case. Repeated rows
-get a row each, a null doc_id stays null, an empty table gives an empty result.
+get a row each, a null doc_id stays null, an empty table gives an empty result. Very long texts are encoded whole, one
+at a time. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ index rows and read just those records. Shards get names of their own per task a
 which Spark commits task by task, names them; what a lost attempt left is never read.
 
 Nulls: a null text counts as empty (only the end id); a null doc_id sorts first and stays null. Repeated rows are
-records of their own, ordered by document id and a hash of the text. An empty table gives an empty index.
+records of their own, ordered by document id and a hash of the text. An empty table gives an empty index. A very long text
+is one record; it is encoded in parts of a bounded length, its ids are in memory at once. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ and a mask of the entries (one bit each, in 64-bit words) is kept for every pref
 in each dimension by binary search, the range's mask is the difference of two prefix masks, and the masks of all dimensions
 ANDed leave the entries inside a box around the part. No entry outside is as near as the radius, so if the nearest inside
 is, it is the answer; otherwise the radius grows to that distance (or doubles, if the box is empty) and the box is cut again.
-The first radius is typical of the codebook: the median over its entries of the way to the next other one. Distances
+The first radius is typical of the codebook: a quarter more than the median over its entries of the distance to the next other
+one, so that most parts need one box. Distances
 are whole numbers, ties go to the lower index, so results depend on neither batches nor radii.
 
 Codebooks start as the vectors with the smallest ids and are the only thing that is collected: entries times dimensions.
@@ -53,8 +54,8 @@ class Boxes:
         prefixes = np.zeros((width, n + 1, words), np.uint64)
         for d in range(width):
             prefixes[d, 1:] = np.bitwise_or.accumulate(bit[order[:, d]], axis=0)
-        ways = [np.delete(np.abs(entries - e).max(1), i).min() for i, e in enumerate(entries)] if n > 1 and width else [0]
-        return cls(entries, np.ascontiguousarray(np.sort(entries, axis=0).T), prefixes, int(np.median(ways)))
+        ways = [np.delete(np.square(entries - e).sum(1), i).min() for i, e in enumerate(entries)] if n > 1 and width else [0]
+        return cls(entries, np.ascontiguousarray(np.sort(entries, axis=0).T), prefixes, int(1.25 * np.median(np.sqrt(ways))))
 
     def inside(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """Mask of the entries no farther than the radius in any dimension, for each row."""
