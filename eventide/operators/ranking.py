@@ -8,8 +8,8 @@ is a quantile sketch: a bounded summary that tells between which two values the
 ten-thousandths of the rows. The second counts everything outside these ranges as a whole and the values inside one by one;
 their running count holds the exact value. So of n rows the counts of a thousandth or so meet in one task, and equal values,
 however many, as one count. Where equal values straddle the border between two tiles, they are counted by the columns
-that break the tie. Tiles and percentiles are then a comparison of each row with a few cut rows. Nothing is stored,
-and building a result starts no job.
+that break the tie too, and only the rows which the last of these tells apart are numbered. Tiles and percentiles are then a
+comparison of each row with a few cuts. Nothing is stored, and building a result starts no job.
 """
 
 from __future__ import annotations
@@ -78,19 +78,6 @@ def _borders(total: Column, tiles: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(tiles - 1)), lambda j: j * small + F.least(j, total % tiles))
 
 
-def _cut_rows(df: DataFrame, value: str, ties: Sequence[str], tiles: int) -> DataFrame:
-    """(_value, _tie_...): the first row of every tile but the first. Rows that only the last tie column tells apart, such
-    as the times of one symbol, are numbered in one task."""
-    *groups, last = ties
-    found = values_at(df, value, [j / tiles for j in range(1, tiles)], lambda total: _borders(total, tiles), groups)
-    own = {"_value": F.col(value).cast("double"), **{f"_tie_{c}": F.col(c) for c in groups}}
-    rows = df.select(*[c.alias(f"_own{n}") for n, c in own.items()], F.col(last).alias(f"_tie_{last}"))
-    same = [F.col(f"_own{n}").eqNullSafe(F.col(n)) for n in own]
-    number = F.row_number().over(Window.partitionBy("_k").orderBy(f"_tie_{last}"))
-    tied = rows.join(F.broadcast(found), same).withColumn("_place", F.col("_before") + number - 1)  # a row per border
-    return tied.filter("_place = _k").select(*own, f"_tie_{last}")
-
-
 def tile(df: DataFrame, tiles: int, value: str, ties: Sequence[str], keys: Sequence[str] = (), name: str = "tile") -> DataFrame:
     """NTILE by ``value`` (NULLs last) and then ``ties``, which tell all rows apart: sizes differ by at most one, larger
     tiles first; fewer rows than tiles leave tiles out.
@@ -100,16 +87,26 @@ def tile(df: DataFrame, tiles: int, value: str, ties: Sequence[str], keys: Seque
     order = [F.col(value).asc_nulls_last(), *[F.col(c).asc() for c in ties]]
     if keys:
         return df.withColumn(name, F.ntile(tiles).over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    # Structs compare field by field, NaN as the largest number; the first field puts NULL after it.
-    place = lambda number, tie: F.struct(
-        number.isNull().alias("no_value"), number.alias("value"), *[tie(c).alias(c) for c in ties]
-    )
-    cuts = _cut_rows(df, value, ties, tiles).agg(  # one row, a cut per border
-        F.collect_list(place(F.col("_value"), lambda c: F.col(f"_tie_{c}"))).alias("_cuts")
-    )
+    *groups, last = ties
+    cuts = values_at(df, value, [j / tiles for j in range(1, tiles)], lambda total: _borders(total, tiles), groups)
+
+    def place(number: Column, tie: Callable[[str], Column]) -> list[Column]:
+        """Fields that compare one after the other: NULL last, NaN as the largest number."""
+        return [number.isNull().alias("no_value"), F.coalesce(number, F.lit(0.0)).alias("value"), *[tie(c).alias(c) for c in groups]]
+
+    of_cut = F.struct(*place(F.col("_value"), lambda c: F.col(f"_tie_{c}")))
+    listed = cuts.agg(F.collect_list(F.struct(of_cut.alias("place"), "_k", "_before")).alias("_cuts"))  # one row, a cut per border
     own = place(F.col(value).cast("double"), F.col)
-    passed = F.size(F.filter("_cuts", lambda cut: cut <= own))
-    return df.crossJoin(F.broadcast(cuts)).withColumn(name, (passed + 1).cast("bigint")).drop("_cuts")
+    rows = df.crossJoin(F.broadcast(listed)).withColumn("_own", F.struct(*own))
+    # Rows that only the last tie column tells apart from a cut, such as the times of one symbol, are numbered; all others are
+    # groups of their own.
+    tied = F.exists("_cuts", lambda cut: cut["place"] == F.col("_own"))
+    alike = Window.partitionBy("_own", F.when(~tied, F.col(last))).orderBy(last)
+    numbered = rows.withColumn("_number", F.row_number().over(alike))
+    passed = F.size(F.filter("_cuts", lambda cut: (cut["place"] < F.col("_own")) | (
+        (cut["place"] == F.col("_own")) & (cut["_before"] + F.col("_number") > cut["_k"])
+    )))
+    return numbered.withColumn(name, (passed + 1).cast("bigint")).drop("_cuts", "_own", "_number")
 
 
 def _overall_percentile(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
