@@ -72,6 +72,12 @@ def values_at(
     return ranked.select(F.explode(sure).alias("_k"), "_total", *own, "_before")
 
 
+def _shared(df: DataFrame) -> DataFrame:
+    """Rows that several steps of one plan read, computed once: dealt out by all their columns, none of which a step can
+    then leave out, so that its copy of the plan up to here is like the others and Spark reuses the exchange."""
+    return df.repartition(F.xxhash64(*df.columns))
+
+
 def _borders(total: Column, tiles: int) -> Column:
     """Position of the first row of every tile but the first."""
     small = F.floor(total / tiles)
@@ -88,6 +94,7 @@ def tile(df: DataFrame, tiles: int, value: str, ties: Sequence[str], keys: Seque
     if keys:
         return df.withColumn(name, F.ntile(tiles).over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     *groups, last = ties
+    df = _shared(df)
     cuts = values_at(df, value, [j / tiles for j in range(1, tiles)], lambda total: _borders(total, tiles), groups)
 
     def place(number: Column, tie: Callable[[str], Column]) -> list[Column]:
@@ -134,4 +141,5 @@ def exact_percentile(
 
 def with_percentile(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
     """Add the overall percentile of ``value`` to every row."""
+    df = _shared(df)
     return df.crossJoin(F.broadcast(_overall_percentile(df, value, share, name)))  # a single row
