@@ -2,13 +2,14 @@ import random
 import zipfile
 from dataclasses import replace
 from datetime import timedelta
+from functools import reduce
 
 import pytest
 from conftest import at, minutes, rows
 from pyspark.sql import functions as F
 
 from eventide import schemas
-from eventide.plans import questions
+from eventide.plans import questions, store as store_module
 from eventide.plans.catalog import register_views, time_arguments
 from eventide.plans.loading import load_files
 from eventide.plans.market import LiveViews
@@ -222,3 +223,64 @@ def test_files_to_answers(spark, make, tables, tmp_path):
     assert rows(loaded.symbols, "symbol") == [("AAAUSDT", "AAA", "USDT"), ("BBBUSDT", "BBB", "USDT")]
     close(rows(questions.extreme_regimes(LiveViews(loaded), START, END, 1)), rows(questions.extreme_regimes(LiveViews(market), START, END, 1)))
     close(rows(questions.symbol_overview_raw(loaded, START, END)), rows(questions.symbol_overview_raw(market, START, END)))
+
+
+def _loads(make, days):
+    """One small batch of bars and prints a day, each with a row of the day before that is there already."""
+    closes = [("AAAUSDT", minutes("2024-01-01", 1440 * d + m)[0], 10.0 + d + m) for d in range(days) for m in (0, 7, 1439)]
+    funding = [("AAAUSDT", minutes("2024-01-01", 1440 * d)[0], d * 1e-4) for d in range(days)]
+    for d in range(days):
+        window = lambda rows: [r for r in rows if at("2024-01-01") + timedelta(days=d - 1) < r[1] < at("2024-01-01") + timedelta(days=d + 1)]  # noqa: E731, B023
+        yield make(window(closes), window(funding))
+
+
+def test_daily_loads_keep_few_versions(spark, make, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST_LIVE", 4)
+    store, most = TableStore(spark, str(tmp_path)), 0
+    markets = list(_loads(make, 14))
+    for market in markets:
+        for name, time in (("klines", "open_time"), ("funding", "ts")):
+            store.insert_ignore(name, getattr(market, name), schemas.PRIMARY_KEYS[name], [F.col(time).asc()])
+            most = max(most, len(store._versions(name)), len(store._versions("bar_days")))
+    assert most <= 4
+    whole = reduce(lambda a, b: a.unionByName(b), [m.klines for m in markets]).distinct()
+    assert rows(store.read("klines").select(*whole.columns), "open_time") == rows(whole, "open_time")
+    assert store.read("funding").count() == 14
+    counted = rows(store.bar_days(), "day")
+    assert counted == rows(whole.groupBy("symbol", F.to_date("open_time").alias("day")).agg(F.count("*").alias("n")), "day")
+    # Days replaced after the merges, and the folders that no longer count.
+    store.write("funding", store.read("funding").filter("ts < TIMESTAMP_NTZ '2024-01-12'").withColumn("rate", F.col("rate") * 2), since=at("2024-01-10").date())
+    kept = [r.rate for r in store.read("funding").orderBy("ts").collect()]
+    assert kept == pytest.approx([d * 1e-4 * (1 if d < 9 else 2) for d in range(11)])
+    store.vacuum("funding")
+    assert [r.rate for r in store.read("funding").orderBy("ts").collect()] == kept
+
+
+def test_a_write_of_bars_that_breaks_off_leaves_no_counts(spark, make, tmp_path, monkeypatch):
+    store, (first, second, third) = TableStore(spark, str(tmp_path)), _loads(make, 3)
+    load = lambda market: store.insert_ignore("klines", market.klines, schemas.PRIMARY_KEYS["klines"], [F.col("open_time").asc()])
+    load(first)
+    assert rows(store.bar_days()) == [("AAAUSDT", at("2024-01-01").date(), 3)]
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_count_days", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            load(second)
+    assert store.bar_days() is None and store.read("klines").count() == 6
+    load(third)
+    assert [r.n_bars for r in store.bar_days().orderBy("day").collect()] == [3, 3, 3]
+
+
+def test_live_questions_are_the_same_with_and_without_counts(spark, make, tables, tmp_path):
+    """Gaps, a symbol that ended long before, one that begins in the range."""
+    closes, funding, oi = tables
+    closes = closes + [("CCCUSDT", minutes("2024-01-01", day * 4321)[0], 50 + day % 7) for day in range(6)]
+    closes = closes + [("DDDUSDT", at("2024-01-03"), 5.0), ("EEEUSDT", at("2024-01-11 00:05"), 5.0), ("EEEUSDT", at("2024-01-11 00:09"), 6.0)]
+    funding = funding + [(s, at("2024-01-11"), 1e-4) for s in ("CCCUSDT", "DDDUSDT", "EEEUSDT")]
+    market, store = make(closes, funding, oi), TableStore(spark, str(tmp_path))
+    for name in ("klines", "funding", "open_interest", "premium_index"):
+        store.write(name, getattr(market, name))
+    for first, last in (("2024-01-11", "2024-01-14"), ("2024-01-05 13:00:00", "2024-01-06"), ("2024-01-01", "2024-01-02")):
+        counted, whole = (LiveViews(store.market(market.symbols, **o)) for o in ({}, {"bar_days": None}))
+        assert counted.market.bar_days is not None
+        close(rows(counted.event_markouts(first, last), "symbol", "event_ts"), rows(whole.event_markouts(first, last), "symbol", "event_ts"))
+        close(rows(counted.returns(first, last), "symbol", "ts"), rows(LiveViews(market).returns(first, last), "symbol", "ts"))
