@@ -186,3 +186,20 @@ def test_nothing_to_learn_from(spark):
     untaught = ids.identify(_frame(spark, [(1, "words here", None), (2, None, "en")]), F.lit(False)).collect()
     assert {(r.lang_pred, r.rejected) for r in untaught} == {("und", True)}
     assert ids.identify(_frame(spark, []), F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_rejected_rows_go_and_others_stay(spark, broadcast, monkeypatch):
+    """Whether the rejected rows are few enough to broadcast or not; repeated rows and a null id keep their number."""
+    if not broadcast:
+        monkeypatch.setattr(ids, "small", lambda table: table)
+    rng = random.Random(4)
+    words = "the of and house water tree people under little going where".split()
+    rows = [(i, " ".join(rng.choices(words, k=40)), "en") for i in range(60)]
+    rows += [(60, "", "en"), (61, "12 34", None), (62, "".join(rng.choices("qxzjkvwyp", k=300)), None), (63, None, None), (62, rows[0][1], "en")]
+    rows += [(None, rows[1][1], "en"), (None, "77", "en"), (5, rows[5][1], "en")]
+    docs = _frame(spark, rows)
+    kept = ids.without_rejected(docs, F.col("doc_id") >= 60)
+    assert kept.columns == docs.columns
+    wanted = [r for r in rows if r[1] and r[1][0] not in "1q7x" and any(w in r[1].split() for w in words)]
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect())) == sorted((i is None, i or 0, t) for i, t, _ in wanted)

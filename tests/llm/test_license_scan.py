@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from eventide.llm import license_scan as scan
 
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
@@ -71,7 +73,9 @@ def _damaged():
     return texts
 
 
-def test_labels_and_scores_equal_plain(spark):
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_labels_and_scores_equal_plain(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(scan, "BROADCAST_ROWS", broadcast)
     rows = list(enumerate([*_damaged(), *_texts(), *(n for group in scan.NOTICES.values() for n in group)]))
     found = {r.doc_id: (r.labels, r.score) for r in scan.license_labels(_frame(spark, rows)).collect()}
     assert found == {i: plain_labels(t) for i, t in rows}
